@@ -1,4 +1,7 @@
 """Names of all registered queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerlark.plans import feature_queries, label_queries
+
+BOOKS = [feature_queries.book, label_queries.book]
+QUERIES = {name: q for b in BOOKS for name, q in b.queries.items()}
+ORACLES = {name: sql for b in BOOKS for name, sql in b.oracles.items()}
