@@ -148,7 +148,7 @@ def company_activity(company: DataFrame, fact: DataFrame, kinds: DataFrame) -> D
     counts = ("total_trades", "unique_insiders", "total_buys", "total_sells")
     joined = company.join(per, "company_key", "left")
     return joined.select("company_key", "ticker", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-                         *[F.round(F.coalesce(c, F.lit(0)).cast("double"), 4).alias(c) for c in ("value_bought", "value_sold")], F.round(F.col("avg_trade_value").cast("double"), 4).alias("avg_trade_value"))
+                         *[F.round(F.coalesce(c, F.lit(0)).cast("double"), 4).alias(c) for c in ("value_bought", "value_sold")], F.col("avg_trade_value").cast("double").alias("avg_trade_value"))
 
 
 def insider_statistics(fact: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def insider_statistics(fact: DataFrame, kinds: DataFrame) -> DataFrame:
     return typed.groupBy("insider_key").agg(
         F.count("*").alias("total_trades"), F.count_if(buy).alias("total_buys"), F.count_if(sell).alias("total_sells"),
         F.round(_total(buy, _money("total_value")).cast("double"), 4).alias("value_bought"), F.round(_total(sell, _money("total_value")).cast("double"), 4).alias("value_sold"),
-        F.round(F.avg(_money("total_value")).cast("double"), 4).alias("avg_value"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"),
+        F.avg(_money("total_value")).cast("double").alias("avg_value"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"),
     )
 
 
@@ -178,9 +178,9 @@ def daily_summary(fact: DataFrame, kinds: DataFrame, date=None) -> DataFrame:
     net = lambda c: F.sum(F.when(buy, _money(c)).when(sell, -_money(c)).otherwise(F.lit(0).cast("decimal(20,4)")))
     return typed.groupBy("company_key", F.col("transaction_date").alias("date")).agg(
         F.count_if(buy).alias("total_insider_buys"), d(_total(buy, _money("shares_traded"))).alias("total_shares_bought"), d(_total(buy, _money("total_value"))).alias("total_value_bought"),
-        d(F.avg(F.when(buy, _money("price_per_share")))).alias("avg_buy_price"),
+        F.avg(F.when(buy, _money("price_per_share"))).cast("double").alias("avg_buy_price"),
         F.count_if(sell).alias("total_insider_sells"), d(_total(sell, _money("shares_traded"))).alias("total_shares_sold"), d(_total(sell, _money("total_value"))).alias("total_value_sold"),
-        d(F.avg(F.when(sell, _money("price_per_share")))).alias("avg_sell_price"), F.count_distinct("insider_key").alias("num_unique_insiders_trading"),
+        F.avg(F.when(sell, _money("price_per_share"))).cast("double").alias("avg_sell_price"), F.count_distinct("insider_key").alias("num_unique_insiders_trading"),
         d(net("shares_traded")).alias("net_shares"), d(net("total_value")).alias("net_value"), F.round((F.count_if(buy) - F.count_if(sell)) / n, 6).alias("net_sentiment_score"),
     )
 
