@@ -15,6 +15,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlark.functions.trade import finite_or_zero
 from ledgerlark.operators import evaluate
@@ -80,8 +81,8 @@ def grid_search(train: DataFrame, val: DataFrame, features, grid=GRID):
     return best[1], train.sparkSession.createDataFrame(found, "place int, maxDepth int, stepSize double, maxIter int, subsamplingRate double, average_precision double")
 
 
-def permutation_importance(model, df: DataFrame, features) -> DataFrame:
-    """Loss of average precision when a feature's values are dealt anew among the rows.
+def permutation_importance(model, df: DataFrame, features, of=None) -> DataFrame:
+    """Loss of average precision when a feature's values are dealt anew among the rows, for each feature or those in ``of``.
 
     Values move by the rank of a random number inside buckets of rows, so no
     window spans the table.
@@ -89,10 +90,8 @@ def permutation_importance(model, df: DataFrame, features) -> DataFrame:
     base = evaluate.average_precision(score(model, df, features)).first()[0]
     rows = df.withColumn("_row", F.xxhash64("row_id"))
     found = []
-    for k, c in enumerate(features):
+    for k, c in enumerate(of or features):
         bucket = F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(max(1, rows.rdd.getNumPartitions())))
-        from pyspark.sql.window import Window
-
         here, there = Window.partitionBy("_b").orderBy("_row"), Window.partitionBy("_b").orderBy(F.xxhash64("_row", F.lit(SEED + k)), "_row")
         keyed = rows.withColumn("_b", bucket)
         left, right = keyed.withColumn("_n", F.row_number().over(here)), keyed.withColumn("_n", F.row_number().over(there)).select("_b", "_n", F.col(c).alias("_v"))

@@ -303,7 +303,7 @@ def m11_walk_forward(tables):
 @book.add()
 def m12_permutation_importance(tables):
     train, val, test = splits(tables)
-    return models.permutation_importance(models.fit_boosted(train, val, MODEL_FEATURES, **SMALL), test, ("txn_month", "signal"))
+    return models.permutation_importance(models.fit_boosted(train, val, MODEL_FEATURES, **SMALL), test, MODEL_FEATURES, of=("txn_month", "signal"))
 
 
 @book.add()
