@@ -24,7 +24,7 @@ SHORTEST, LONGEST = 3, 5
 GAIN = 2000.0
 #: Power of a subword's rarity (0 to 1, by the documents that hold it) in its weight.
 RARITY = 2.0
-EPOCHS, BATCH, RATE = 8, 64, 0.5
+EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Bound of the labelled sample, for each class.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 CACHED_WORDS = 400_000
