@@ -9,6 +9,7 @@ that pass is cut at powers of two, so it needs no padding either.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,40 +27,86 @@ OPEN_WINDOWS = 32
 #: Rows of left-over pieces that one task of the second pass takes.
 LEFT_OVER_ROWS = 20_000
 #: Cached words of a Python worker; the cache starts anew beyond this.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
-class WordTokenizer:
-    """Ids of a tokenizer whose pieces never cross white space, by cached words.
+#: Characters up to here are split into pieces in Python; other words go to the tokenizer itself.
+PLAIN_UPTO = "\u024f"
+LONGEST_PLAIN = 200
 
-    Equal to encoding the whole text: the pre-tokenizer drops white space, so
-    each word between white space is encoded alone and remembered.  Texts with
-    separators that Python and the tokenizer split differently go whole.
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class WordTokenizer(dict):
+    """Ids of a tokenizer whose pieces never cross white space, by remembered words.
+
+    Maps a word to its ids in bytes.  Equal to encoding the whole text: the
+    pre-tokenizer drops white space, so each word is encoded alone.  The
+    merges of a word run in a faster library: a word's last symbol is its
+    byte and an end mark, which always merge first, and the vocabulary's
+    merges follow in their order.  Texts and words that Python might split
+    otherwise than the tokenizer go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, byte_of = spec["model"], _byte_of()
+        mark = model["end_of_word_suffix"]
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
+        def raw(symbol: str) -> bytes:
+            ends = symbol.endswith(mark)
+            return bytes(byte_of[c] for c in (symbol[: -len(mark)] if ends else symbol)) + b"\xff" * ends
+
+        ranks = {bytes([b, 255]): b for b in range(255)}  # no text has byte 255
+        ranks |= {bytes([b]): 255 + b for b in range(256)}
+        for merge in model["merges"]:
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            ranks.setdefault(raw(left) + raw(right), len(ranks))
+        special = {x["content"] for x in spec["added_tokens"]}
+        self.id_of = {ranks[k]: i for s, i in model["vocab"].items() if s not in special and (k := raw(s)) in ranks}
+        self.merge = tiktoken.Encoding("words", pat_str="(?s:.)+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        plain = unicodedata.normalize("NFC", word).lower()
+        if len(word) > LONGEST_PLAIN or "<|" in word or max(plain, default="") > PLAIN_UPTO:
+            ids = self.whole(word)
+        elif plain == word and word.isalpha():
+            ids = self.piece(word)
+        else:
+            ids = b"".join([self[x] if x != word else self.piece(x) for x in self.pieces.findall(plain)])
+        self[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        return np.array([self.id_of[k] for k in self.merge(piece.encode() + b"\xff")], "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.frombuffer(self.whole(text), "<u4")
         if text.isascii() and "<|" not in text:
             text = text.lower()
-        words, cache = text.split(), self.cache
-        missing = list({w for w in words if w not in cache})
-        if missing:
-            if len(cache) + len(missing) > CACHED_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
