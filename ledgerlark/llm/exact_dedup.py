@@ -88,10 +88,10 @@ def partition_filters(fingerprints: DataFrame, blocks: int) -> DataFrame:
         fps = np.concatenate(own).view("u8") if own else np.zeros(0, "u8")
         values, counts = np.unique(fps, return_counts=True)
         block = (values >> np.uint64(64 - bits)).astype("i4") if bits else np.zeros(len(values), "i4")
-        edges = np.flatnonzero(np.diff(block, prepend=-1))
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)), len(values)]
         rows = [
             [int(block[a]), *CountingQuotientFilter.of_counts(values[a:z], counts[a:z]).dumped()]
-            for a, z in zip(edges, [*edges[1:], len(values)], strict=True)
+            for a, z in zip(edges[:-1], edges[1:], strict=True)
         ]
         names = [x.split()[0] for x in FILTER_SCHEMA.split(", ")]
         kinds = [pa.int32(), *[pa.binary()] * 4]
