@@ -20,39 +20,64 @@ from .common import settle
 LEAST_WORDS = 8
 
 
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(F.lower(line), F.lit(SPACE))
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words in lower case; a line without words gives one empty word."""
+    return F.split(_trimmed(line), r"[\x20\x09-\x0D]+")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _pos, _line) of every line of every row."""
-    return docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_pos", "_line"))
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each line: _id, _pos, n (words), h (hash of the words), halves (hashes of its first and last halves).
+
+    Two lines within one word of each other share their first or their last k
+    words, where k is half the words of the shorter; halves has both for the
+    two lengths that k can have.
+    """
+    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_pos", "_line"))
+    worded = lines.select("_id", "_pos", _words(F.col("_line")).alias("words"))
+    n = F.when(F.col("words") == F.array(F.lit("")), 0).otherwise(F.size("words"))
+    k = lambda d: F.floor((F.col("n") + d) / 2).cast("int")
+    half = lambda side, d: F.xxhash64(F.lit(side), k(d), F.slice("words", 1, k(d)) if side == "head" else F.slice("words", F.col("n") - k(d) + 1, k(d)))
+    halves = F.array(*[half(side, d) for side in ("head", "tail") for d in (-1, 0)])
+    return worded.withColumn("n", n).select("_id", "_pos", "n", F.xxhash64("words").alias("h"), F.when(F.col("n") >= LEAST_WORDS, halves).alias("halves"))
+
+
+def lines_with_partners(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, place, words) of each distinct line that shares a half with another line; the others have no near copy.
+
+    Words are read again from the rows where such lines stand first, so that
+    texts without them are not taken apart.
+    """
+    half = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
+    partners = half.join(shared, "half", "left_semi").select("h").distinct()
+    first = lines.filter("halves is not null").groupBy("h").agg(F.min(F.struct("_id", "_pos")).alias("place")).join(partners, "h", "left_semi")
+    wanted = first.groupBy(F.col("place._id").alias("_id")).agg(F.collect_list(F.struct(F.col("place._pos").alias("_pos"), "h")).alias("_wanted"))
+    texts = docs.select(F.col(id_col).alias("_own"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_lines"))
+    found = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id"))).select("_id", "_lines", F.explode("_wanted").alias("w"))
+    read = found.select("w.h", F.struct("_id", "w._pos").alias("place"), _words(F.get("_lines", F.col("w._pos"))).alias("words"))
+    # Rows that repeat an id may hold other lines there.
+    return read.filter(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"])
 
 
 def _without(words: Column, at: Column) -> Column:
     return F.concat(F.slice(words, 1, at), F.slice(words, at + 2, F.greatest(F.size(words) - at - 1, F.lit(0))))
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(own: DataFrame) -> DataFrame:
     """(h, first): for each line with an earlier one within one word, its hash and the earliest place of such a line.
 
-    ``lines``: h (hash of the words), words, place; equal lines may repeat.
-
-    Two lines within one word share their first or their last k words, where k
-    is half the words of the shorter: lines without such a partner make no
-    variants, which loses none.  A variant's key is the place of the gap with
-    hashes of what stands before and after it, from running XORs over the
-    words, so a line of n words costs n steps and not n squared.
+    ``own``: h (hash of the words), words, place; one row for each line.  A
+    variant's key is the place of the gap with hashes of what stands before
+    and after it, from running XORs over the words, so a line of n words costs
+    n steps and not n squared.
     """
-    n = F.size("words")
-    k = lambda d: F.floor((n + d) / 2).cast("int")
-    halves = F.array(*[F.xxhash64(F.lit(side), k(d), F.slice("words", 1, k(d)) if side == "head" else F.slice("words", n - k(d) + 1, k(d))) for side in ("head", "tail") for d in (-1, 0)])
-    long_enough = lines.filter(n >= LEAST_WORDS)
-    half = long_enough.select("h", F.explode(halves).alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
-    partners = half.join(shared, "half", "left_semi").select("h").distinct()
-    own = long_enough.join(partners, "h", "left_semi").groupBy("h").agg(F.min("place").alias("place"), F.first("words").alias("words"))
-    own = settle(own, "lines")
     by_line = Window.partitionBy("h")
     words = own.select("h", "place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     from_start, from_end = F.xxhash64("at", "word"), F.xxhash64(F.col("n") - F.col("at"), "word")
@@ -93,11 +118,11 @@ def near_line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they are marked alike and do not count as earlier; an empty table gives an
     empty table; other columns are not looked at.
     """
-    lines = lines_of(docs, id_col, text_col).withColumn("words", _words(F.col("_line"))).withColumn("h", F.xxhash64("words"))
+    lines = settle(line_table(docs, id_col, text_col), "lines")
     place = F.struct(F.col("_id"), F.col("_pos"))
-    narrow = lines.select("_id", "_pos", "h", F.size("words").alias("n"))
+    narrow = lines.select("_id", "_pos", "h", "n")
     known = narrow.filter("n > 0").groupBy("h").agg(F.min(place).alias("place"))
-    near = near_lines(lines.filter(F.size("words") > 0).select("h", "words", place.alias("place")))
+    near = near_lines(settle(lines_with_partners(lines, docs, id_col, text_col), "partners"))
     known = known.join(near, "h", "left").select("h", F.least("place", F.coalesce("first", "place")).alias("first"))
     found = narrow.join(known, "h", "left").withColumn("keep", F.coalesce((F.col("n") == 0) | (F.col("first") >= place), F.lit(True)))
     gone = ~F.col("keep")
