@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 BUCKETS, WIDTH = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
+#: GAIN, RARITY and EPOCHS have the best mean average precision of 24 settings on rows split off the training rows.
 #: The average of word vectors is multiplied by this, so that one word in many counts.
-GAIN = 2000.0
+GAIN = 4000.0
 #: Power of a subword's rarity (0 to 1, by the documents that hold it) in its weight.
 RARITY = 2.0
-EPOCHS, BATCH, RATE = 6, 64, 0.5
+EPOCHS, BATCH, RATE = 10, 64, 0.5
 #: Bound of the labelled sample, for each class.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 CACHED_WORDS = 400_000
