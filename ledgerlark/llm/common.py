@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OWN_SCRATCH = "/tmp/checkpoints"
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser that spreads every bit of unsigned numbers over 64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``."""
     return (spark.conf.get("spark.checkpoint.dir", None) or OWN_SCRATCH).rstrip("/")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, mixed, settle
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -41,13 +41,6 @@ N_HASHES = TREES * (1 + BRANCHES * (LEVELS - 1))
 _SIDES = np.random.default_rng(20240229).integers(1, 1 << 63, (2, N_HASHES), dtype=np.uint64) * _U(2) + _U(1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads every bit over 64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class _Powers:
     """Powers of the odd base and of its inverse modulo 2^64, as far as asked for."""
 
@@ -79,18 +72,18 @@ def _shingles(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
     ends = np.flatnonzero(before & (~after | edge))
     up, down = _powers.upto(len(data))
     total = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)])
-    words = _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
+    words = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
     fives = np.zeros(max(0, len(words) - SHINGLE + 1), _U)
     for k in range(SHINGLE):
         fives += words[k : k + len(fives)] * _WORD_WEIGHTS[k]
-    fives = _mixed(fives + _U(SHINGLE))
+    fives = mixed(fives + _U(SHINGLE))
     firsts = np.searchsorted(starts, bounds)
     for a, z in zip(firsts[:-1], firsts[1:]):
         if z - a >= SHINGLE:
             own = np.sort(fives[a : z - SHINGLE + 1])
             yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif z > a:
-            yield _mixed(np.sum(words[a:z] * _WORD_WEIGHTS[: z - a], keepdims=True, dtype=_U) + _U(z - a))
+            yield mixed(np.sum(words[a:z] * _WORD_WEIGHTS[: z - a], keepdims=True, dtype=_U) + _U(z - a))
         else:
             yield np.zeros(0, _U)
 
@@ -134,7 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for own in shingle_sets(batch.column(1)):
                 n.append(len(own))
                 a.append(np.sum(own, dtype=_U))
-                b.append(np.sum(_mixed(own ^ _U(0x5851F42D4C957F2D)), dtype=_U))
+                b.append(np.sum(mixed(own ^ _U(0x5851F42D4C957F2D)), dtype=_U))
                 mins.append(minwise(own))
             flat = np.concatenate(mins) if mins else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * N_HASHES), pa.array(flat))
