@@ -4,13 +4,17 @@ Every token is predicted from the two tokens on either side.  The network
 sums an embedding for each neighbour and its place and ends in a two-level
 softmax (the token's class, then the token in its class).  It is trained in
 numpy by the tasks, each over all text of its partition; the partitions'
-weights are averaged by their tokens.  A document's score is the sum of the
-conditional log-probabilities of all its tokens.
+weights are averaged by their tokens.  A word outside the network's vocabulary
+has the probability of its rest token times the word's share of that token in
+the corpus, from the counts of all words, so the probabilities of all words of
+the corpus add up to one.  A document's score is the sum of the conditional
+log-probabilities of all its words.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +38,61 @@ PIECES = 64
 #: Tokens that a task holds before it computes on them.
 AT_ONCE = 1 << 16
 CACHED_WORDS = 600_000
+#: Text of one group of documents, and the least groups for each shuffle partition.
+GROUP_BYTES, GROUPS_A_PARTITION = 1 << 21, 4
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text") -> tuple[list[str], list[int], int]:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_group, _id, _text): documents dealt by hash to groups of about ``GROUP_BYTES`` of text."""
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    groups = max(GROUPS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    return own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).alias("_group"), "_id", "_text")
+
+
+def words_by_group(groups: DataFrame) -> DataFrame:
+    """(_group, w, n): every distinct word of each group and how often it stands there, split as for the network."""
+
+    def count(table: pa.Table) -> pa.Table:
+        found: Counter[str] = Counter()
+        for text in table.column("_text"):
+            found.update((text.as_py() or "").lower().split())
+        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "w": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    return settle(groups.select("_group", "_text").groupBy("_group").applyInArrow(count, "_group long, w string, n long"), "words_by_group")
+
+
+def word_counts(by_group: DataFrame) -> DataFrame:
+    """(w, n): every word of the corpus and its count."""
+    return settle(by_group.groupBy("w").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[str], list[int], int]:
     """(the ``FREQUENT`` most frequent words, their counts, all words), counted over every text."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+")).alias("w")).filter("w <> ''")
-    counts = settle(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    if counts is None:
+        words = docs.select(F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+")).alias("w")).filter("w <> ''")
+        counts = settle(words.groupBy("w").agg(F.count("*").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
     return [r.w for r in top], [r.n for r in top], counts.agg(F.sum("n")).first()[0] or 0
 
 
+def word_shares(by_group: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """(_group, w, share): log of each word's share of its token in the corpus, 0 for a frequent word.
+
+    A word of ``by_group`` that ``counts`` lacks counts as seen once.  Only the
+    totals of the rest tokens, of fixed number, reach the driver.
+    """
+    spark = counts.sparkSession
+    known = F.broadcast(spark.createDataFrame([(w,) for w in words.known], "w string"))  # at most FREQUENT rows
+    bucket = F.crc32(F.encode("w", "utf-8")) % (VOCABULARY - FREQUENT)
+    rest = counts.join(known, "w", "left_anti")
+    totals = F.broadcast(spark.createDataFrame(rest.groupBy(bucket.alias("_bucket")).agg(F.sum("n").alias("_total")).collect(), "_bucket long, _total long"))
+    own = by_group.select("_group", "w").join(known.withColumn("_known", F.lit(True)), "w", "left")
+    joined = own.join(counts, "w", "left").join(totals, bucket == F.col("_bucket"), "left")
+    share = F.log(F.coalesce("n", F.lit(1)) / F.greatest(F.coalesce("_total", F.lit(1)), F.lit(1)))
+    return joined.select("_group", "w", F.when(F.col("_known"), 0.0).otherwise(share).alias("share"))
+
+
 class Words(dict):
     """Token ids of texts: a frequent word's rank, or a hashed rest token.  Remembers the words it has met."""
 
@@ -176,15 +225,15 @@ def stream(texts: Iterator[str | None], words: Words) -> Iterator[tuple[np.ndarr
         yield portion()
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text") -> tuple[Words, WindowNetwork]:
-    """Vocabulary and network from every text of ``docs``.
+def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text", counts: DataFrame | None = None) -> tuple[Words, WindowNetwork]:
+    """Vocabulary and network from every text of ``docs``, whose word counts may be known.
 
     In each round every partition trains a copy over all its tokens, and the
     copies are averaged, weighted by their tokens, in pieces by key.  Only the
     averaged weights, of fixed size, and the frequent words reach the driver.
     """
-    frequent, counts, total = frequent_words(docs, text_col)
-    words, net = Words(frequent), WindowNetwork.started(counts, total)
+    frequent, often, total = frequent_words(docs, text_col, counts)
+    words, net = Words(frequent), WindowNetwork.started(often, total)
     spark = docs.sparkSession
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((words, net.flat))
@@ -217,9 +266,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text") -> tupl
 
 
 def pseudo_likelihood(docs: DataFrame, words: Words, net: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, log_likelihood, mean_log_likelihood) for every row.
+    """(id_col, n_tokens, log_likelihood, mean_log_likelihood) for every row, by the network alone.
 
-    The sum over all tokens of log P(token | two tokens on either side).
+    The sum over all tokens of log P(token | two tokens on either side); words
+    outside the vocabulary count as their rest token.
     Defined cases: a null or empty text has no tokens, a sum of 0 and a null
     mean; a very long text is scored whole; repeated rows score alike; a null
     id is passed on; an empty table gives an empty table; other columns are
@@ -243,3 +293,38 @@ def pseudo_likelihood(docs: DataFrame, words: Words, net: WindowNetwork, id_col:
                 done += len(sizes)
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+
+
+def word_likelihood(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns of :func:`pseudo_likelihood` for every row of ``docs``, by a network trained on them and the shares of all their words.
+
+    The sum over all words of log P(word | two words on either side), which
+    for a word outside the vocabulary is log P(rest token) plus the log of the
+    word's share of that token.  Each group of documents meets the shares of
+    its own words only.  The defined cases are those of
+    :func:`pseudo_likelihood`.
+    """
+    groups = grouped(docs, id_col, text_col)
+    by_group = words_by_group(groups)
+    counts = word_counts(by_group)
+    words, net = train(docs, rounds, text_col, counts)
+    shares = word_shares(by_group, counts, words)
+    sent = docs.sparkSession.sparkContext.broadcast((words, net.flat))
+
+    def run(texts: pa.Table, own_shares: pa.Table) -> pa.Table:
+        own_words, flat = sent.value
+        own = WindowNetwork(flat)
+        share = dict(zip(own_shares.column("w").to_pylist(), own_shares.column("share").to_pylist()))
+        sizes, sums = [], []
+        for around, target, some in stream((t.as_py() for t in texts.column("_text")), own_words):
+            total = np.concatenate([[0.0], np.cumsum(own.scores(around, target))])
+            ends = np.cumsum(some)
+            sizes += some
+            sums += (total[ends] - total[ends - some]).tolist()
+        sums = [s + sum(map(share.__getitem__, (t.as_py() or "").lower().split())) for s, t in zip(sums, texts.column("_text"))]
+        means = [s / n if n else None for s, n in zip(sums, sizes)]
+        return pa.table([texts.column("_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], [id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    together = groups.groupBy("_group").cogroup(shares.groupBy("_group"))
+    return together.applyInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")

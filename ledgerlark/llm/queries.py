@@ -28,8 +28,7 @@ def held_out(id_col: str = "doc_id"):
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words, net = lm_score.train(docs)
-    return lm_score.pseudo_likelihood(docs, words, net)
+    return lm_score.word_likelihood(docs)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,40 @@ def test_pseudo_likelihood(spark, data):
     start = lm_score.WindowNetwork.started(counts, n)
     untrained = lm_score.pseudo_likelihood(docs, words, start).agg(F.sum("log_likelihood")).first()[0]
     assert sum(r.log_likelihood for r in rows.values() if r.doc_id >= 0) > untrained
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 5000)
+    common = [f"c{k}" for k in range(lm_score.FREQUENT)]
+    rest = [f"r{k}" for k in range(400)]
+    rows = [(k, " ".join(common)) for k in range(6)] + [(100 + k, " ".join([*rest[: 200 + k], "tail\u00a0end"])) for k in range(4)] + [(7, None), (None, "r1 r1 once"), (8, ""), (9, "r1"), (9, "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in lm_score.word_likelihood(docs, rounds=0).collect():
+        got[r.doc_id].append(r)
+    count = defaultdict(int)
+    for _, t in rows:
+        for w in (t or "").lower().split():
+            count[w] += 1
+    words, net = lm_score.train(docs, 0, counts=spark.createDataFrame(list(count.items()), "w string, n long"))
+    by_token = defaultdict(int)
+    for w in count:
+        if w not in words.known:
+            by_token[words[w]] += count[w]
+    assert sum(by_token.values()) > 500 and len(by_token) > 30
+    plain = {(r.doc_id, r.n_tokens): r.log_likelihood for r in lm_score.pseudo_likelihood(docs, words, net).collect()}
+    assert sum(map(len, got.values())) == len(rows) and len(got[9]) == 2 and got[7][0].log_likelihood == 0 and got[8][0].mean_log_likelihood is None
+    for i, t in rows:
+        own = (t or "").lower().split()
+        share = sum(np.log(count[w] / by_token[words[w]]) for w in own if w not in words.known)
+        for r in got[i]:
+            assert r.n_tokens == len(own) and r.log_likelihood == pytest.approx(plain[i, len(own)] + share, rel=1e-6, abs=1e-6)
+
+
+def test_op1_scores_rest_words_by_their_counts(spark, data, monkeypatch):
+    got = {r.doc_id: r.log_likelihood for r in queries.op1_pseudo_likelihood(spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    words, net = lm_score.train(docs)
+    alone = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(docs, words, net).collect()}
+    rare = {r.doc_id for r in docs.collect() if any(w not in words.known for w in (r.text or "").lower().split())}
+    assert rare and set(got) == set(alone) and all(got[i] < alone[i] for i in rare)
