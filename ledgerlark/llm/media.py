@@ -2,8 +2,9 @@
 
 A payload becomes an 8-bit mono WAV file in a binary column.  Reading goes
 through the ``wave`` module; frames of the samples are transformed, the
-strongest peaks of each frame are kept, and pairs of peaks in neighbouring
-frames become hashes with their time, the fingerprint of a recording.
+strongest peak of each band of a frame is kept, and pairs of peaks in one
+frame and in neighbouring frames become hashes with their time, the
+fingerprint of a recording.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 RATE = 8000
 #: Payloads are padded with spaces to a positive multiple of this.
 UNIT = 192
-FRAME, HOP, PEAKS, FAN_OUT = 512, 256, 2, 2
+#: The shortest payload has five frames.
+FRAME, HOP, PEAKS, FAN_OUT = 64, 32, 2, 2
+#: Share of a frame's loudest peak under which the peak of a band is leakage of the other (-20 dB).
+AUDIBLE = 0.1
 #: Frames transformed at once, so that a long recording takes bounded memory.
 FRAMES_AT_ONCE = 2048
 #: Rows handled at once inside an Arrow batch.
@@ -57,7 +61,9 @@ def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bins, loudness): the strongest local peak of each band, for each frame.
 
     Frames of ``FRAME`` samples every ``HOP``; the last is filled with
-    silence.  The spectrum is split into ``PEAKS`` bands of equal width.
+    silence.  A frame's mean is taken off first, as the window would spread it
+    over the lowest bin.  The spectrum is split into ``PEAKS`` bands of equal
+    width.
     """
     frames = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
     window = np.hanning(FRAME).astype(np.float32)
@@ -68,7 +74,9 @@ def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = samples[a * HOP : a * HOP + len(part)]
         part[: len(own)] = own
         at = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        power = np.abs(np.fft.rfft((at.astype(np.float32) - 128) * window, axis=1))[:, 1:]
+        wave_form = at.astype(np.float32)
+        wave_form -= wave_form.mean(1, keepdims=True)
+        power = np.abs(np.fft.rfft(wave_form * window, axis=1))[:, 1:]
         bands = power[:, : PEAKS * (power.shape[1] // PEAKS)].reshape(n, PEAKS, -1)
         top = bands.argmax(2)
         bins.append(top + np.arange(PEAKS) * bands.shape[2] + 1)
@@ -79,15 +87,23 @@ def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint(samples: bytes) -> np.ndarray:
     """Time-coded hashes of peak pairs: (frame << 32) | (bin << 20) | (later bin << 8) | distance.
 
-    Each frame's loudest peak is paired with the loudest of the next
-    ``FAN_OUT`` frames.
+    Every kept peak is paired with the other ones of its frame (distance 0)
+    and with those of the next ``FAN_OUT`` frames.  The only peak of a
+    recording of one frame is paired with itself.
     """
+    if not samples:
+        return np.empty(0, np.int64)
     bins, loud = spectral_peaks(np.frombuffer(samples, np.uint8))
-    best = bins[np.arange(len(bins)), loud.argmax(1)].astype(np.int64)
+    bins, heard = bins.astype(np.int64), loud >= AUDIBLE * loud.max(1, keepdims=True)
     pairs = []
-    for d in range(1, FAN_OUT + 1):
-        t = np.arange(max(0, len(best) - d), dtype=np.int64)
-        pairs.append((t << 32) | (best[: len(t)] << 20) | (best[d:] << 8) | d)
+    for d in range(FAN_OUT + 1):
+        t = np.arange(max(0, len(bins) - d), dtype=np.int64)
+        for i in range(PEAKS):
+            for j in range(PEAKS) if d else range(i + 1, PEAKS):
+                both = heard[: len(t), i] & heard[d:, j]
+                pairs.append(((t << 32) | (bins[: len(t), i] << 20) | (bins[d:, j] << 8) | d)[both])
+    if len(bins) == 1 and heard.sum() == 1:
+        pairs.append((bins[heard] << 20) | (bins[heard] << 8))
     return np.sort(np.concatenate(pairs))
 
 
@@ -109,8 +125,8 @@ def with_wav(df: DataFrame, payload_col: str = "payload", media_col: str = "medi
 def with_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` and what its WAV files hold: samples binary, sample_rate int, fingerprint array<long>.
 
-    Defined cases: a null file gives nulls; a recording of one frame or none
-    has an empty fingerprint; other columns pass through, those named like the
+    Defined cases: a null file gives nulls; a recording without samples has
+    an empty fingerprint; other columns pass through, those named like the
     added ones are replaced.
     """
     df = df.drop("samples", "sample_rate", "fingerprint")

@@ -46,6 +46,23 @@ def test_peaks_of_a_tone():
     assert len(media.spectral_peaks(long)[0]) == -(-(len(long) - media.FRAME) // media.HOP) + 1
 
 
+def test_short_recordings_have_fingerprints_of_their_own():
+    rng = random.Random(8)
+    for size in (192, 384, 576):
+        marks = {tuple(media.fingerprint(bytes(rng.choices(range(32, 123), k=size))).tolist()) for _ in range(200)}
+        assert len(marks) == 200 and all(marks)
+    assert len(media.fingerprint(b"")) == 0 and len(media.fingerprint(bytes(rng.choices(range(256), k=media.FRAME))))
+
+
+def test_peaks_of_both_bands_are_paired():
+    t = np.arange(8 * media.FRAME)
+    chord = lambda low, high: (128 + 60 * np.sin(2 * np.pi * low * t / media.FRAME) + 50 * np.sin(2 * np.pi * high * t / media.FRAME)).astype(np.uint8).tobytes()
+    pairs = {((m >> 20) & 0xFFF, (m >> 8) & 0xFFF, m & 0xFF) for m in media.fingerprint(chord(5, 20)).tolist()}
+    assert pairs == {(5, 20, 0)} | {(a, b, d) for a in (5, 20) for b in (5, 20) for d in (1, 2)}
+    one_frame = media.fingerprint(chord(5, 20)[: media.FRAME])
+    assert [((m >> 20) & 0xFFF, (m >> 8) & 0xFFF, m & 0xFF) for m in one_frame.tolist()] == [(5, 20, 0)]
+
+
 def test_op2_columns(spark, data):
     for r in queries.op2_media_columns(spark, data).limit(20).collect():
         assert r.payload_bytes % 192 == 0 and r.payload_bytes >= max(r.n_bytes, 192) and len(r.media_sha256) == 64
