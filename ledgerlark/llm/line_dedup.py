@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from .common import settle
 
-#: Lines of fewer words are never near copies; they are only compared whole.
-LEAST_WORDS = 8
+#: Lines of fewer words are only compared whole: of two words or one, the bound of one word may change half the line or all of it.
+LEAST_WORDS = 3
 
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -109,7 +109,7 @@ def near_line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Every line: id_col, pos, keep, first_id, first_pos.
 
     Lines compare by their words in lower case.  A line goes when the same
-    line, or with ``LEAST_WORDS`` words or more one that differs in one word
+    line, or with ``LEAST_WORDS`` words or more in both, one that differs in one word
     (changed, added or left out), stands earlier: in a row of smaller id, or
     higher in the same row.  It does not matter whether the earlier line goes
     too.  first_id and first_pos are the earliest such line.  Lines without

@@ -177,3 +177,10 @@ def test_near_lines(spark):
     cleaned = {r.doc_id: r.text for r in line_dedup.drop_near_lines(table(spark, rows)).collect()}
     for i, t in rows:
         assert cleaned[i] == (None if t is None else "\n".join(line for p, line in enumerate(t.split("\n")) if want[i, p] is None))
+
+
+def test_short_lines_have_near_copies(spark):
+    rows = [(1, "terms of use and more for all"), (2, "terms of use and less for all"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight"),
+            (5, "a b c"), (6, "a x c"), (7, "a b c d"), (8, "home page"), (9, "home site"), (10, "home page here")]
+    got = {r.doc_id: r.first_id for r in line_dedup.near_line_marks(table(spark, rows)).collect() if not r.keep}
+    assert got == {2: 1, 4: 3, 6: 5, 7: 5}
