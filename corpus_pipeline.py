@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from ledgerlark.llm.common import settle
-from ledgerlark.llm.queries import ENTROPY_SHARE, MAX_REPETITION, REJECT_FROM, held_out, table, word_tokenizer_path
+from ledgerlark.llm.queries import ENTROPY_SHARE, MAX_REPETITION, TOXIC_FROM, held_out, table, word_tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``REJECT_FROM`` by a model of the labelled rows."""
+    """Documents that score below ``TOXIC_FROM``, as op9 does, by a model of the labelled rows."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out())
-    return toxicity.clean_documents(docs, model, REJECT_FROM)
+    return toxicity.clean_documents(docs, model, TOXIC_FROM)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup, html_extract, line_dedup, lm_score, media, mixing, near_dedup, packing, toxicity, warc
 
 #: Parameters that the queries and the pipeline share.
-TOXIC_FROM, REJECT_FROM = 0.3, 0.5
+TOXIC_FROM = 0.3
 ENTROPY_SHARE, MAX_REPETITION = 0.95, 4.0
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from ledgerlark.llm import queries, toxicity
 from ledgerlark.llm.common import settle
 
 
@@ -23,3 +24,19 @@ def test_stages(spark, data):
             assert set(mixed) <= set(ids)
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(mixed)
     assert seen[0] >= seen[1] >= seen[2] > 0
+
+
+def test_toxic_stage_rejects_what_op9_predicts_as_toxic(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40).localCheckpoint()
+    plain = toxicity.SubwordBags.trained(["a b", "bad bad"] * 20, [0, 1] * 20)
+    monkeypatch.setattr(toxicity, "fit", lambda *a: plain)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: docs)
+    scores = sorted(r.score for r in toxicity.scores(docs, plain).collect())
+    assert scores[0] < scores[-1]
+    shift = lambda p: float(__import__("math").log(p / (1 - p)))
+    middle = scores[len(scores) // 2]
+    plain.bias[1] += shift(0.4) - shift(middle)  # many scores lie between 0.3 and 0.5 now
+    between = toxicity.scores(docs, plain).filter("score >= 0.3 and score < 0.5").count()
+    predicted = {r.doc_id for r in queries.op9_toxicity(spark, data).filter("predicted = 1").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, data).collect()}
+    assert between and kept == {r.doc_id for r in docs.collect()} - predicted
