@@ -31,8 +31,8 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
 def focus(trades: DataFrame, path: str) -> DataFrame:
     """P20: where a file is named for one of several tickers, only that ticker's rows."""
     wanted = path.rsplit("/", 1)[-1].rsplit(".", 1)[0].upper().split("_FORM4")[0]
-    tickers = [r[0] for r in trades.select("ticker").distinct().limit(1000).collect()]
-    return trades.filter(F.col("ticker") == wanted) if len(tickers) > 1 and wanted in tickers else trades
+    found = trades.agg(F.max(F.col("ticker") == wanted), F.min("ticker") < F.max("ticker"), F.max(F.col("ticker").isNull())).first()
+    return trades.filter(F.col("ticker") == wanted) if found[0] and (found[1] or found[2]) else trades
 
 
 def add_price_labels(trades: DataFrame, prices: DataFrame, benchmark: DataFrame, horizon: int = HORIZON, threshold: float = THRESHOLD) -> DataFrame:

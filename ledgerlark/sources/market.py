@@ -149,18 +149,23 @@ def alias_table(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
     return given.unionByName(own.select("ticker", F.lower("ticker").alias("alias"))).filter(F.length("alias") >= SHORTEST_ALIAS).distinct()
 
 
-def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text: str = "text", key: str = "item_id", most_words: int = 5) -> DataFrame:
+def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text: str = "text", key: str = "item_id", most_words: int | None = None) -> DataFrame:
     """(key, ticker, matched_by): tickers that stand in an item as a word, else by an alias as a phrase, the least alias.
 
-    Texts become runs of up to ``most_words`` words, which meet aliases by
-    equality, so the work grows with the texts and not with texts times
-    aliases.  Longer aliases than that are an error.
+    Texts become runs of up to ``most_words`` words (those of the longest
+    alias), which meet aliases by equality, so the work grows with the texts
+    and not with texts times aliases.  Where ``most_words`` is given, longer
+    aliases are an error.
     """
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    most_words = most_words or longest
+    if longest > most_words:
+        raise ValueError(f"an alias has {longest} words, more than {most_words}")
     words = F.split(t.normal_text(F.col(text)), " ")
     n = F.size("w")
     runs = [F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most_words + 1)]  # noqa: B023
     grams = items.select(F.col(key), words.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias"))
-    by_alias = grams.join(aliases.filter(F.size(F.split("alias", " ")) <= most_words), "alias").groupBy(key, "ticker").agg(F.min("alias").alias("alias"))
+    by_alias = grams.join(aliases, "alias").groupBy(key, "ticker").agg(F.min("alias").alias("alias"))
     upper = items.select(F.col(key), F.explode(F.array_distinct(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_]+", " "), " "))).alias("ticker"))
     by_ticker = upper.join(tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct(), "ticker", "left_semi")
     both = by_alias.join(by_ticker.select(key, "ticker", F.lit(True).alias("named")), [key, "ticker"], "full_outer")

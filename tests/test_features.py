@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import trade as t
 from ledgerlark.operators import asof, history, labels
+from ledgerlark.sources import market
 from ledgerlark.sources.driver_tables import domain
 
 D = dt.date(2020, 1, 1)
@@ -106,3 +107,20 @@ def test_routine_needs_both_years_before(spark):
     rows = [(k, w, dt.date(y, 3, 1)) for k, (w, y) in enumerate([("a", 2018), ("a", 2019), ("a", 2020), ("a", 2022), (None, 2018), (None, 2019), (None, 2020)])]
     df = spark.createDataFrame(rows, "row_id long, insider_cik string, transaction_date date")
     assert {r.row_id for r in labels.routine_trades(df).collect() if r.is_routine} == {2, 6}
+
+
+def test_focus_finds_a_ticker_among_thousands(spark):
+    rows = spark.range(5000).select(F.format_string("T%04d", "id").alias("ticker"))
+    for wanted in ("T0000", "T2500", "T4999"):
+        assert [r.ticker for r in labels.focus(rows, f"/x/{wanted}_form4.csv").collect()] == [wanted]
+    assert labels.focus(rows, "/x/other.csv").count() == 5000
+    assert labels.focus(rows.limit(0), "/x/T0001.csv").count() == 0
+
+
+def test_long_aliases_are_matched(spark):
+    items = spark.createDataFrame([(1, "shares of the very long name holding company group fell")], "item_id long, text string")
+    tickers = spark.createDataFrame([("VLN",)], "ticker string")
+    aliases = spark.createDataFrame([("VLN", "very long name holding company group")], "ticker string, alias string")
+    assert [(r.item_id, r.ticker) for r in market.match_tickers(items, aliases, tickers).collect()] == [(1, "VLN")]
+    with pytest.raises(ValueError):
+        market.match_tickers(items, aliases, tickers, most_words=5)
