@@ -236,7 +236,6 @@ def model_table(tables) -> DataFrame:
 
 
 MODEL_FEATURES = ("log_shares", "log_total_value", "pct_position_traded", "days_to_filing", "txn_month", "role_seniority", "signal")
-SMALL = {"maxDepth": 3, "maxIter": 5}
 
 
 def splits(tables):
@@ -248,14 +247,14 @@ def splits(tables):
 @book.add()
 def m02_m13_boosted_trees(tables):
     train, val, test = splits(tables)
-    model = models.fit_boosted(train, val, MODEL_FEATURES, maxDepth=3, maxIter=10)
+    model = models.fit_boosted(train, val, MODEL_FEATURES)
     return models.score(model, test, MODEL_FEATURES).select("row_id", "final_label", "prob", "flag")
 
 
 @book.add()
 def m02_grid_search(tables):
     train, val, _ = splits(tables)
-    return models.grid_search(train, val, MODEL_FEATURES, grid=[{"maxDepth": d, "stepSize": 0.1, "maxIter": 3, "subsamplingRate": 0.8} for d in (2, 3)])[1]
+    return models.grid_search(train, val, MODEL_FEATURES)[1]
 
 
 @book.add()
@@ -267,7 +266,7 @@ def m04_isolation_forest(tables):
 @book.add()
 def m05_surrogate_importance(tables):
     train, _, test = splits(tables)
-    scored = models.isolation_scores(test, models.isolation_trees(train, MODEL_FEATURES, trees=50), MODEL_FEATURES, keep=("row_id", "final_label", *MODEL_FEATURES))
+    scored = models.isolation_scores(test, models.isolation_trees(train, MODEL_FEATURES), MODEL_FEATURES, keep=("row_id", "final_label", *MODEL_FEATURES))
     return models.surrogate_importance(scored, MODEL_FEATURES)
 
 
@@ -278,8 +277,8 @@ def profiles(tables) -> DataFrame:
 @book.add()
 def m06_a18_j14_clusters(tables):
     own = profiles(tables)
-    costs = {k: models.cluster(own, MODEL_FEATURES, k, restarts=1)[0].summary.trainingCost for k in range(2, 7)}
-    model, rows = models.cluster(own, MODEL_FEATURES, models.elbow(costs), restarts=3)
+    costs = {k: models.cluster(own, MODEL_FEATURES, k)[0].summary.trainingCost for k in range(2, 11)}
+    model, rows = models.cluster(own, MODEL_FEATURES, models.elbow(costs))
     clustered = model.transform(rows).withColumnRenamed("prediction", "cluster")
     return models.map_back(model_table(tables), clustered, models.cluster_rates(clustered)).select("row_id", "insider_cik", "cluster", "prob")
 
@@ -291,19 +290,19 @@ def m07_principal_components(tables):
 
 @book.add()
 def m10_ablation(tables):
-    groups = {"trade": ("log_shares", "log_total_value", "pct_position_traded"), "timing": ("days_to_filing", "txn_month"), "market": ("signal",)}
-    return models.ablation(*splits(tables), groups, MODEL_FEATURES, **SMALL)
+    groups = {"trade": ("log_shares", "log_total_value", "pct_position_traded"), "timing": ("days_to_filing", "txn_month"), "market": ("signal",), "insider": ("role_seniority",)}
+    return models.ablation(*splits(tables), groups, MODEL_FEATURES)
 
 
 @book.add()
 def m11_walk_forward(tables):
-    return models.walk_forward(model_table(tables), MODEL_FEATURES, (1997, 1998), **SMALL)
+    return models.walk_forward(model_table(tables), MODEL_FEATURES, (1996, 1997, 1998))
 
 
 @book.add()
 def m12_permutation_importance(tables):
     train, val, test = splits(tables)
-    return models.permutation_importance(models.fit_boosted(train, val, MODEL_FEATURES, **SMALL), test, MODEL_FEATURES, of=("txn_month", "signal"))
+    return models.permutation_importance(models.fit_boosted(train, val, MODEL_FEATURES), test, MODEL_FEATURES)
 
 
 @book.add()
