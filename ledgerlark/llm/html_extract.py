@@ -1,12 +1,15 @@
-"""Main text of web pages by suffix arrays over the pages of a host.
-
-A page is parsed into blocks, each with the zone that its markup gives it.
-The token streams of a host's pages are concatenated and their suffixes
-sorted by prefix doubling, up to the shortest run that counts; neighbours that
-agree on distinct pages are runs that the site repeats.  Blocks that such runs
-cover are boilerplate, and only their unique runs stay.  Inside a container
-that the page itself marks as its article, a repeated passage is content (the
-same article may stand on two pages), unless nearly every page has it.
+"""Main text of web pages by the suffixes that pages of a host share.
+
+A page is parsed where it lies into blocks, each with the zone that its markup
+gives it.  The token streams of a host's pages make one text; in the order of
+its suffixes, those that agree on their first ``RUN`` tokens stand together.
+That order is read in a distributed way, by grouping the suffixes of a host by
+these tokens, so no task holds a host.  A substring that distinct pages share
+is a chain of such suffixes at successive places, of any length from ``RUN``
+up.  Blocks that shared substrings cover are boilerplate, and only their
+unique runs stay.  Inside a container that a page marks as its article, a
+repeated passage is content (an article may stand on two pages), unless it is
+a whole block that nearly every page of the host has.
 """
 
 from __future__ import annotations
@@ -16,25 +19,28 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mixed, settle
+
 #: Tokens of the shortest run that counts, block ends included.
-DOUBLINGS = 3
-RUN = 1 << DOUBLINGS
+RUN = 8
 #: Share of a block that repeated runs must cover for the block to go as a whole.
 COVERED = 0.8
-#: A passage inside an article goes if it stands on so many pages and this share of them.
+#: A page is a copy if the blocks that fewest pages share have so many times the words that are its own.
+COPY = 4
+#: A block inside an article goes if it stands on so many pages and this share of the host's.
 SITE_PAGES, SITE_SHARE = 20, 0.9
-#: Pages of a host in one group on average, and hosts for which a salt may be kept.
-SHARD_PAGES, MAX_SALTED = 64, 100_000
 
 #: HTML element names by their part in a page.
 DROPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video select option textarea button".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+HEAD_CONTENT = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark page furniture.
 FURNITURE = re.compile(
@@ -43,12 +49,26 @@ FURNITURE = re.compile(
     r"related|recommended|comment|comments|disqus|respond|reply|replies|pagination|pager|toolbar|skip|legal|copyright|complementary|contentinfo)(?:$|[^a-z])",
     re.I,
 )
+#: Words in class or id that name parts of an article, and those that mark furniture inside one.
+ARTICLE_PART = re.compile(r"(?:^|[^a-z])(?:post|entry|article|story|content)[-_]?(?:header|head|title|body|content|text)(?:$|[^a-z])", re.I)
+INNER_FURNITURE = re.compile(
+    r"(?:^|[^a-z])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|"
+    r"cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|"
+    r"related|recommended|comment|comments|disqus|respond|reply|replies|pagination|pager)(?:$|[^a-z])",
+    re.I,
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*$", re.S)
 HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW_END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 PLAIN, ARTICLE, FURNISHED = 0, 1, 2
 
 
+def is_furniture(hints: str, zone: int) -> bool:
+    """Whether class, id and role of a block element mark it as page furniture, which takes plainer words inside an article."""
+    hints = hints.replace("_", "-")
+    return bool((INNER_FURNITURE if zone == ARTICLE else FURNITURE).search(ARTICLE_PART.sub(" ", hints)))
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block in page order; white space is one space, references are decoded."""
     out: list[tuple[int, str]] = []
@@ -62,9 +82,19 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             out.append((zone, whole))
         text = []
 
+    def leave_head() -> None:
+        """Text, ``body`` or any element that a head can't hold ends it, with or without its end tag."""
+        nonlocal zone
+        end_block()
+        stack.pop()
+        zone = stack[-1][1] if stack else PLAIN
+
     while at < len(page):
         m = TOKEN.search(page, at)
-        text.append(page[at : m.start() if m else len(page)])
+        between = page[at : m.start() if m else len(page)]
+        if stack and stack[-1][0] == "head" and between.strip():
+            leave_head()
+        text.append(between)
         if not m:
             break
         at = m.end()
@@ -80,6 +110,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             continue
         if name in BLOCKS:
             end_block()
+        if not closing and stack and stack[-1][0] == "head" and name not in HEAD_CONTENT:
+            leave_head()
         if closing:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None and (name in BLOCKS or not any(x in CHROME or x in MAIN for x, _ in stack[depth + 1 :])):
@@ -94,7 +126,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             hints = " ".join(x or y or z for x, y, z in HINTS.findall(m[3])) if "=" in m[3] else ""
             if name in DROPPED or (name in CHROME and not (name == "header" and zone == ARTICLE)):
                 inner = FURNISHED
-            elif zone != FURNISHED and hints and name not in ("body", "html") and FURNITURE.search(hints.replace("_", "-")):
+            elif zone != FURNISHED and hints and name in BLOCKS and name not in ("body", "html") and is_furniture(hints, zone):
                 inner = FURNISHED
             elif zone != FURNISHED and (name in MAIN or re.search(r"(?:^|\s)main(?:\s|$)", hints)):
                 inner = ARTICLE
@@ -106,61 +138,75 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """For each token, the number of distinct pages that share a run of ``RUN`` tokens over it (1: none other).
+_U = np.uint64
+_PLACES = np.random.default_rng(20240301).integers(1, 1 << 63, RUN, dtype=np.uint64) * _U(2) + _U(1)
+_END = _U(0x9E3779B97F4A7C15)
+_words: dict[str, int] = {}
+
+
+def _word_hashes(words: list[str]) -> list[int]:
+    if len(_words) > 400_000:
+        _words.clear()
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return [_words[w] for w in words]
 
-    ``tokens`` are ids from 1 up; ``page`` ascends.  Prefix doubling sorts
-    the suffixes by their first ``RUN`` tokens; a suffix never reaches into
-    the next page.
+
+def suffixes(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, list[int]]:
+    """(keys, starts): the key of each suffix of a page's plain blocks by its first ``RUN`` tokens, and where blocks start.
+
+    The tokens are words, with an end token before, between and after blocks.
+    A suffix never reaches beyond its page.
     """
-    n = len(tokens)
-    rank = tokens.astype(np.int64)
-    left = np.searchsorted(page, page, "right") - np.arange(n)  # tokens up to the page's end
-    for k in range(DOUBLINGS):
-        step = 1 << k
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] if n > step else 0
-        ahead[left <= step] = 0
-        _, rank = np.unique(rank * (n + len(tokens) + 2) + ahead, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-    suffixes = np.lexsort((page, rank))
-    r, p = rank[suffixes], page[suffixes]
-    new_page = np.ones(n, bool)
-    new_page[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    pages_of = np.bincount(r, new_page).astype(np.int64)[rank]
-    pages_of[left < RUN] = 1
-    cover = np.ones(n, np.int64)
-    for k in range(min(RUN, n)):
-        cover[k:] = np.maximum(cover[k:], pages_of[: n - k])
-    return cover
-
-
-def main_texts(pages: list[str]) -> list[str]:
-    """Main text of each page of one host, or of a share of a large host's pages."""
-    parsed = [blocks_of(p) for p in pages]
-    names: dict[str, int] = {"\n": 1}
-    tokens, page, spans = [], [], []
-    for k, blocks in enumerate(parsed):
-        for zone, text in blocks:
-            words = text.split(" ")
-            spans.append((k, zone, text, words, len(tokens) + 1))
-            tokens += [1, *(names.setdefault(w, len(names) + 1) for w in words)]
-        tokens.append(1)
-        page += [k] * (len(tokens) - len(page))
-    cover = repeated_runs(np.array(tokens, np.int64), np.array(page, np.int64)) if tokens else np.ones(0, np.int64)
-    marked = {k for k, blocks in enumerate(parsed) if any(z == ARTICLE for z, _ in blocks)}
-    site = max(SITE_PAGES, SITE_SHARE * len(pages))
-    kept: list[list[str]] = [[] for _ in pages]
-    for k, zone, text, words, at in spans:
-        if zone == FURNISHED or zone == PLAIN and k in marked:
-            continue
-        repeats = cover[at : at + len(words)] >= (site if zone == ARTICLE else 2)
-        if repeats.mean() >= COVERED:
-            continue
-        if zone == PLAIN and repeats.any():
-            text = " ".join(w for w, r in zip(words, repeats) if not r)
-        kept[k].append(text)
-    return ["\n\n".join(x) for x in kept]
+    tokens, starts = [int(_END)], []
+    for _, text in blocks:
+        starts.append(len(tokens))
+        tokens += [*_word_hashes(text.split(" ")), int(_END)]
+    own = np.array(tokens, _U)
+    keys = np.zeros(max(0, len(own) - RUN + 1), _U)
+    for k in range(RUN):
+        keys += own[k : k + len(keys)] * _PLACES[k]
+    return mixed(keys).view(np.int64), starts
+
+
+def block_key(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1)).astype(np.int64))
+
+
+def page_keys(blocks: list[tuple[int, str]]) -> np.ndarray:
+    """Distinct keys that may stand on other pages: the article's blocks, or all suffixes of a page without a marked article."""
+    if any(z == ARTICLE for z, _ in blocks):
+        return np.unique(np.array([block_key(t) for z, t in blocks if z == ARTICLE], np.int64))
+    return np.unique(suffixes([x for x in blocks if x[0] == PLAIN])[0])
+
+
+def main_text(blocks: list[tuple[int, str]], repeats: dict[int, int]) -> str:
+    """Main text of a page, given the keys that count as repeated and the number of pages that have each."""
+    marked = [t for z, t in blocks if z == ARTICLE]
+    if marked:
+        return "\n\n".join(t for t in marked if block_key(t) not in repeats)
+    plain = [x for x in blocks if x[0] == PLAIN]
+    keys, starts = suffixes(plain)
+    cover = np.zeros(len(keys) + RUN - 1, np.int64)
+    if repeats:
+        pages = np.fromiter((repeats.get(k, 0) for k in keys.tolist()), np.int64, len(keys))
+        for k in range(RUN):
+            cover[k : k + len(pages)] = np.maximum(cover[k : k + len(pages)], pages)
+    found = []  # pages that share the block (0: it stays), words, what stays
+    for (_, text), at in zip(plain, starts):
+        words = text.split(" ")
+        own = cover[at : at + len(words)]
+        unique = [w for w, n in zip(words, own) if not n]
+        whole = len(words) - len(unique) >= COVERED * len(words)
+        found.append((int(own.max()), len(words), text) if whole else (0, len(unique), " ".join(unique)))
+    if shared := [n for n, _, _ in found if n]:
+        words_of = lambda pages: sum(size for n, size, _ in found if n == pages)
+        least = min(shared)
+        # A page with next to nothing of its own is a copy: what fewest pages have is its content.
+        if not words_of(0) or COPY * words_of(0) <= words_of(least) and 2 * least <= max(shared):
+            found = [(0 if n == least else n, size, text) for n, size, text in found]
+    return "\n\n".join(text for n, _, text in found if not n)
 
 
 def host_of(url: Column) -> Column:
@@ -168,34 +214,79 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+PARSED = "_host string, _page long, _id {kind}, _url string, _zones binary, _texts array<string>"
+
+
+def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Each page as blocks: _host, _page (hash of host and html, the page's identity), _id, _url, _zones (a byte each), _texts."""
+    content = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), content.alias("_html"))
+    own = own.withColumn("_host", host_of(F.col("_url"))).select("_host", F.xxhash64("_host", "_html").alias("_page"), "_id", "_url", "_html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                found = [blocks_of(t.as_py()) for t in part.column(4)]
+                zones = pa.array([bytes(z for z, _ in x) for x in found], pa.binary())
+                texts = pa.array([[t.encode("utf-8", "replace").decode() for _, t in x] for x in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], zones, texts], ["_host", "_page", "_id", "_url", "_zones", "_texts"])
+
+    return own.mapInArrow(run, PARSED.format(kind=pages.schema[id_col].dataType.simpleString()))
+
+
+def _blocks(zones: pa.Scalar, texts: pa.Scalar) -> list[tuple[int, str]]:
+    return list(zip(zones.as_py(), texts.as_py()))
+
+
+def repeated_keys(parsed: DataFrame) -> DataFrame:
+    """(_page, repeats): for pages that have some, the keys that other pages of the host share, each with its number of pages.
+
+    Suffixes of plain blocks count from two distinct pages, blocks of marked
+    articles from ``SITE_PAGES`` pages and ``SITE_SHARE`` of the host's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                host, page, zones, texts = batch.slice(i, 256).columns
+                keys = [page_keys(_blocks(z, t)) for z, t in zip(zones, texts)]
+                sizes = [len(k) for k in keys]
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                marked = np.repeat([ARTICLE in z.as_py() for z in zones], sizes).astype(bool)
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([host.take(pa.array(at)), page.take(pa.array(at)), pa.array(flat, pa.int64()), pa.array(marked)], ["_host", "_page", "_key", "_marked"])
+
+    own = parsed.select(F.xxhash64("_host").alias("_host"), "_page", "_zones", "_texts")
+    keys = own.mapInArrow(run, "_host long, _page long, _key long, _marked boolean")
+    sizes = own.groupBy("_host").agg(F.count("*").alias("_rows"))
+    counts = keys.groupBy("_host", "_key", "_marked").agg(F.count("*").alias("n"), F.min("_page").alias("low"), F.max("_page").alias("high")).filter("low <> high")
+    counts = counts.join(sizes, "_host").filter(~F.col("_marked") | ((F.col("n") >= SITE_PAGES) & (F.col("n") >= SITE_SHARE * F.col("_rows"))))
+    met = keys.distinct().join(counts.select("_host", "_key", "_marked", "n"), ["_host", "_key", "_marked"])
+    return met.groupBy("_page").agg(F.collect_list(F.struct("_key", "n")).alias("repeats"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars): main text of every page from its whole html.
 
-    Pages group by host; hosts with more than ``SHARD_PAGES`` pages, or what
-    keeps their number below ``MAX_SALTED``, are dealt to several groups by a
-    hash of the page's id, so that no group grows with its host.  Defined
+    Repeats are counted over all pages of a host, however many, by grouping;
+    a page is told by its html, so copies of one page count once.  Defined
     cases: a null or empty html, or one without main text, gives ''; a null
-    url is the host ''; repeated rows of one id count as one page in the
-    search for repeats and are all returned; a very long page is parsed whole;
-    an empty table gives an empty table; other columns are not looked at.
+    url is the host ''; repeated rows are all returned, alike; a page
+    with next to nothing that other pages don't repeat is a copy and keeps the
+    blocks that the fewest pages have; a very long page is parsed whole; an empty table gives
+    an empty table; other columns are not looked at.
     """
-    own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
-    own = own.withColumn("_host", host_of(F.col("_url")))
-    counts = own.groupBy("_host").agg(F.count("*").alias("n"))
-    shard = max(SHARD_PAGES, -(-pages.count() // MAX_SALTED))
-    # At most rows / shard hosts, and so at most MAX_SALTED rows.
-    salts = counts.filter(F.col("n") > shard).select(F.col("_host").alias("_h"), F.ceil(F.col("n") / shard).alias("_salts"))
-    dealt = own.join(F.broadcast(salts), F.col("_host") == F.col("_h"), "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_salts")), F.lit(0))
-    )
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_id", "_html"], na_position="first", ignore_index=True)
-        first = ~rows.duplicated(["_id", "_html"]).to_numpy()
-        texts = main_texts(rows["_html"][first].to_list())
-        text = [texts[i] for i in np.cumsum(first) - 1]
-        return pd.DataFrame({id_col: rows["_id"], url_col: rows["_url"], "text": text, "n_chars": [len(t) for t in text]})
+    parsed = settle(parsed_pages(pages, id_col, url_col, html_col), "pages")
+    repeats = repeated_keys(parsed).withColumnRenamed("_page", "_own")
+    joined = parsed.join(repeats, F.col("_page") == F.col("_own"), "left").select("_id", "_url", "_zones", "_texts", "repeats")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                ids, urls, zones, texts, repeats = batch.slice(i, 256).columns
+                found = [main_text(_blocks(z, t), {x["_key"]: x["n"] for x in r.as_py() or ()}) for z, t, r in zip(zones, texts, repeats)]
+                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    grouped = dealt.select("_id", "_url", "_html", "_host", "_salt").groupBy("_host", "_salt")
-    return grouped.applyInPandas(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
