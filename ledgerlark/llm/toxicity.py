@@ -30,6 +30,8 @@ RARITY = 2.0
 EPOCHS, BATCH, RATE = 10, 64, 0.5
 #: Bound of the labelled sample, for each class.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
+#: Bound of the sample in distinct subwords of its texts, 8 bytes each.
+MAX_ENTRIES = 24_000_000
 CACHED_WORDS = 400_000
 #: Texts whose new words are hashed together, and words in one piece of that.
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 20_000
@@ -81,6 +83,11 @@ class SubwordBags:
 
     @classmethod
     def trained(cls, texts: list[str], labels: list[int], seed: int = 7) -> SubwordBags:
+        """The model of whole texts and their labels."""
+        return cls.fitted([cls.bag(t) for t in texts], labels, seed)
+
+    @classmethod
+    def fitted(cls, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> SubwordBags:
         """Adagrad on both layers together; without labels of both classes, the score is their share."""
         rng = np.random.default_rng(seed)
         y = np.asarray(labels, np.int64)
@@ -91,27 +98,36 @@ class SubwordBags:
         model = cls(e, w, b, rarity)
         if len(set(labels)) < 2:
             return model
-        bags = [cls.bag(t) for t in texts]
-        seen = np.bincount(np.concatenate([at for at, _ in bags]), minlength=BUCKETS)
-        rarity[:] = (np.log((len(bags) + 1) / (seen + 1)) / np.log(len(bags) + 1)) ** RARITY
-        bags = [(at, share * rarity[at]) for at, share in bags]
+        sizes = np.array([len(at) for at, _ in bags])
+        ends = np.cumsum(sizes)
+        every, share = np.concatenate([at for at, _ in bags]), np.concatenate([x for _, x in bags])
+        del bags
+        seen = np.bincount(every, minlength=BUCKETS)
+        rarity[:] = (np.log((len(sizes) + 1) / (seen + 1)) / np.log(len(sizes) + 1)) ** RARITY
+        share = share * rarity[every]
         ge, gw, gb = np.full(BUCKETS, 1e-2, np.float32), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
         for epoch in range(EPOCHS):
-            order, rate = rng.permutation(len(bags)), RATE / (1 + epoch)
+            order, rate = rng.permutation(len(sizes)), RATE / (1 + epoch)
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
-                at = np.concatenate([bags[k][0] for k in part])
-                share = np.concatenate([bags[k][1] for k in part])
-                row = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
-                h = np.stack([np.bincount(row, share * e[at, d], len(part)) for d in range(WIDTH)], 1).astype(np.float32)
+                # Entries of the batch's bags, bag by bag.
+                n = sizes[part]
+                row = np.repeat(np.arange(len(part)), n)
+                pick = np.arange(n.sum()) + np.repeat(ends[part] - np.cumsum(n), n)
+                at, x = every[pick], share[pick][:, None]
+                full = np.flatnonzero(n)
+                h = np.zeros((len(part), WIDTH), np.float32)
+                h[full] = np.add.reduceat(x * e[at], (np.cumsum(n) - n)[full]) if len(full) else 0
                 z = h @ w + b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(part)), y[part]] -= 1
                 p /= len(part)
                 dh, dw, db = p @ w.T, h.T @ p, p.sum(0)
-                used, back = np.unique(at, return_inverse=True)
-                de = np.stack([np.bincount(back, share * dh[row, d], len(used)) for d in range(WIDTH)], 1).astype(np.float32)
+                sort = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[sort], prepend=-1))
+                used = at[sort][first]
+                de = np.add.reduceat((x * dh[row])[sort], first) if len(first) else np.zeros((0, WIDTH), np.float32)
                 ge[used] += (de * de).mean(1)
                 e[used] -= rate * de / np.sqrt(ge[used])[:, None]
                 gw += dw * dw
@@ -120,6 +136,14 @@ class SubwordBags:
                 b -= rate * db / np.sqrt(gb)
         return model
 
+    def packed(self) -> list[bytes]:
+        return [x.astype("<f4").tobytes() for x in (self.embeddings, self.softmax, self.bias, self.rarity)]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> SubwordBags:
+        e, w, b, rarity = (np.frombuffer(bytes(x), "<f4").copy() for x in parts)
+        return cls(e.reshape(BUCKETS, WIDTH), w.reshape(WIDTH, 2), b, rarity)
+
     def learn_words(self, words: set[str]) -> None:
         """Remember the mean of each word's subwords, projected on the difference of the classes."""
         towards = (self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0]) * self.rarity).astype(np.float64)
@@ -150,27 +174,55 @@ class SubwordBags:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """(text, toxic): whole texts of at most so many labelled rows of each class, chosen by a hash of the id."""
+    """(turn, text, toxic): whole texts of at most so many labelled rows of each class, chosen by a hash of the id."""
     known = labels.filter("toxic in (0, 1)").select(F.col(id_col).alias("_id"), "toxic").distinct()
     take = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = take(1, max_toxic).unionByName(take(0, max_clean))
     # At most max_toxic + max_clean rows of two numbers.
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), "toxic")
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
+    return rows.select(F.xxhash64("_id").alias("turn"), F.coalesce(docs[text_col], F.lit("")).alias("text"), "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, **params) -> SubwordBags:
+def fit(docs: DataFrame, labels: DataFrame, held_out, max_entries: int = MAX_ENTRIES, **params) -> SubwordBags:
     """Train on labelled rows outside ``held_out`` (a condition on the labels).
 
-    The sample may hold a larger share of toxic rows than all labels do; the
-    bias is put back to the share among all of them.
+    Texts become bags where they lie.  The bags of the bounded sample meet in
+    one task, which takes them in the order of their hash up to
+    ``max_entries`` subwords in all and trains; only the weights, of fixed
+    size, reach the driver.  The sample may hold a larger share of toxic rows
+    than all labels do; the bias is put back to the share among all of them.
     """
     known = labels.filter(~F.coalesce(held_out, F.lit(True)))
-    rows = training_rows(docs, known, **params).toArrow()
-    model = SubwordBags.trained(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                turn, text, toxic = batch.slice(i, 64).columns
+                found = [SubwordBags.bag(t.as_py()) for t in text]
+                cols = [pa.array([x[k].astype(t).tobytes() for x in found], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"))]
+                yield pa.RecordBatch.from_arrays([turn, toxic.cast(pa.int32()), *cols], ["turn", "toxic", "buckets", "shares"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, labels_, entries = [], [], 0
+        for batch in batches:
+            for toxic, at, share in zip(*(batch.column(k) for k in (1, 2, 3))):
+                at, share = np.frombuffer(at.as_py(), "<i4"), np.frombuffer(share.as_py(), "<f4")
+                entries += len(at)
+                if entries > max_entries:
+                    break
+                sample.append((at, share))
+                labels_.append(toxic.as_py())
+        model = SubwordBags.fitted(sample, labels_)
+        yield pa.RecordBatch.from_pydict({"weights": [model.packed()], "toxic": [sum(labels_)], "rows": [len(labels_)]}, pa.schema(
+            [("weights", pa.list_(pa.binary())), ("toxic", pa.int64()), ("rows", pa.int64())]
+        ))
+
+    hashed = training_rows(docs, known, **params).mapInArrow(bags, "turn long, toxic int, buckets binary, shares binary")
+    trained = hashed.repartition(1).sortWithinPartitions("turn", "toxic", "buckets").mapInArrow(train, "weights array<binary>, toxic long, rows long").first()
+    model = SubwordBags.unpacked(trained["weights"])
     everywhere = dict(known.filter("toxic in (0, 1)").groupBy("toxic").count().collect())
     odds = lambda toxic, clean: np.log((toxic + 0.5) / (clean + 0.5))
-    sampled = odds(sum(rows["toxic"].to_pylist()), len(rows) - sum(rows["toxic"].to_pylist()))
-    model.bias[1] += odds(everywhere.get(1, 0), everywhere.get(0, 0)) - sampled
+    model.bias[1] += odds(everywhere.get(1, 0), everywhere.get(0, 0)) - odds(trained["toxic"], trained["rows"] - trained["toxic"])
     return model
 
 
