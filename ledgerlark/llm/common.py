@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only in local mode, where all tasks share the machine.
 OWN_SCRATCH = "/tmp/checkpoints"
+#: Edges that one task joins, 16 bytes each.
+FEW_EDGES = 1 << 14
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -61,8 +65,25 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b) as (id, component = least id).
+def _joined_by_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, to) by union-find over the edges of one task."""
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root.setdefault(up, up)
+        return k
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(k) for k in ids], pa.int64())], ["id", "to"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """Connected components of ``edges`` (a, b long) as (id, component = least id).
 
     Every round, each id joins the one of itself and its neighbours that comes
     first in an order drawn for that round, and the edges between the ids that
@@ -70,14 +91,15 @@ def components(edges: DataFrame) -> DataFrame:
     on, whatever the shape of the graph and the order of its ids, so the
     number of rounds is logarithmic and has no bound to run into.  The first
     round goes by the ids themselves, which settles stars around their least
-    id.  Every round is written to the shared folder; only whether edges are
-    left reaches the driver.  No edges give an empty table.  Edges with a null
-    end are ignored.
+    id; once no more than ``few`` edges are left, one task joins them.  Every
+    round is written to the shared folder; only the number of edges left
+    reaches the driver.  No edges give an empty table.  Edges with a null end
+    are ignored.
     """
     spark, written, rounds = edges.sparkSession, [], []
     edges = edges.filter("a is not null and b is not null and a <> b")
     left = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", written)
-    while not left.isEmpty():
+    while (n := left.count()) > few:
         turn = lambda c: F.struct((F.xxhash64(c, F.lit(len(rounds))) if rounds else F.col(c)).alias("turn"), F.col(c).alias("id"))  # noqa: E731, B023
         both = left.select("a", "b").union(left.select("b", "a"))
         joined = both.groupBy("a").agg(F.min(turn("b")).alias("first")).select(F.col("a").alias("id"), F.least("first", turn("a"))["id"].alias("to"))
@@ -85,14 +107,16 @@ def components(edges: DataFrame) -> DataFrame:
         end = lambda c: rounds[-1].select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
         moved = left.join(end("a"), "a").join(end("b"), "b").filter("a_to <> b_to")
         left = settle(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges", written)
-    if not rounds:
-        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if n or not rounds:
+        rounds.append(left.repartition(1).mapInArrow(_joined_by_edges, "id long, to long"))
     labels = rounds.pop()
-    while rounds:
-        later = labels.select(F.col("id").alias("to"), F.col("to").alias("end"))
-        labels = rounds.pop().join(later, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
-    labels = settle(labels, "labels", written)
-    least = labels.groupBy("to").agg(F.min("id").alias("component"))
-    found = settle(labels.join(least, "to").select("id", F.least("component", "to").alias("component")), "components")
+    if rounds:
+        while rounds:
+            later = labels.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            labels = rounds.pop().join(later, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+        labels = settle(labels, "labels", written)
+        least = labels.groupBy("to").agg(F.least(F.min("id"), "to").alias("component"))
+        labels = labels.join(least, "to").select("id", F.col("component").alias("to"))
+    found = settle(labels.select("id", F.col("to").alias("component")), "components")
     discard(spark, written)
     return found

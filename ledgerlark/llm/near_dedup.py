@@ -257,20 +257,6 @@ def alike(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     return whole.select("members").filter(F.size("members") > 1).mapInArrow(run, "a long, b long, equal long").distinct()
 
 
-def best_of(pairs: DataFrame) -> DataFrame:
-    """(a, b): of each id, the pair with the most equal minwise values."""
-    both = pairs.select("a", "b", "equal").union(pairs.select("b", "a", "equal"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose ends lie in different components."""
-    end = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
-    known = pairs.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    return known.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose full sets are linked."""
     side = lambda c: sets.select(F.col("_id").alias(c), F.col("_set").alias(f"{c}_set"))
@@ -361,14 +347,8 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = keep(alike(small.unionByName(parts_of(large)), reps), "pairs")
     near = keep(ends(pairs), "near")
     sets = keep(full_sets(texts.join(near, "_id", "left_semi")), "sets")
-    # The most alike pairs first: most others lie in one component then.
-    first = keep(best_of(pairs), "first")
-    links = keep(confirmed(first, sets), "links")
+    links = keep(confirmed(pairs, sets), "links")
     parts = components(links)
-    rest = keep(confirmed(across(pairs.join(first, ["a", "b"], "left_anti"), parts), sets), "links")
-    if not rest.isEmpty():
-        links = links.unionByName(rest)
-        parts = components(links)
 
     # Large nodes of several components branch on, unless their sets are so alike that branching doesn't part them.
     deeper, wide = [], []
