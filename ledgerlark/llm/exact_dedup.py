@@ -158,7 +158,6 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  Cases as in :func:`exact_copies`."""
     groups = copy_groups(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    sha = F.sha2(lower_ascii(docs[text_col]), 256)
-    joined = docs.withColumn("_sha_own", sha).join(groups, F.col("_sha_own") == F.col("_sha"), "left")
-    stays = F.col("_sha").isNull() | docs[id_col].eqNullSafe(F.col("_keep"))
+    joined = docs.join(groups, F.sha2(lower_ascii(docs[text_col]), 256) == groups["_sha"], "left")
+    stays = groups["_sha"].isNull() | docs[id_col].eqNullSafe(groups["_keep"])
     return joined.filter(stays).select(*[docs[c] for c in docs.columns])

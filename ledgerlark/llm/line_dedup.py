@@ -1,9 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines are sequences of words.  The neighbourhood of a line within an edit
-bound of one word is the line with one word taken out, at each place, and the
-whole line with a gap at each place; variants become hashed keys, equal keys
-meet, and the edit distance is verified on the words.  A line goes if an
+Lines are sequences of words, and lines of very few words sequences of
+characters.  The neighbourhood of a line within an edit bound of one element
+is the line with one element taken out, at each place, and the whole line with
+a gap at each place; variants become hashed keys, equal keys
+meet, and the edit distance is verified on the elements.  A line goes if an
 earlier line lies within the bound.  Only the earliest line of a key is
 compared with, so a key that many lines share makes no pairs.
 """
@@ -16,9 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import settle
 
-#: Lines of fewer words are only compared whole: of two words or one, the bound of one word may change half the line or all of it.
+#: Lines of fewer words are compared by characters: of two words or one, the bound of one word may change half the line or all of it.
 LEAST_WORDS = 3
-
+#: Of these, lines of fewer characters are only compared whole, for the same reason.
+LEAST_CHARACTERS = 4
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,20 +34,27 @@ def _words(line: Column) -> Column:
     return F.split(_trimmed(line), r"[\x20\x09-\x0D]+")
 
 
+def _elements(words: Column) -> Column:
+    """The sequence that is compared: words, or the characters of a line of few words, marked as no word can be."""
+    characters = F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit("\n"), c))
+    return F.when((F.size(words) >= LEAST_WORDS) | (words == F.array(F.lit(""))), words).otherwise(characters)
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line: _id, _pos, n (words), h (hash of the words), halves (hashes of its first and last halves).
+    """One row for each line: _id, _pos, n (elements), h (hash of the elements), halves (hashes of its first and last halves).
 
-    Two lines within one word of each other share their first or their last k
-    words, where k is half the words of the shorter; halves has both for the
+    Two lines within one element of each other share their first or their last
+    k elements, where k is half the elements of the shorter; halves has both for the
     two lengths that k can have.
     """
     lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_pos", "_line"))
-    worded = lines.select("_id", "_pos", _words(F.col("_line")).alias("words"))
+    worded = lines.select("_id", "_pos", _words(F.col("_line")).alias("words")).select("_id", "_pos", _elements(F.col("words")).alias("words"))
     n = F.when(F.col("words") == F.array(F.lit("")), 0).otherwise(F.size("words"))
     k = lambda d: F.floor((F.col("n") + d) / 2).cast("int")
     half = lambda side, d: F.xxhash64(F.lit(side), k(d), F.slice("words", 1, k(d)) if side == "head" else F.slice("words", F.col("n") - k(d) + 1, k(d)))
     halves = F.array(*[half(side, d) for side in ("head", "tail") for d in (-1, 0)])
-    return worded.withColumn("n", n).select("_id", "_pos", "n", F.xxhash64("words").alias("h"), F.when(F.col("n") >= LEAST_WORDS, halves).alias("halves"))
+    enough = F.col("n") >= F.when(F.startswith(F.get("words", F.lit(0)), F.lit("\n")), LEAST_CHARACTERS).otherwise(LEAST_WORDS)
+    return worded.withColumn("n", n).select("_id", "_pos", "n", F.xxhash64("words").alias("h"), F.when(enough, halves).alias("halves"))
 
 
 def lines_with_partners(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,7 +70,7 @@ def lines_with_partners(lines: DataFrame, docs: DataFrame, id_col: str, text_col
     wanted = first.groupBy(F.col("place._id").alias("_id")).agg(F.collect_list(F.struct(F.col("place._pos").alias("_pos"), "h")).alias("_wanted"))
     texts = docs.select(F.col(id_col).alias("_own"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_lines"))
     found = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id"))).select("_id", "_lines", F.explode("_wanted").alias("w"))
-    read = found.select("w.h", F.struct("_id", "w._pos").alias("place"), _words(F.get("_lines", F.col("w._pos"))).alias("words"))
+    read = found.select("w.h", F.struct("_id", "w._pos").alias("place"), _elements(_words(F.get("_lines", F.col("w._pos")))).alias("words"))
     # Rows that repeat an id may hold other lines there.
     return read.filter(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"])
 
@@ -105,34 +114,45 @@ def near_lines(own: DataFrame) -> DataFrame:
     return checked.groupBy("h").agg(F.min("eplace").alias("first"))
 
 
+def _marked_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _pos, h, keep, first): every line, its hash and the earliest line that it repeats."""
+    lines = settle(line_table(docs, id_col, text_col), "lines")
+    place = F.struct(F.col("_id"), F.col("_pos"))
+    narrow = lines.select("_id", "_pos", "h", "n")
+    known = narrow.filter("n > 0").groupBy("h").agg(F.min(place).alias("place"))
+    near = near_lines(settle(lines_with_partners(lines, docs, id_col, text_col), "partners"))
+    known = known.join(near, "h", "left").select("h", F.least("place", F.coalesce("first", "place")).alias("first"))
+    keep = F.coalesce((F.col("n") == 0) | (F.col("first") >= place), F.lit(True))
+    return narrow.join(known, "h", "left").select("_id", "_pos", "h", keep.alias("keep"), "first")
+
+
 def near_line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line: id_col, pos, keep, first_id, first_pos.
 
     Lines compare by their words in lower case.  A line goes when the same
-    line, or with ``LEAST_WORDS`` words or more in both, one that differs in one word
-    (changed, added or left out), stands earlier: in a row of smaller id, or
-    higher in the same row.  It does not matter whether the earlier line goes
-    too.  first_id and first_pos are the earliest such line.  Lines without
+    line, or one that differs in one word (changed, added or left out), stands
+    earlier; lines of fewer than ``LEAST_WORDS`` words differ in one character
+    instead, from ``LEAST_CHARACTERS`` characters, and are compared with such
+    lines only.  Earlier means in a row of smaller id, or higher in the same
+    row.  It does not matter whether the earlier line goes too.  first_id and first_pos are the earliest such line.  Lines without
     words stay.  Defined cases: a null text is one empty line; a null id comes
     before all others; rows that repeat an id and a text repeat its places:
     they are marked alike and do not count as earlier; an empty table gives an
     empty table; other columns are not looked at.
     """
-    lines = settle(line_table(docs, id_col, text_col), "lines")
-    place = F.struct(F.col("_id"), F.col("_pos"))
-    narrow = lines.select("_id", "_pos", "h", "n")
-    known = narrow.filter("n > 0").groupBy("h").agg(F.min(place).alias("place"))
-    near = near_lines(settle(lines_with_partners(lines, docs, id_col, text_col), "partners"))
-    known = known.join(near, "h", "left").select("h", F.least("place", F.coalesce("first", "place")).alias("first"))
-    found = narrow.join(known, "h", "left").withColumn("keep", F.coalesce((F.col("n") == 0) | (F.col("first") >= place), F.lit(True)))
-    gone = ~F.col("keep")
+    found, gone = _marked_lines(docs, id_col, text_col), ~F.col("keep")
     return found.select(F.col("_id").alias(id_col), F.col("_pos").alias("pos"), "keep",
                         F.when(gone, F.col("first._id")).alias("first_id"), F.when(gone, F.col("first._pos")).alias("first_pos"))
 
 
 def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that :func:`near_line_marks` drops; rows keep their other columns, and a null text stays null."""
-    gone = near_line_marks(docs, id_col, text_col).filter("not keep").groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
-    cleaned = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")), "left")
-    return joined.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    """``docs`` without the lines that :func:`near_line_marks` drops; rows keep their other columns, and a null text stays null.
+
+    Of rows that repeat an id with other texts, each loses its own lines only.
+    """
+    marks = _marked_lines(docs, id_col, text_col).filter("not keep")
+    gone = marks.groupBy(F.col("_id").alias("_gone_id")).agg(F.collect_set(F.struct(F.col("_pos").alias("at"), "h")).alias("_gone"))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
+    here = lambda line, i: F.struct(i.alias("at"), F.xxhash64(_elements(_words(line))).alias("h"))
+    cleaned = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(gone["_gone"], here(line, i))), "\n")
+    return joined.select(*[F.when(gone["_gone"].isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -13,13 +13,13 @@ log-probabilities of all its words.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ PIECES = 64
 AT_ONCE = 1 << 16
 CACHED_WORDS = 600_000
 #: Text of one group of documents, and the least groups for each shuffle partition.
-GROUP_BYTES, GROUPS_A_PARTITION = 1 << 21, 4
+GROUP_BYTES, GROUPS_A_PARTITION = 1 << 23, 1
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,55 +50,60 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).alias("_group"), "_id", "_text")
 
 
+def word_hash(word: str) -> int:
+    """A word's 64-bit name in tables, that of ``xxhash64`` in SQL."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def words_by_group(groups: DataFrame) -> DataFrame:
-    """(_group, w, n): every distinct word of each group and how often it stands there, split as for the network."""
+    """(_group, h, n): every distinct word of each group, by its hash, and how often it stands there, split as for the network."""
 
     def count(table: pa.Table) -> pa.Table:
         found: Counter[str] = Counter()
         for text in table.column("_text"):
             found.update((text.as_py() or "").lower().split())
-        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "w": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+        h = pa.array(map(word_hash, found), pa.int64(), len(found))
+        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "h": h, "n": pa.array(found.values(), pa.int64(), len(found))})
 
-    return settle(groups.select("_group", "_text").groupBy("_group").applyInArrow(count, "_group long, w string, n long"), "words_by_group")
+    return settle(groups.select("_group", "_text").groupBy("_group").applyInArrow(count, "_group long, h long, n long"), "words_by_group")
 
 
 def word_counts(by_group: DataFrame) -> DataFrame:
-    """(w, n): every word of the corpus and its count."""
-    return settle(by_group.groupBy("w").agg(F.sum("n").alias("n")), "words")
+    """(h, n): every word of the corpus and its count."""
+    return settle(by_group.groupBy("h").agg(F.sum("n").alias("n")), "words")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[str], list[int], int]:
-    """(the ``FREQUENT`` most frequent words, their counts, all words), counted over every text."""
+def frequent_words(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[int], list[int], int]:
+    """(hashes of the ``FREQUENT`` most frequent words, their counts, all words), counted over every text."""
     if counts is None:
         words = docs.select(F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+")).alias("w")).filter("w <> ''")
-        counts = settle(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
-    return [r.w for r in top], [r.n for r in top], counts.agg(F.sum("n")).first()[0] or 0
+        counts = settle(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")), "words")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return [r.h for r in top], [r.n for r in top], counts.agg(F.sum("n")).first()[0] or 0
 
 
 def word_shares(by_group: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
-    """(_group, w, share): log of each word's share of its token in the corpus, 0 for a frequent word.
+    """(_group, h, share): log of the share that each word outside the vocabulary has of its token in the corpus.
 
     A word of ``by_group`` that ``counts`` lacks counts as seen once.  Only the
     totals of the rest tokens, of fixed number, reach the driver.
     """
     spark = counts.sparkSession
-    known = F.broadcast(spark.createDataFrame([(w,) for w in words.known], "w string"))  # at most FREQUENT rows
-    bucket = F.crc32(F.encode("w", "utf-8")) % (VOCABULARY - FREQUENT)
-    rest = counts.join(known, "w", "left_anti")
+    known = F.broadcast(spark.createDataFrame([(h,) for h in words.known], "h long"))  # at most FREQUENT rows
+    bucket = F.pmod("h", F.lit(VOCABULARY - FREQUENT))
+    rest = counts.join(known, "h", "left_anti")
     totals = F.broadcast(spark.createDataFrame(rest.groupBy(bucket.alias("_bucket")).agg(F.sum("n").alias("_total")).collect(), "_bucket long, _total long"))
-    own = by_group.select("_group", "w").join(known.withColumn("_known", F.lit(True)), "w", "left")
-    joined = own.join(counts, "w", "left").join(totals, bucket == F.col("_bucket"), "left")
-    share = F.log(F.coalesce("n", F.lit(1)) / F.greatest(F.coalesce("_total", F.lit(1)), F.lit(1)))
-    return joined.select("_group", "w", F.when(F.col("_known"), 0.0).otherwise(share).alias("share"))
+    joined = by_group.select("_group", "h").join(known, "h", "left_anti").join(counts, "h", "left").join(totals, bucket == F.col("_bucket"), "left")
+    return joined.select("_group", "h", F.log(F.coalesce("n", F.lit(1)) / F.greatest(F.coalesce("_total", F.lit(1)), F.lit(1))).alias("share"))
 
 
 class Words(dict):
     """Token ids of texts: a frequent word's rank, or a hashed rest token.  Remembers the words it has met."""
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[int]):
         super().__init__()
-        self.known = {w: i for i, w in enumerate(frequent)}
+        self.known = {h: i for i, h in enumerate(frequent)}
 
     def __reduce__(self):
         return Words, (list(self.known),)
@@ -106,8 +111,8 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        known = self.known.get(word)
-        token = FREQUENT + zlib.crc32(word.encode("utf-8", "replace")) % (VOCABULARY - FREQUENT) if known is None else known
+        h = word_hash(word)
+        token = self.known.get(h, FREQUENT + h % (VOCABULARY - FREQUENT))
         self[word] = token
         return token
 
@@ -116,6 +121,18 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
 
 
+class Shares(dict):
+    """Log shares of words by their spelling, from those by their hash; 0 for words of the vocabulary."""
+
+    def __init__(self, by_hash: dict[int, float]):
+        super().__init__()
+        self.by_hash = by_hash
+
+    def __missing__(self, word: str) -> float:
+        self[word] = share = self.by_hash.get(word_hash(word), 0.0)
+        return share
+
+
 class WindowNetwork:
     """Weights: embeddings by offset, class softmax, member softmax of each class."""
 
@@ -214,13 +231,15 @@ def stream(texts: Iterator[str | None], words: Words) -> Iterator[tuple[np.ndarr
         at = np.flatnonzero(flat != EDGE)
         return np.stack([flat[at + o] for o in OFFSETS]), flat[at], sizes
 
+    held = 0
     for text in texts:
         ids = words.ids(text or "")
         parts += [ids, edge]
         sizes.append(len(ids))
-        if sum(sizes[-64:]) >= AT_ONCE or sum(sizes) >= AT_ONCE:
+        held += len(ids) + 1
+        if held >= AT_ONCE:
             yield portion()
-            parts, sizes = [edge], []
+            parts, sizes, held = [edge], [], 0
     if sizes:
         yield portion()
 
@@ -314,7 +333,7 @@ def word_likelihood(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id
     def run(texts: pa.Table, own_shares: pa.Table) -> pa.Table:
         own_words, flat = sent.value
         own = WindowNetwork(flat)
-        share = dict(zip(own_shares.column("w").to_pylist(), own_shares.column("share").to_pylist()))
+        share = Shares(dict(zip(own_shares.column("h").to_pylist(), own_shares.column("share").to_pylist())))
         sizes, sums = [], []
         for around, target, some in stream((t.as_py() for t in texts.column("_text")), own_words):
             total = np.concatenate([[0.0], np.cumsum(own.scores(around, target))])

@@ -147,7 +147,8 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", **params) ->
     )
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` as the mix uses them, in the order of the mix, with the columns of ``docs``."""
-    used = mix(docs, **params)
-    return used.repartitionByRange("block_time", "use_key").sortWithinPartitions("block_time", "use_key").select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """``docs`` as the mix uses them, in the order of the mix, with the columns of ``docs`` as they are, whatever their names."""
+    whole = docs.select(*dict.fromkeys([id_col, text_col, source_col]), F.struct("*").alias("_document"))
+    used = mix(whole, id_col=id_col, text_col=text_col, source_col=source_col, **params)
+    return used.repartitionByRange("block_time", "use_key").sortWithinPartitions("block_time", "use_key").select("_document.*")

@@ -35,6 +35,8 @@ N_HASHES = 60
 #: million.
 TREES, LEVELS, BRANCHES = 12, 6, 2
 SMALL_NODE = 48
+#: Deeper nodes are small up to this size.
+SMALL_DEEPER = 384
 #: Equal minwise values that a pair needs to be confirmed: a pair at the
 #: threshold has 45 of 60 on average, and fewer than 29 in less than one case of 100,000.
 ALIKE = 29
@@ -186,11 +188,10 @@ def children(large: DataFrame, reps: DataFrame, level: int) -> DataFrame:
     return large.join(reps.select("_id", "minwise"), "_id").select("tree", F.explode(nodes).alias("node"), "_id", F.col("size").alias("parent"))
 
 
-def split_by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(small nodes, large nodes) of (tree, node, _id, parent); large ones have their size."""
+def with_size(members: DataFrame) -> DataFrame:
+    """(tree, node, _id, parent, size) of nodes of several sets."""
     sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = members.join(sizes, "node")
-    return sized.filter(F.col("size") <= SMALL_NODE).select("node", "_id"), sized.filter(F.col("size") > SMALL_NODE)
+    return members.join(sizes, "node")
 
 
 def parts_of(large: DataFrame) -> DataFrame:
@@ -340,10 +341,11 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
     keep = lambda df, label: settle(df, label, written)
     ends = lambda pairs: pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
 
-    small, large = split_by_size(roots(reps))
+    sized = keep(with_size(roots(reps)), "roots")
+    small, large = sized.filter(F.col("size") <= SMALL_NODE), sized.filter(F.col("size") > SMALL_NODE)
     # The same sets meet in many trees.
     same = small.groupBy("node").agg(F.array_sort(F.collect_set("_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
-    small, large = keep(same.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("_id")), "small"), keep(large, "large")
+    small = keep(same.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("_id")), "small")
     pairs = keep(alike(small.unionByName(parts_of(large)), reps), "pairs")
     near = keep(ends(pairs), "near")
     sets = keep(full_sets(texts.join(near, "_id", "left_semi")), "sets")
@@ -360,9 +362,9 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
         wide.append(state.filter(alike_all).select("node", "_id", "component", "top"))
         if level > LEVELS:
             break
-        found, large = split_by_size(children(state.filter(~alike_all), reps, level))
-        deeper.append(keep(found, "small"))
-        large = keep(large, "large")
+        sized = keep(with_size(children(state.filter(~alike_all), reps, level)), "nodes")
+        deeper.append(sized.filter(F.col("size") <= SMALL_DEEPER).select("node", "_id"))
+        large = sized.filter(F.col("size") > SMALL_DEEPER)
 
     # What is still open, on full sets: small nodes of several components, as far as minwise values allow links, and large ones.
     open_nodes = [small.join(near, "_id", "left_semi").select("node", "_id")]

@@ -219,6 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, max_entries: int = MAX_ENT
 
     hashed = training_rows(docs, known, **params).mapInArrow(bags, "turn long, toxic int, buckets binary, shares binary")
     trained = hashed.repartition(1).sortWithinPartitions("turn", "toxic", "buckets").mapInArrow(train, "weights array<binary>, toxic long, rows long").first()
+    if trained is None:  # no row, and so no task
+        return SubwordBags.trained([], [])
     model = SubwordBags.unpacked(trained["weights"])
     everywhere = dict(known.filter("toxic in (0, 1)").groupBy("toxic").count().collect())
     odds = lambda toxic, clean: np.log((toxic + 0.5) / (clean + 0.5))

@@ -30,12 +30,19 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case only, the first counts."""
+    names = F.transform(F.map_keys(headers), F.lower)
+    first = F.filter(F.map_entries(headers), lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def resolve_revisits(records: DataFrame, stretches: int = STRETCHES) -> DataFrame:
     """One row for each revisit of ``records``.
 
     ``records``: record_id long, url string, captured timestamp, kind string
     ('response', 'revisit', other kinds are ignored), headers
-    map<string,string> with names in lower case, payload_ref string (where the
+    map<string,string> with names in any case, payload_ref string (where the
     body lies).  Returns record_id, canonical, captured, refers_to (record_id
     of the latest full response strictly earlier), payload_ref, headers (its
     headers, those in ``UPDATED`` taken from the revisit where it has them)
@@ -52,7 +59,7 @@ def resolve_revisits(records: DataFrame, stretches: int = STRETCHES) -> DataFram
     empty = F.create_map().cast("map<string,string>")
     own = records.filter("kind in ('response', 'revisit')").select(
         "record_id", canonical_url(F.col("url")).alias("canonical"), "captured", "kind",
-        F.coalesce("headers", empty).alias("headers"), "payload_ref",
+        lower_names(F.coalesce("headers", empty)).alias("headers"), "payload_ref",
     )
     own = own.filter("kind = 'revisit' or captured is not null")
     bounds = own.agg(F.percentile_approx("captured", [i / stretches for i in range(1, stretches)], 10_000).alias("b")).first()["b"] or []

@@ -150,6 +150,18 @@ def test_mixing_edge_rows(spark):
     assert mixing.mixed_documents(documents(spark, EDGE)).columns == ["doc_id", "text", "source", "epoch"]
 
 
+def test_mixing_keeps_the_columns_of_documents(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 9, 0.5), (2, "c d", "s", 8, 0.25)], "doc_id long, text string, source string, epoch int, weight double")
+    assert {tuple(r) for r in mixing.mixed_documents(docs).collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_header_names_in_any_case(spark):
+    rows = [(1, "http://a.com", dt.datetime(2024, 1, 1), "response", {"ETag": '"1"', "etag": "other"}, "p", 1), (2, "http://a.com", dt.datetime(2024, 1, 2), "revisit", {"Etag": '"1"'}, None, 2),
+            (2, "http://a.com", dt.datetime(2024, 1, 2), "revisit", {"Etag": '"1"'}, None, 2)]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured timestamp, kind string, headers map<string,string>, payload_ref string, status long")
+    assert [(r.record_id, r.status, r.headers) for r in warc.resolve_revisits(df).collect()] == [(2, "resolved", {"etag": '"1"'})] * 2
+
+
 def test_revisits(spark):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     rows = [
@@ -178,31 +190,89 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script><style>
 <article><h1>Head &amp; more</h1><p>One\n  two<br>three<p>Four &copy; <b>five</b><form><input>Search</form><aside>side</aside><div id="comments">a comment</div></article><footer>end</footer></body></html>"""
 
 
+def alone(page):
+    return html_extract.main_text(html_extract.blocks_of(page), {})
+
+
 def test_main_text():
-    assert html_extract.main_texts([PAGE]) == ["Head & more\n\nOne two three\n\nFour © five"]
-    assert html_extract.main_texts(["", "<p>alone", "<!-- x", "<article"]) == ["", "alone", "", ""]
+    assert alone(PAGE) == "Head & more\n\nOne two three\n\nFour © five"
+    assert [alone(x) for x in ("", "<p>alone", "<!-- x", "<article")] == ["", "alone", "", ""]
 
 
-def test_repeated_runs_against_brute_force():
-    rng = np.random.default_rng(3)
-    page = np.sort(rng.integers(0, 6, 300))
-    tokens = rng.integers(1, 4, 300)
-    tokens[20:40] = tokens[200:220] = np.arange(20) % 7 + 5
-    got = html_extract.repeated_runs(tokens, page)
-    seen = defaultdict(set)
-    starts = [i for i in range(300 - html_extract.RUN + 1) if page[i] == page[i + html_extract.RUN - 1]]
-    for i in starts:
-        seen[tuple(tokens[i : i + html_extract.RUN])].add(page[i])
-    want = np.ones(300, int)
-    for i in starts:
-        want[i : i + html_extract.RUN] = np.maximum(want[i : i + html_extract.RUN], len(seen[tuple(tokens[i : i + html_extract.RUN])]))
-    assert (got == want).all()
+def test_a_head_without_end_tag_holds_no_content():
+    assert alone("<html><head><title>T</title><body><article><p>text</article>") == "text"
+    assert alone("<html><head><title>T</title><meta charset=x><p>text") == "text"
+    assert alone("<head><title>T</title>plain words") == "plain words"
+    assert alone("<head><title>T</title><style>p{}</style></head><p>text") == "text"
+
+
+def test_parts_of_an_article_stay():
+    assert alone('<article><div class="post-header"><h1>Title</h1></div><p>some <span class="alert">important words</span> here</p></article>') == "Title\n\nsome important words here"
+    assert alone('<article><p>text</p><div class="related-posts">no</div><div class="notice">no</div><section class="comments">no</section><footer>no</footer></article>') == "text"
+    assert alone('<div class="page-header">no</div><div class="entry-content"><p>text</p></div><div class="sidebar">no</div>') == "text"
+
+
+def read_pages(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
 
 
-def test_site_boilerplate_goes_without_markup():
-    shared = "subscribe to our weekly letter and never miss any of the news again"
-    pages = [f"<body><div>{shared}</div><div>{' '.join(f'u{k}x{j}' for j in range(20))}</div></body>" for k in range(3)]
-    assert html_extract.main_texts(pages) == [" ".join(f"u{k}x{j}" for j in range(20)) for k in range(3)]
+def own_words(k, n=20):
+    return " ".join(f"u{k}x{j}" for j in range(n))
+
+
+SHARED = "subscribe to our weekly letter and never miss any of the news again"
+
+
+@pytest.mark.parametrize("n", [3, 64, 65, 200])
+def test_site_boilerplate_goes_without_markup_whatever_the_size_of_the_host(spark, n):
+    rows = [(k, f"http://h.com/{k}", f"<body><div>{SHARED}</div><div>{own_words(k)}</div></body>") for k in range(n)]
+    rows += [(n + k, f"http://h.com/rare{k}", f"<div>{own_words(n + k)}</div><p>{' '.join(f'r{j}' for j in range(12))}</p>") for k in range(2)]  # on two pages of the host
+    rows += [(n + 2, "http://other.com/", f"<div>{SHARED}</div>")]
+    got = read_pages(spark, rows)
+    assert got == {k: own_words(k) for k in range(n + 2)} | {n + 2: SHARED}
+    assert read_pages(spark, rows[::-1]) == got
+
+
+def test_long_shared_substrings_are_cut_out_of_blocks(spark):
+    rows = [(k, f"http://h.com/{k}", f"<p>{own_words(k, 30)} {SHARED}</p><p>{own_words(50 + k)}</p>") for k in range(4)]
+    assert read_pages(spark, rows) == {k: f"{own_words(k, 30)}\n\n{own_words(50 + k)}" for k in range(4)}
+
+
+def test_repeated_suffixes_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = [[" ".join(f"t{rng.randrange(3)}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 4))] for _ in range(12)]
+    rows = [(k, "http://h.com/", "".join(f"<p>{t}</p>" for t in x)) for k, x in enumerate(texts)]
+    seen = defaultdict(set)
+    streams = [[w for t in x for w in [None, *t.split(" ")]] + [None] for x in texts]
+    for k, s in enumerate(streams):
+        for i in range(len(s) - html_extract.RUN + 1):
+            seen[tuple(s[i : i + html_extract.RUN])].add(k)
+    got = read_pages(spark, rows)
+    some = 0
+    for k, s in enumerate(streams):
+        hit = [any(len(seen[tuple(s[j : j + html_extract.RUN])]) > 1 for j in range(max(0, i - html_extract.RUN + 1), i + 1) if j + html_extract.RUN <= len(s)) for i in range(len(s))]
+        at, want = 1, []
+        for t in texts[k]:
+            words = t.split(" ")
+            own = [w for w, h in zip(words, hit[at : at + len(words)]) if not h]
+            if len(words) - len(own) < html_extract.COVERED * len(words):
+                want.append(" ".join(own))
+            at += len(words) + 1
+        if want and len(want) == len(texts[k]):  # no block goes as a whole, so the page can't count as a copy
+            some += 1
+            assert got[k] == "\n\n".join(want)
+    assert some > 2
+
+
+def test_copies_of_a_page_keep_their_content(spark):
+    page = lambda k, more: f"<div>{SHARED}</div><div>{own_words(k, 60)}</div><p>{more}</p>"
+    rows = [(k, f"http://h.com/{k}", page(k, f"m{k}")) for k in range(6)] + [(7, "http://h.com/7", page(99, "print")), (8, "http://h.com/8", page(99, "share")), (9, "http://h.com/9", page(99, "share"))]
+    got = read_pages(spark, rows)
+    assert all(own_words(99, 60) in got[k] and SHARED not in got[k] for k in (7, 8, 9))
+    marked = [(k, f"http://h.com/{k}", f"<article><p>{own_words(1)}</p></article>") for k in range(30)] + [(30 + k, f"http://i.com/{k}", f"<article><p>{own_words(k)}</p><p>{SHARED}</p></article>") for k in range(25)]
+    got = read_pages(spark, marked)
+    assert all(got[k] == own_words(1) for k in range(30)) and all(got[30 + k] == own_words(k) for k in range(25))
 
 
 def test_extract_rows(spark):
@@ -231,12 +301,42 @@ def test_toxicity_rows(spark):
     got = toxicity.scores(docs, model).collect()
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)
     kept = toxicity.clean_documents(documents(spark, [(1, "a b", "s"), (2, "bad bad", "s"), (3, None, "s")]), model, 0.5)
-    assert {r.doc_id for r in kept.collect()} == {1, 3} or {r.doc_id for r in kept.collect()} == {1}
+    empty = toxicity.scores(documents(spark, [(3, None, "s"), (4, "", "s"), (5, " ", "s")]), model).collect()
+    assert len({r.score for r in empty}) == 1 and empty[0].score == pytest.approx(0.5)  # half of the training texts
+    assert {r.doc_id for r in kept.collect()} == {1}
+    assert toxicity.scores(docs.limit(0), model).count() == 0 and toxicity.clean_documents(docs.limit(0), model, 0.5).count() == 0
     labels = spark.createDataFrame([(1, 1), (4, 0), (99, 1)], "doc_id long, toxic int")
     assert toxicity.training_rows(docs, labels).count() == 2
     assert 0 < toxicity.SubwordBags.trained([], []).bias[1] - toxicity.SubwordBags.trained([], []).bias[0] + 1
 
 
+def test_toxicity_scores_against_a_plain_loop(spark):
+    """Score of the whole text, word by word and n-gram by n-gram."""
+    texts = ["the cat sat", "you idiot", "idiots all around", "a fine day"] * 12
+    model = toxicity.SubwordBags.trained(texts, [0, 1, 1, 0] * 12)
+    for text in [*texts[:4], "idiotic cat", "", "day day day"]:
+        z = model.bias.astype(float).copy()
+        words = text.split()
+        for w in words:
+            buckets, _ = toxicity.subwords([w])
+            mean = sum(model.rarity[k] * model.embeddings[k].astype(float) for k in buckets) / len(buckets)
+            z += toxicity.GAIN * mean @ model.softmax / len(words)
+        assert model.logit(text) == pytest.approx(z[1] - z[0], rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_training_on_an_executor(spark):
+    rows = [(k, "plain words here" if k % 4 else "bad bad words", "s") for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)] + [(200, 1), (1, 1)], "doc_id long, toxic int")
+    docs, held = documents(spark, rows), F.col("doc_id") >= 60
+    model = toxicity.fit(docs, labels, held)
+    scores = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert all((scores[k] > 0.3) == (k % 4 == 0) for k in range(60, 80))
+    few = toxicity.fit(docs, labels, held, max_entries=40)
+    assert np.abs(few.embeddings).sum() != np.abs(model.embeddings).sum()
+    nothing = toxicity.fit(docs, labels.limit(0), held)
+    assert {r.score for r in toxicity.scores(docs, nothing).collect()} == {0.5}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = lm_score.WindowNetwork.started([5, 3], 100)
@@ -287,17 +387,17 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     for _, t in rows:
         for w in (t or "").lower().split():
             count[w] += 1
-    words, net = lm_score.train(docs, 0, counts=spark.createDataFrame(list(count.items()), "w string, n long"))
+    words, net = lm_score.train(docs, 0, counts=spark.createDataFrame([(lm_score.word_hash(w), n) for w, n in count.items()], "h long, n long"))
     by_token = defaultdict(int)
     for w in count:
-        if w not in words.known:
+        if lm_score.word_hash(w) not in words.known:
             by_token[words[w]] += count[w]
     assert sum(by_token.values()) > 500 and len(by_token) > 30
     plain = {(r.doc_id, r.n_tokens): r.log_likelihood for r in lm_score.pseudo_likelihood(docs, words, net).collect()}
     assert sum(map(len, got.values())) == len(rows) and len(got[9]) == 2 and got[7][0].log_likelihood == 0 and got[8][0].mean_log_likelihood is None
     for i, t in rows:
         own = (t or "").lower().split()
-        share = sum(np.log(count[w] / by_token[words[w]]) for w in own if w not in words.known)
+        share = sum(np.log(count[w] / by_token[words[w]]) for w in own if lm_score.word_hash(w) not in words.known)
         for r in got[i]:
             assert r.n_tokens == len(own) and r.log_likelihood == pytest.approx(plain[i, len(own)] + share, rel=1e-6, abs=1e-6)
 
@@ -307,5 +407,5 @@ def test_op1_scores_rest_words_by_their_counts(spark, data, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     words, net = lm_score.train(docs)
     alone = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(docs, words, net).collect()}
-    rare = {r.doc_id for r in docs.collect() if any(w not in words.known for w in (r.text or "").lower().split())}
+    rare = {r.doc_id for r in docs.collect() if any(lm_score.word_hash(w) not in words.known for w in (r.text or "").lower().split())}
     assert rare and set(got) == set(alone) and all(got[i] < alone[i] for i in rare)

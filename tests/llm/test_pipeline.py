@@ -27,7 +27,7 @@ def test_stages(spark, data):
 
 
 def test_toxic_stage_rejects_what_op9_predicts_as_toxic(spark, data, monkeypatch):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40).localCheckpoint()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).cache()
     plain = toxicity.SubwordBags.trained(["a b", "bad bad"] * 20, [0, 1] * 20)
     monkeypatch.setattr(toxicity, "fit", lambda *a: plain)
     monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: docs)
@@ -40,3 +40,24 @@ def test_toxic_stage_rejects_what_op9_predicts_as_toxic(spark, data, monkeypatch
     predicted = {r.doc_id for r in queries.op9_toxicity(spark, data).filter("predicted = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, data).collect()}
     assert between and kept == {r.doc_id for r in docs.collect()} - predicted
+
+
+def test_run_with_edge_rows(spark, tmp_path):
+    """Null, empty, very long and repeated texts, and empty tables, through all stages."""
+    words = [f"w{k}" for k in range(300)]
+    text = lambda k: " ".join(words[(7 * k + j * j) % 300] for j in range(40))
+    rows = [(k, text(k), "en", f"s{k % 3}", 1) for k in range(20)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s1", 0), (22, text(3).upper(), "en", "s1", 1), (23, text(4) + " more", "en", "s2", 1), (24, "long words " * 9000, "en", "s2", 1), (19, text(19), "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    left = {r.doc_id for r in pieces}
+    assert {22, 4, 24} <= left and not left & {3, 23} and len(left & {20, 21}) <= 1
+    by_seq = Counter()
+    for r in pieces:
+        by_seq[r.sequence_id] += r.length
+    assert all(n <= 4096 for n in by_seq.values())
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
