@@ -142,7 +142,7 @@ def test_near_copies_in_large_nodes(spark, monkeypatch, sizes):
         monkeypatch.setattr(near_dedup, name, value)
     rows = dense_rows(150)
     want = brute_components(rows)
-    assert 150 < len(set(want.values())) < 200  # a large component, texts near it, and others
+    assert 150 < len(set(want.values())) < 240  # a large component, texts near it, and others
     assert {r.doc_id: r.component_id for r in near_dedup.near_copies(table(spark, rows)).collect()} == want
 
 
