@@ -1,7 +1,8 @@
 """As-of joins of trades with prices and dated events.
 
 An as-of join is a union of both sides and a running last (or first) value by
-key and date: one shuffle, no range join, and nothing is made dense.
+key and date, within stretches of a year: a key with very many rows is many
+tasks, and each stretch starts from the last value before it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PRICE_MARGIN = 10
+#: Days of a stretch, and the first and last stretch, which also hold all earlier and later dates.
+STRETCH, FIRST_STRETCH, LAST_STRETCH = 365, -30, 130
 
 
 def as_of(left: DataFrame, date: str, right: DataFrame, key: str | None, right_date: str, value: str, name: str, forward: bool = False) -> DataFrame:
@@ -22,13 +25,25 @@ def as_of(left: DataFrame, date: str, right: DataFrame, key: str | None, right_d
     if key is None:
         return _as_of_series(left, date, right, right_date, value, name, forward)
     kinds = dict(right.dtypes)
-    side = lambda df, d, v, rank: df.withColumns({"_d": F.unix_date(F.col(d)), "_v": v, "_rank": F.lit(rank)})
+    stretch = F.greatest(F.lit(FIRST_STRETCH), F.least(F.lit(LAST_STRETCH), F.floor(F.col("_d") / STRETCH).cast("int")))
+    side = lambda df, d, v, rank: df.withColumns({"_d": F.unix_date(F.col(d)), "_v": v, "_rank": F.lit(rank)}).withColumn("_s", stretch)
     rows = side(left, date, F.lit(None).cast(kinds[value]), 1)
-    marks = side(right.select(key, right_date, value), right_date, F.col(value), 0).select(key, "_d", "_v", "_rank")
-    both = rows.unionByName(marks.filter("_d is not null and _v is not null"), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(F.col("_d").desc() if forward else F.col("_d"), "_rank")
+    marks = side(right.select(key, right_date, value), right_date, F.col(value), 0).select(key, "_d", "_v", "_rank", "_s").filter("_d is not null and _v is not null")
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy(key, "_s").orderBy(F.col("_d").desc() if forward else F.col("_d"), "_rank")
     found = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(name, F.when(F.col("_d").isNotNull(), found)).filter("_rank = 1").drop("_d", "_v", "_rank")
+    # For each key and stretch, the value that stretches before it end with (after it, with forward): a row for each year at most.
+    ends = marks.groupBy(F.col(key).alias("_key"), F.col("_s").alias("_from")).agg((F.min_by if forward else F.max_by)("_v", "_d").alias("_carried"))
+    by_stretch = Window.partitionBy("_key").orderBy("_from")
+    near, far = (F.lag, F.lit(FIRST_STRETCH)) if forward else (F.lead, F.lit(LAST_STRETCH))
+    until = F.coalesce(near("_from").over(by_stretch), far)
+    ends = ends.withColumn("_until", until)
+    span = F.sequence("_until", F.col("_from") - 1) if forward else F.sequence(F.col("_from") + 1, "_until")
+    some = F.col("_until") < F.col("_from") if forward else F.col("_until") > F.col("_from")
+    carried = ends.filter(some).select("_key", F.explode(span).alias("_stretch"), "_carried")
+    within = both.withColumn("_within", found).filter("_rank = 1")
+    joined = within.join(carried, (within[key] == carried["_key"]) & (within["_s"] == carried["_stretch"]), "left")
+    return joined.withColumn(name, F.when(F.col("_d").isNotNull(), F.coalesce("_within", "_carried"))).drop("_d", "_v", "_rank", "_s", "_within", "_key", "_stretch", "_carried")
 
 
 def _as_of_series(left: DataFrame, date: str, right: DataFrame, right_date: str, value: str, name: str, forward: bool) -> DataFrame:

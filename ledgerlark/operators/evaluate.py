@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +80,25 @@ def confusion(df: DataFrame, predicted: Column, label: str = "final_label", by=(
 def _steps(df: DataFrame, score: str, label: str, by) -> DataFrame:
     """Cumulative true and false positives at each distinct score, the highest first.
 
-    Rows are counted by score before the window, whose groups then hold
-    distinct scores only.
+    Rows are counted by score before the window.  Scores are cut into ranges
+    of about as many distinct ones; a window runs inside each range, and one
+    over the totals of the few ranges.
     """
     per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    down = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "positives": F.sum("p").over(Window.partitionBy(*(by or [F.lit(0)])))})
+    cuts = per.agg(F.percentile_approx(F.col("threshold").cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"] or []
+    above = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    per = per.withColumn("_range", F.size(F.filter(above, lambda c: c >= F.col("threshold"))))
+    totals = per.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    group = by or [F.lit(0)]  # without groups, at most RANGES rows
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *by, F.col("_range").alias("_r"), F.coalesce(F.sum("_p").over(earlier), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_fp"),
+        F.sum("_p").over(Window.partitionBy(*group)).alias("positives"),
+    ).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    down = Window.partitionBy(*by, "_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_r"))
+    run = per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(totals, same)
+    return run.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")})
 
 
 def pr_curve(df: DataFrame, score: str = "prob", label: str = "final_label", by=()) -> DataFrame:
@@ -140,26 +154,23 @@ def complementarity(df: DataFrame, a: Column, b: Column, label: str = "final_lab
                   f1(a).alias("f1_a"), f1(b).alias("f1_b"), f1(a | b).alias("f1_either"))
 
 
-def student_p(t: float, df: float) -> float:
-    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        x, a, b = 1 - x, b, a
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or tiny)
-            c = 1 + num / c or tiny
-            h *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return 1 - front * h if flip else front * h
+#: Ranges of scores, each with a window of its own.
+RANGES = 64
+#: Steps of the integrals of Student's t, and how far they reach, in deviations.
+P_STEPS, P_REACH = 2000, 14.0
+
+
+def student_p(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t: the share of the integral of cos(x)^(dof - 1) beyond atan(|t| / sqrt(dof)), by Simpson's rule."""
+    end, start = F.least(F.lit(math.pi / 2), P_REACH / F.sqrt(dof)), F.atan(F.abs(t) / F.sqrt(dof))
+    weight = lambda k: F.when((k == 0) | (k == P_STEPS), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+    height = lambda x: F.exp((dof - 1) * F.log(F.greatest(F.cos(x), F.lit(1e-300))))
+
+    def integral(low: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.lit(P_STEPS))
+        return F.aggregate(steps, F.lit(0.0), lambda a, k: a + weight(k) * height(low + (end - low) * k / P_STEPS)) * F.greatest(end - low, F.lit(0.0))
+
+    return F.when(t.isNotNull() & dof.isNotNull(), integral(start) / integral(F.lit(0.0)))
 
 
 def welch(df: DataFrame, value: str, flag: Column, by=(), least: int = 2) -> DataFrame:
@@ -175,9 +186,8 @@ def welch(df: DataFrame, value: str, flag: Column, by=(), least: int = 2) -> Dat
 
 
 def with_p(tests: DataFrame) -> DataFrame:
-    """``tests`` with p and stars.  One row for each group: the p of a row is computed where the row lies."""
-    p = F.udf(lambda t, d: None if t is None or d is None else student_p(t, d), "double")
-    out = tests.withColumn("p", F.round(p("t", "dof"), 6))
+    """``tests`` with p and stars."""
+    out = tests.withColumn("p", F.round(student_p(F.col("t"), F.col("dof")), 6))
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 

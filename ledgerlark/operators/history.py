@@ -1,11 +1,13 @@
 """Features from an insider's own history and from trades near in time.
 
-All windows of an insider share one shuffle on the insider, those of a ticker
-one on the ticker.
+All windows of an insider share one shuffle on the insider; trades near in a
+ticker are added up by day.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,24 +88,30 @@ def recency_and_streak(trades: DataFrame) -> DataFrame:
     )
 
 
+def _around(trades: DataFrame, by: list[str], days: int, names: list[str]) -> DataFrame:
+    """``by``, _day and the sums of ``names`` over the days around _day: rows are added up by day first, and a day's sum is then told to the days near it."""
+    daily = trades.groupBy(*by, "_day").agg(*[F.sum(c).alias(c) for c in names]).filter(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in names]))
+    near = daily.withColumn("_day", F.explode(F.sequence(F.col("_day") - days, F.col("_day") + days)))
+    return near.groupBy(*by, "_day").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def nearby_insiders(trades: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     """Open-market rows of other insiders in the same ticker within ``days`` either way.
 
-    Rows around in the ticker less rows around of the insider, so no join is
-    made.  Rows without insider or ticker are left out.
+    Rows around in the ticker less rows around of the insider, both added up
+    by day, so no pairs are made and no task holds a ticker.  Rows without
+    insider or ticker are left out; rows without a date have no one near.
     """
-    known = trades.filter("insider_cik is not null and ticker is not null")
-    order = day(F.col("transaction_date"))
-    of_all = Window.partitionBy("ticker").orderBy(order).rangeBetween(-days, days)
-    of_own = Window.partitionBy("ticker", "insider_cik").orderBy(order).rangeBetween(-days, days)
     om = F.coalesce(F.col("is_open_market"), F.lit(False))
     d = F.col("trade_direction")
-
-    def others(cond: Column) -> Column:
-        one = flag(om & cond)
-        return F.sum(one).over(of_all) - F.sum(one).over(of_own)
-
-    counted = known.withColumns({"_any": others(F.lit(True)), "_buys": others(d == 1), "_sells": others(d == -1)})
+    known = trades.filter("insider_cik is not null and ticker is not null").withColumn("_day", day(F.col("transaction_date")))
+    narrow = known.filter("_day is not null").select("ticker", "insider_cik", "_day", flag(om).alias("_any"), flag(om & (d == 1)).alias("_buys"), flag(om & (d == -1)).alias("_sells"))
+    names = ["_any", "_buys", "_sells"]
+    of_all = _around(narrow, ["ticker"], days, names)
+    of_own = _around(narrow, ["ticker", "insider_cik"], days, names).withColumnsRenamed({c: f"_own{c}" for c in names})
+    joined = known.join(of_all, ["ticker", "_day"], "left").join(of_own, ["ticker", "insider_cik", "_day"], "left")
+    others = {c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"_own{c}"), F.lit(0)) for c in names}
+    counted = joined.withColumns(others).select(*trades.columns, *names)
     same = F.when(d == 1, F.col("_buys")).when(d == -1, F.col("_sells")).otherwise(0)
     opposite = F.when(d == 1, F.col("_sells")).when(d == -1, F.col("_buys")).otherwise(0)
     return counted.withColumns({

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,10 +23,15 @@ from ledgerlark.functions.trade import finite_or_zero
 from ledgerlark.operators import evaluate
 
 SEED = 42
+#: Buckets in which values are dealt anew.
+DEALS = 64
+#: Fits that run beside each other.
+PARALLEL = 8
 # Parameters of the reference grid and of the forest.
 GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": n, "subsamplingRate": s} for d in (3, 5, 7) for r in (0.05, 0.1) for n in (100, 200) for s in (0.8, 1.0))
 BEST = {"maxDepth": 7, "stepSize": 0.05, "maxIter": 100, "subsamplingRate": 0.8}
 TREES, SAMPLE = 200, 256
+RESTARTS = 20
 SUPPORT, CONFIDENCE = 0.03, 0.5
 MEMBERSHIP = "opportunistic"
 
@@ -53,6 +60,12 @@ def assemble(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
+def at_once(spark, calls: list) -> list:
+    """Results of ``calls``, of which a few run as Spark jobs beside each other, as MLlib's own tuning does."""
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda f: f()), calls)
+
+
 def fit_boosted(train: DataFrame, val: DataFrame, features, label: str = "final_label", **params):
     """M2: boosted trees with weighted positives; rows of ``val`` stop the boosting early."""
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
@@ -71,14 +84,18 @@ def score(model, df: DataFrame, features) -> DataFrame:
 
 def grid_search(train: DataFrame, val: DataFrame, features, grid=GRID):
     """M2: (best model, table of parameters and average precision on ``val``); the first best counts."""
-    found, best = [], None
-    for k, params in enumerate(grid):
+    train, val = train.persist(), val.persist()
+
+    def one(params):
         model = fit_boosted(train, val, features, **params)
-        ap = evaluate.average_precision(score(model, val, features)).first()[0]
-        found.append((k, *params.values(), ap))
-        if best is None or (ap or 0) > best[0]:
-            best = (ap or 0, model)
-    return best[1], train.sparkSession.createDataFrame(found, "place int, maxDepth int, stepSize double, maxIter int, subsamplingRate double, average_precision double")
+        return model, evaluate.average_precision(score(model, val, features)).first()[0]
+
+    fits = at_once(train.sparkSession, [partial(one, params) for params in grid])
+    best = max(fits, key=lambda x: x[1] or 0)[0]
+    found = [(k, *params.values(), ap) for k, (params, (_, ap)) in enumerate(zip(grid, fits))]
+    train.unpersist()
+    val.unpersist()
+    return best, train.sparkSession.createDataFrame(found, "place int, maxDepth int, stepSize double, maxIter int, subsamplingRate double, average_precision double")
 
 
 def permutation_importance(model, df: DataFrame, features, of=None) -> DataFrame:
@@ -87,16 +104,19 @@ def permutation_importance(model, df: DataFrame, features, of=None) -> DataFrame
     Values move by the rank of a random number inside buckets of rows, so no
     window spans the table.
     """
-    base = evaluate.average_precision(score(model, df, features)).first()[0]
-    rows = df.withColumn("_row", F.xxhash64("row_id"))
-    found = []
-    for k, c in enumerate(of or features):
-        bucket = F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(max(1, rows.rdd.getNumPartitions())))
+    rows = df.withColumn("_row", F.xxhash64("row_id")).persist()
+    base = evaluate.average_precision(score(model, rows, features)).first()[0]
+
+    def one(k, c):
+        bucket = F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(DEALS))
         here, there = Window.partitionBy("_b").orderBy("_row"), Window.partitionBy("_b").orderBy(F.xxhash64("_row", F.lit(SEED + k)), "_row")
         keyed = rows.withColumn("_b", bucket)
         left, right = keyed.withColumn("_n", F.row_number().over(here)), keyed.withColumn("_n", F.row_number().over(there)).select("_b", "_n", F.col(c).alias("_v"))
         dealt = left.join(right, ["_b", "_n"]).withColumn(c, F.col("_v")).drop("_v", "_b", "_n")
-        found.append((c, base - evaluate.average_precision(score(model, dealt, features)).first()[0]))
+        return c, base - evaluate.average_precision(score(model, dealt, features)).first()[0]
+
+    found = at_once(df.sparkSession, [partial(one, k, c) for k, c in enumerate(of or features)])
+    rows.unpersist()
     return df.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
@@ -142,14 +162,17 @@ def rule_scores(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     return per.groupBy("row_id", "final_label").agg(F.coalesce(F.max("confidence"), F.lit(0.0)).alias("prob"))
 
 
-def cluster(profiles: DataFrame, features, k: int, restarts: int = 20):
-    """M6: the best of several k-means fits on scaled profiles, missing values being the mean."""
+def scaled_profiles(profiles: DataFrame, features) -> DataFrame:
+    """M6: profiles with their scaled features as a vector, missing values being the mean."""
     means = profiles.agg(*[F.avg(c).alias(f"_{c}") for c in features])
-    filled = profiles.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(c, f"_{c}") for c in features}).drop(*means.columns)
-    rows = assemble(standard_scale(filled, filled, features), features).persist()
-    fits = [KMeans(k=k, seed=SEED + i, maxIter=50).fit(rows) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best, rows
+    filled = profiles.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(c, f"_{c}") for c in features}).drop(*means.columns)  # one row
+    return assemble(standard_scale(filled, filled, features), features)
+
+
+def cluster(rows: DataFrame, k: int, restarts: int = RESTARTS):
+    """M6: the best of several k-means fits on :func:`scaled_profiles`, which are worth persisting."""
+    fits = at_once(rows.sparkSession, [partial(KMeans(k=k, seed=SEED + i, maxIter=50).fit, rows) for i in range(restarts)])
+    return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def elbow(costs: dict[int, float]) -> int:
@@ -241,7 +264,7 @@ def isolation_scores(df: DataFrame, forest: DataFrame, features, keep=("row_id",
             yield part[list(keep)].assign(prob=2 ** (-total / max(1, len(grown)) / norm))
 
     kinds = dict(df.dtypes)
-    return df.select(*keep, *features).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", prob double")
+    return df.select(*dict.fromkeys([*keep, *features])).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", prob double")
 
 
 def surrogate_importance(scored: DataFrame, features, column: str = "prob") -> DataFrame:
@@ -257,23 +280,33 @@ def surrogate_importance(scored: DataFrame, features, column: str = "prob") -> D
 def ablation(train: DataFrame, val: DataFrame, test: DataFrame, groups: dict, features, baseline: float = 0.69, **params) -> DataFrame:
     """Average precision on ``test`` without each group of features and with the trade group alone."""
     sets = {name: [c for c in features if c not in group] for name, group in groups.items()} | {"trade_only": [c for c in features if c in groups["trade"]]}
-    found = []
-    for name, used in sets.items():
-        ap = evaluate.average_precision(score(fit_boosted(train, val, used, **params), test, used)).first()[0]
-        found.append((name, len(used), ap, None if ap is None else baseline - ap))
+    parts = [x.persist() for x in (train, val, test)]
+
+    def one(used):
+        return evaluate.average_precision(score(fit_boosted(*parts[:2], used, **params), parts[2], used)).first()[0]
+
+    aps = at_once(train.sparkSession, [partial(one, used) for used in sets.values()])
+    for x in parts:
+        x.unpersist()
+    found = [(name, len(used), ap, None if ap is None else baseline - ap) for (name, used), ap in zip(sets.items(), aps)]
     return train.sparkSession.createDataFrame(found, "without string, features int, average_precision double, drop double").orderBy(F.desc("drop"))
 
 
 def walk_forward(df: DataFrame, features, first_train_to, least: int = 100, **params) -> DataFrame:
     """For each last training year, metrics of the year after next; windows with a short side are skipped."""
-    year, found = F.year("transaction_date"), []
-    for y in first_train_to:
-        train, val, test = df.filter(year <= y), df.filter(year == y + 1), df.filter(year == y + 2)
+    year, rows = F.year("transaction_date"), df.persist()
+
+    def one(y):
+        train, val, test = rows.filter(year <= y), rows.filter(year == y + 1), rows.filter(year == y + 2)
         if min(train.count(), val.count(), test.count()) < least:
-            continue
+            return None
         scored = score(fit_boosted(train, val, features, **params), test, features).persist()
         ap, f1 = evaluate.average_precision(scored).first()[0], evaluate.confusion(scored, F.col("flag") == 1).first()["f1"]
-        found.append((y + 2, ap, f1))
+        scored.unpersist()
+        return y + 2, ap, f1
+
+    found = [x for x in at_once(df.sparkSession, [partial(one, y) for y in first_train_to]) if x]
+    rows.unpersist()
     return df.sparkSession.createDataFrame(found, "test_year int, average_precision double, f1 double")
 
 

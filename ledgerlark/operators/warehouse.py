@@ -32,6 +32,8 @@ TRANSACTION_TYPES = (
     ("V", "Transaction Voluntarily Reported Early", "Other", False, None, False),
 )
 CALENDAR = (dt.date(2019, 1, 1), dt.date(2026, 12, 31))
+#: Tasks that write a year of facts.
+PARTS_A_YEAR = 16
 FACT_YEARS = (2019, 2026)
 FACT_KEY = ("accession_number", "insider_key", "transaction_date", "shares_traded", "price_per_share", "filing_date")
 HIGH_VALUE, RECENT_DAYS = 100_000, 30
@@ -118,10 +120,32 @@ def insert_new(stored: DataFrame, incoming: DataFrame, key=FACT_KEY) -> DataFram
     return keyed.join(stored.select(*key), list(key), "left_anti").select(*incoming.columns).unionByName(incoming.filter(~whole))
 
 
-def write_facts(facts_: DataFrame, path: str, years=FACT_YEARS) -> None:
-    """Facts by filing year; other years are not taken."""
+def write_facts(facts_: DataFrame, path: str, years=FACT_YEARS, parts: int = PARTS_A_YEAR) -> None:
+    """Facts by filing year; other years are not taken.
+
+    A load replaces the years that it has and leaves the others, so a load
+    that runs again doubles nothing.  A year is written by ``parts`` tasks.
+    """
     dated = facts_.withColumn("filing_year", F.year("filing_date")).filter(F.col("filing_year").between(*years))
-    dated.repartition("filing_year").write.mode("append").partitionBy("filing_year").parquet(path)
+    dealt = dated.repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filing_year").parquet(path)
+
+
+def load_warehouse(trades: DataFrame, folder: str, first_day, last_day, years=FACT_YEARS) -> None:
+    """Dimensions, facts, statistics and summaries of ``trades`` in ``folder``; every table is replaced, facts by year."""
+    spark = trades.sparkSession
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    got = lambda name: spark.read.parquet(f"{folder}/{name}")
+    put(dim_transaction_type(spark), "dim_transaction_type")
+    put(dim_time(spark, first_day, last_day), "dim_time")
+    put(dim_company(trades), "dim_company")
+    found = dim_insider(trades)
+    kinds, time, company = got("dim_transaction_type"), got("dim_time"), got("dim_company")
+    write_facts(facts(trades, company, found, time, kinds), f"{folder}/fact_trades", years)
+    fact = got("fact_trades")
+    put(update_insiders(found, insider_statistics(fact, kinds)), "dim_insider")
+    put(company_activity(company, fact, kinds), "company_activity")
+    put(daily_summary(fact, kinds), "daily_summary")
 
 
 def _sides(fact: DataFrame, kinds: DataFrame) -> tuple[DataFrame, Column, Column]:

@@ -114,7 +114,12 @@ def a33_p29_welch_by_sector(tables):
     return evaluate.welch(with_sector(tables).withColumn("v", F.month("transaction_date")), "v", predicted(), by=("sector",), least=10)
 
 
-@book.add()
+@book.add(f"""{SECTOR}, te AS ({WELCH.format(cte="", by="sector, ", src="ss", group="GROUP BY sector", least=10).replace(" w AS", "WITH w AS", 1)}),
+    g AS (SELECT *, least(pi() / 2, {evaluate.P_REACH} / sqrt(dof)) AS z, atan(abs(t) / sqrt(dof)) AS o FROM te),
+    i AS (SELECT *, list_sum(list_transform(range(0, {evaluate.P_STEPS + 1}), lambda k: CASE WHEN k IN (0, {evaluate.P_STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp((dof - 1) * ln(greatest(cos(z * k / {evaluate.P_STEPS}), 1e-300))))) * z AS whole,
+      list_sum(list_transform(range(0, {evaluate.P_STEPS + 1}), lambda k: CASE WHEN k IN (0, {evaluate.P_STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp((dof - 1) * ln(greatest(cos(o + (z - o) * k / {evaluate.P_STEPS}), 1e-300))))) * greatest(z - o, 0) AS tail FROM g),
+    q AS (SELECT *, round(tail / whole, 6) AS p FROM i)
+    SELECT sector, n1, n0, mean1, mean0, difference, t, dof, p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM q""")
 def a33_welch_by_sector_with_p(tables):
     return evaluate.with_p(evaluate.welch(with_sector(tables).withColumn("v", F.month("transaction_date")), "v", predicted(), by=("sector",), least=10))
 
@@ -198,11 +203,13 @@ def p33_baskets(tables):
 ITEMS = ("large_trade", "near_earnings", "sell_transaction", "senior_insider", "large_dollar", "late_filing")
 
 
+MASK = " + ".join(f"CASE WHEN list_contains(items, '{x}') THEN {1 << k} ELSE 0 END" for k, x in enumerate(ITEMS))
+
+
 def rule_sql() -> str:
     pick = "it AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}', {1 << k})" for k, x in enumerate(ITEMS)) + ") v(item, bit))"
-    mask = " + ".join(f"CASE WHEN list_contains(items, '{x}') THEN {1 << k} ELSE 0 END" for k, x in enumerate(ITEMS))
     named = ", ".join(f"CASE WHEN mask & {1 << k} > 0 THEN '{x}' END" for k, x in enumerate(ITEMS))
-    return f"""{BASKET}, {pick}, mk AS (SELECT {mask} AS have, list_contains(items, 'opportunistic') AS y, count(*) AS n FROM bk GROUP BY 1, 2),
+    return f"""{BASKET}, {pick}, mk AS (SELECT {MASK} AS have, list_contains(items, 'opportunistic') AS y, count(*) AS n FROM bk GROUP BY 1, 2),
     an AS (SELECT unnest(range(1, {1 << len(ITEMS)})) AS mask), tt AS (SELECT sum(n) AS n, sum(n) FILTER (y) AS p FROM mk),
     ru AS (SELECT mask, sum(mk.n) AS a, coalesce(sum(mk.n) FILTER (y), 0) AS c FROM an JOIN mk ON have & mask = mask GROUP BY 1)
     SELECT array_to_string(list_sort(list_filter([{named}], lambda z: z IS NOT NULL)), ',') AS antecedent, round(c / a, 6) AS confidence, round(c / a / (p / n), 6) AS lift, round(c / n, 6) AS support FROM ru, tt WHERE c / n >= 0.03 AND c / a >= 0.4"""
@@ -214,7 +221,9 @@ def m08_association_rules(tables):
     return rules.select(F.array_join("antecedent", ",").alias("antecedent"), *[F.round(c, 6).alias(c) for c in ("confidence", "lift", "support")])
 
 
-@book.add()
+@book.add(f"""{rule_sql().rsplit('SELECT array_to_string', 1)[0].rstrip()}, good AS (SELECT mask, c / a AS confidence FROM ru, tt WHERE c / n >= 0.03 AND c / a >= 0.4),
+    hv AS (SELECT row_id, final_label, {MASK} AS have FROM bk)
+    SELECT row_id, any_value(final_label) AS final_label, round(coalesce(max(confidence), 0), 6) AS prob FROM hv LEFT JOIN good ON have & mask = mask GROUP BY 1""")
 def m09_rule_scores(tables):
     own = basket_table(tables)
     return models.rule_scores(own, models.association_rules(own, confidence=0.4)).withColumn("prob", F.round("prob", 6))
@@ -276,9 +285,9 @@ def profiles(tables) -> DataFrame:
 
 @book.add()
 def m06_a18_j14_clusters(tables):
-    own = profiles(tables)
-    costs = {k: models.cluster(own, MODEL_FEATURES, k)[0].summary.trainingCost for k in range(2, 11)}
-    model, rows = models.cluster(own, MODEL_FEATURES, models.elbow(costs))
+    rows = models.scaled_profiles(profiles(tables), MODEL_FEATURES).persist()
+    fits = {k: models.cluster(rows, k) for k in range(2, 11)}
+    model = fits[models.elbow({k: m.summary.trainingCost for k, m in fits.items()})]
     clustered = model.transform(rows).withColumnRenamed("prediction", "cluster")
     return models.map_back(model_table(tables), clustered, models.cluster_rates(clustered)).select("row_id", "insider_cik", "cluster", "prob")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import trade as t
 from ledgerlark.operators import evaluate
 from ledgerlark.sources import filings, market
+from ledgerlark.sources.shared import scratch
 from ledgerlark.plans.tables import Book
 from ledgerlark.streaming import incremental
 
@@ -155,9 +156,7 @@ def s03_lenient_parsing(tables):
 
 @book.add("SELECT dataset_split, count(*) AS n, round(avg(prob), 5) AS mean_score FROM (SELECT prob, CASE WHEN year(transaction_date) <= 1998 THEN 'train' WHEN year(transaction_date) = 1999 THEN 'val' ELSE 'test' END AS dataset_split FROM scored WHERE year(transaction_date) <= 2000) GROUP BY 1")
 def s19_s20_o04_saved_splits(tables):
-    import uuid
-
-    base = (tables.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/splits-{uuid.uuid4().hex}"
+    base = scratch(tables.spark, "splits")
     market.save_table(evaluate.time_split(tables.scored, 1998, 2000), base, by=("dataset_split",))
     return tables.spark.read.parquet(base).groupBy("dataset_split").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 5).alias("mean_score"))
 

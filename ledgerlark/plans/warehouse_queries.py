@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import profile, warehouse
 from ledgerlark.plans.tables import Book
+from ledgerlark.sources.shared import scratch
 
 book = Book()
 
@@ -201,9 +203,22 @@ def j15_insert_new(tables):
 
 @book.add(f"{FACT} SELECT CAST(year(filing_date) AS INT) AS filing_year, count(*) AS trades FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000 GROUP BY 1")
 def d04_d05_facts_by_year(tables):
-    import uuid
-
-    base = (tables.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/facts-{uuid.uuid4().hex}"
-    warehouse.write_facts(star(tables)[0], path, years=(1996, 2000))
+    """Loaded twice, as a refresh is."""
+    path = scratch(tables.spark, "facts")
+    for _ in range(2):
+        warehouse.write_facts(star(tables)[0], path, years=(1996, 2000))
     return tables.spark.read.parquet(path).groupBy("filing_year").agg(F.count("*").alias("trades"))
+
+
+@book.add(f"""{FACT}, t AS (SELECT 'company_activity' AS name, count(DISTINCT company_key) AS n FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000 UNION ALL SELECT 'fact_trades', count(*) FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000
+      UNION ALL SELECT 'dim_insider', count(DISTINCT insider_key) FROM fact UNION ALL SELECT 'dim_company', count(DISTINCT company_key) FROM fact
+      UNION ALL SELECT 'daily_summary', count(*) FROM (SELECT DISTINCT company_key, transaction_date FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000)
+      UNION ALL SELECT 'dim_transaction_type', {len(warehouse.TRANSACTION_TYPES)}) SELECT * FROM t""")
+def c06_warehouse_load(tables):
+    """All tables of the warehouse, written, written again and read."""
+    folder = scratch(tables.spark, "warehouse")
+    for _ in range(2):
+        warehouse.load_warehouse(tables.trades, folder, *CALENDAR, years=(1996, 2000))
+    names = ("company_activity", "fact_trades", "dim_insider", "dim_company", "daily_summary", "dim_transaction_type")
+    counts = [tables.spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, counts)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.shared import scratch
+
 
 def deduplicated_stream(events: DataFrame, key=("event_id",), time: str = "ts", late: str = "1 day") -> DataFrame:
     """J15 as a stream: each key once within the watermark."""
@@ -20,7 +20,7 @@ def daily_summary_stream(spark: SparkSession, path: str) -> DataFrame:
     runs again replaces; the summary reads them together.  Distinct users are
     kept as rows, so that they add up over batches.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/daily-{uuid.uuid4().hex}"
+    base = scratch(spark, "daily")
     one = spark.read.parquet(path)
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(one.schema).option("pathGlobFilter", name).parquet(folder) if path.endswith(".parquet") and _is_file(spark, path) else spark.readStream.schema(one.schema).parquet(path)
