@@ -82,9 +82,9 @@ def score(model, df: DataFrame, features) -> DataFrame:
     return out.withColumn("prob", MF.vector_to_array("probability")[1]).withColumn("flag", (F.col("prob") >= evaluate.FLAG_FROM).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def grid_search(train: DataFrame, val: DataFrame, features, grid=GRID):
+def grid_search(train: DataFrame, val: DataFrame, features, grid=None):
     """M2: (best model, table of parameters and average precision on ``val``); the first best counts."""
-    train, val = train.persist(), val.persist()
+    grid, train, val = grid or GRID, train.persist(), val.persist()
 
     def one(params):
         model = fit_boosted(train, val, features, **params)
@@ -169,9 +169,9 @@ def scaled_profiles(profiles: DataFrame, features) -> DataFrame:
     return assemble(standard_scale(filled, filled, features), features)
 
 
-def cluster(rows: DataFrame, k: int, restarts: int = RESTARTS):
+def cluster(rows: DataFrame, k: int, restarts: int | None = None):
     """M6: the best of several k-means fits on :func:`scaled_profiles`, which are worth persisting."""
-    fits = at_once(rows.sparkSession, [partial(KMeans(k=k, seed=SEED + i, maxIter=50).fit, rows) for i in range(restarts)])
+    fits = at_once(rows.sparkSession, [partial(KMeans(k=k, seed=SEED + i, maxIter=50).fit, rows) for i in range(restarts or RESTARTS)])
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -208,11 +208,12 @@ def path_norm(n) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_trees(train: DataFrame, features, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+def isolation_trees(train: DataFrame, features, trees: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """M4: trees as rows (tree, node, feature, split, left, right, size), each from about ``sample`` random rows.
 
     Each row draws the trees it belongs to, so only the samples are shuffled.
     """
+    trees = trees or TREES
     rate = min(1.0, 1.5 * sample / max(1, train.count()))
     draw = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("row_id", t, F.lit(SEED)), F.lit(1_000_003)) < rate * 1_000_003)
     drawn = train.select("row_id", F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.explode(draw).alias("tree"))

@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ledgerlark.functions import trade as t
@@ -17,12 +18,18 @@ EARNINGS_FORMS = ("10-Q", "10-K", "10-Q/A", "10-K/A")
 SHORTEST_ALIAS = 3
 
 
+def _typed(raw: DataFrame, schema: str) -> DataFrame:
+    """Columns of ``schema`` by name; those that ``raw`` lacks, and values that don't fit, are null."""
+    fields = StructType.fromDDL(schema)
+    return raw.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+
+
 def read_typed(spark: SparkSession, path: str, schema: str, required=(), kind: str = "csv") -> DataFrame:
-    """A table with a given schema; columns that must be there are checked."""
-    df = spark.read.schema(schema).option("header", True).format(kind).load(path)
-    if missing := [c for c in required if c not in df.columns]:
+    """A table with a given schema, by the names of the file's columns; columns that must be there are checked."""
+    raw = spark.read.option("header", True).format(kind).load(path)
+    if missing := [c for c in required if c not in raw.columns]:
         raise ValueError(f"missing columns: {missing}")
-    return df
+    return _typed(raw, schema)
 
 
 def read_optional(spark: SparkSession, path: str, date_col: str) -> DataFrame:
@@ -174,8 +181,8 @@ def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text
 
 def union_tables(spark: SparkSession, paths, schema: str) -> DataFrame:
     """Tables of several paths by column name; columns that one lacks are null."""
-    tables = [spark.read.schema(schema).option("header", True).csv(p) for p in paths]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    tables = [_typed(spark.read.option("header", True).csv(p), schema) for p in paths]
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def save_table(df: DataFrame, path: str, kind: str = "parquet", by=()) -> None:
