@@ -98,11 +98,15 @@ def s11_price_coverage(tables):
 @book.add("""x AS (SELECT ticker, announcement_date, row_number() OVER (PARTITION BY ticker ORDER BY announcement_date DESC) AS n FROM earnings)
     SELECT ticker, announcement_date, lpad(substr(ticker, 2), 10, '0') AS cik FROM x WHERE n <= 3""")
 def s13_w10_filing_index(tables):
+    return market.filing_dates(filing_payloads(tables), most=3).withColumn("cik", market.padded_cik(F.substring("ticker", 2, 20)))
+
+
+def filing_payloads(tables) -> DataFrame:
+    """A feed for each ticker, of its earnings dates under two forms, one of which counts."""
     e = tables.earnings.withColumn("x", F.struct(F.date_format("announcement_date", "yyyy-MM-dd").alias("d"), F.lit("10-Q").alias("f")))
     noise = e.withColumn("x", F.struct(F.col("x.d"), F.lit("8-K").alias("f")))
     lists = e.unionByName(noise).groupBy("ticker").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("x"))
-    payloads = lists.select("ticker", F.to_json(F.struct(F.col("x.f").alias("form"), F.col("x.d").alias("filingDate"))).alias("payload"))
-    return market.filing_dates(payloads, most=3).withColumn("cik", market.padded_cik(F.substring("ticker", 2, 20)))
+    return lists.select("ticker", F.to_json(F.struct(F.col("x.f").alias("form"), F.col("x.d").alias("filingDate"))).alias("payload"))
 
 
 @book.add("SELECT DISTINCT ticker, announcement_date FROM earnings")
@@ -137,17 +141,36 @@ def j12_s18_ticker_mentions(tables):
 
 @book.add("""SELECT ticker, action_date, count(*) AS n FROM enforcement GROUP BY 1, 2""")
 def s15_c04_enforcement_items(tables):
-    e = tables.enforcement
-    items = e.select(F.concat("ticker", F.lit(" charged with fraud")).alias("title"), F.lit("A settlement").alias("description"), F.date_format("action_date", "EEE, d MMM yyyy 12:00:00 'GMT'").alias("pubDate"), F.col("ticker").alias("link"))
-    noise = items.withColumns({"title": F.lit("weather"), "description": F.lit("sunny")}).unionByName(items.withColumn("pubDate", F.lit("soon")))
-    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><description>"), "description", F.lit("</description><pubDate>"), "pubDate", F.lit("</pubDate><link>"), "link", F.lit("</link></item>"))
-    feeds = items.unionByName(noise).withColumn("i", item).groupBy("link").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("text"))
+    e, feeds = tables.enforcement, news_feeds(tables)
     found = market.news_items(feeds.select("text"))
     tickers = e.select("ticker").distinct()
     named = market.match_tickers(found.withColumn("item_id", F.xxhash64("title", "action_date")), market.alias_table(tickers.select("ticker", F.col("ticker").alias("alias")), tickers), tickers, text="title")
     return found.withColumn("item_id", F.xxhash64("title", "action_date")).join(named, "item_id").groupBy("ticker", "action_date").agg(F.count("*").alias("n"))
 
 
+def news_feeds(tables) -> DataFrame:
+    """A feed for each ticker: its actions, and items that aren't any or have no date."""
+    e = tables.enforcement
+    items = e.select(F.concat("ticker", F.lit(" charged with fraud")).alias("title"), F.lit("A settlement").alias("description"), F.date_format("action_date", "EEE, d MMM yyyy 12:00:00 'GMT'").alias("pubDate"), F.col("ticker").alias("link"))
+    noise = items.withColumns({"title": F.lit("weather"), "description": F.lit("sunny")}).unionByName(items.withColumn("pubDate", F.lit("soon")))
+    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><description>"), "description", F.lit("</description><pubDate>"), "pubDate", F.lit("</pubDate><link>"), "link", F.lit("</link></item>"))
+    return items.unionByName(noise).withColumn("i", item).groupBy("link").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("text"))
+
+
+@book.add("SELECT DISTINCT 'earnings' AS kind, ticker, announcement_date AS date FROM earnings UNION ALL SELECT DISTINCT 'enforcement', ticker, action_date FROM enforcement")
+def c04_event_build(tables):
+    """Half of the earnings is stored, half of it comes from a calendar, and all from feeds; the actions come from feeds."""
+    e, early = tables.earnings, F.year("announcement_date") <= 1997
+    tickers = tables.enforcement.select("ticker").distinct()
+    calendar = e.filter(~early).select("ticker", F.date_format("announcement_date", "yyyy-MM-dd").alias("value"))
+    earnings, enforcement = market.build_events(
+        filing_payloads(tables), calendar, news_feeds(tables).select("text"), tickers.select("ticker", F.col("ticker").alias("alias")), tickers,
+        e.filter(early).select("ticker", "announcement_date"), tables.enforcement.filter("year(action_date) <= 1996").select("ticker", "action_date"),
+    )
+    one = lambda df, kind, date: df.select(F.lit(kind).alias("kind"), "ticker", F.col(date).alias("date"))
+    return one(earnings, "earnings", "announcement_date").unionByName(one(enforcement, "enforcement", "action_date"))
+
+
 @book.add("SELECT row_id, TRY_CAST(replace(replace('$' || CAST(CAST(shares AS BIGINT) AS VARCHAR) || ',0', ',', ''), '$', '') AS DOUBLE) AS amount, transaction_date AS d FROM trades")
 def s03_lenient_parsing(tables):
     forms = F.when(F.col("row_id") % 3 == 0, F.date_format("transaction_date", "yyyy-MM-dd")).when(F.col("row_id") % 3 == 1, F.date_format("transaction_date", "MM/dd/yyyy")).otherwise(F.date_format("transaction_date", "yyyyMMdd"))

@@ -127,6 +127,18 @@ def c01_p38_p39_preflight(tables):
         F.count("*").alias("n"), F.round(F.sum(F.col("shares").cast("decimal(20,4)")).cast("double"), 4).alias("shares"))
 
 
+@book.add(f"""{DIRTY}, u AS (SELECT DISTINCT * REPLACE (coalesce(transaction_date, filing_date) AS transaction_date) FROM dirty),
+    o AS (SELECT 100 * count(*) FILTER (price_per_share < a - 1.5 * (b - a) OR price_per_share > b + 1.5 * (b - a)) / count(price_per_share) > 5 AS cap FROM dirty, (SELECT quantile_cont(price_per_share, 0.25) AS a, quantile_cont(price_per_share, 0.75) AS b FROM dirty)),
+    c AS (SELECT quantile_cont(price_per_share, [0.01, 0.99]) FILTER (price_per_share > 0) AS p, quantile_cont(shares, [0.01, 0.99]) FILTER (shares > 0) AS s FROM u)
+    SELECT ticker, transaction_code, transaction_date, round(CASE WHEN cap AND price_per_share > 0 THEN greatest(least(price_per_share, p[2]), p[1]) ELSE price_per_share END, 8) AS price_per_share,
+      round(CASE WHEN cap AND shares > 0 THEN greatest(least(shares, s[2]), s[1]) ELSE shares END, 8) AS shares FROM u, c, o WHERE NOT coalesce(price_per_share < 0 AND NOT is_derivative, false)""")
+def c01_preflight_of_all_columns(tables):
+    """The gate and the capping with the prices in; a column of one value goes."""
+    ready = profile.preflight(dirty(tables).withColumn("source", F.lit("one value")), dt.date(2030, 1, 1))
+    assert "source" not in ready.columns
+    return ready.select("ticker", "transaction_code", "transaction_date", *[F.round(c, 8).alias(c) for c in ("price_per_share", "shares")])
+
+
 D1_SQL = f"""d AS (SELECT CAST(unnest(generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 DAY)) AS DATE) AS date)
     SELECT CAST(strftime(date, '%Y%m%d') AS INT) AS time_key, date, CAST(year(date) AS INT) AS year, CAST(quarter(date) AS INT) AS quarter, CAST(month(date) AS INT) AS month, CAST(weekofyear(date) AS INT) AS week_of_year, CAST(dayofweek(date) AS INT) AS day_of_week,
       CAST(day(date) AS INT) AS day_of_month, rpad(dayname(date), 9, ' ') AS day_name, rpad(monthname(date), 9, ' ') AS month_name, dayofweek(date) IN (0, 6) AS is_weekend,

@@ -149,6 +149,15 @@ def upsert_events(old: DataFrame, new: DataFrame, key) -> DataFrame:
     return keep_last(tidy, key, F.struct("_src", *[c for c in tidy.columns if c != "_src"])).drop("_src")
 
 
+def build_events(payloads: DataFrame, calendar: DataFrame, feeds: DataFrame, aliases: DataFrame, tickers: DataFrame, earnings: DataFrame, enforcement: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C4: (earnings, enforcement): what is stored, with the dates of filings and calendars, and with the news items that name a ticker."""
+    announced = filing_dates(payloads).unionByName(calendar_dates(calendar))
+    items = news_items(feeds).withColumn("item_id", F.xxhash64("title", "link", "action_date")).dropDuplicates(["item_id"])
+    named = match_tickers(items, alias_table(aliases, tickers), tickers, text="title")
+    acted = items.join(named, "item_id").select("ticker", "action_date")
+    return upsert_events(earnings, announced, ("ticker", "announcement_date")), upsert_events(enforcement, acted, ("ticker", "action_date"))
+
+
 def alias_table(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
     """(ticker, alias) of wanted tickers, normalised; each ticker is an alias of itself, and short ones go."""
     own = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()

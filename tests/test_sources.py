@@ -7,7 +7,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import trade as t
-from ledgerlark.operators import evaluate, labels, models
+from ledgerlark.operators import evaluate, labels, models, profile
 from ledgerlark.sources import filings, market
 
 
@@ -77,3 +77,13 @@ def test_focus_and_model_rows(spark):
     assert labels.focus(many, "/x/T4321.csv").count() == 1
     assert evaluate.model_rows(rows).count() == 2 and evaluate.model_rows(rows, labeled=False).count() == 3
     assert t.OPEN_MARKET
+
+
+def test_gate_blocks_negative_prices_and_future_trades(spark):
+    rows = [("A", -1.0, dt.date(2020, 1, 1)), ("B", 2.0, dt.date(2020, 1, 2))]
+    df = spark.createDataFrame(rows, "ticker string, price_per_share double, transaction_date date")
+    with pytest.raises(profile.QualityError):
+        profile.preflight(df, dt.date(2021, 1, 1))
+    with pytest.raises(profile.QualityError):
+        profile.preflight(df.filter("ticker = 'B'"), dt.date(2020, 1, 1))
+    assert profile.preflight(df.filter("ticker = 'B'"), dt.date(2021, 1, 1)).count() == 1
