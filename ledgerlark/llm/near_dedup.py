@@ -210,9 +210,8 @@ def with_components(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(known, "_id", "left").withColumn("component", F.coalesce("_known", "_id")).drop("_known")
 
 
-def undecided(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, _id, component): nodes whose sets lie in several components."""
-    rows = with_components(nodes, parts)
+def undecided(rows: DataFrame) -> DataFrame:
+    """(node, _id, component): of such rows, those of nodes whose sets lie in several components."""
     several = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     return rows.join(several.select("node"), "node", "left_semi")
 
@@ -266,9 +265,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b").distinct()
 
 
-def with_outside(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """``large`` (tree, node, _id, parent) where undecided, with component, size, top (largest component) and outside (sets not in it)."""
-    rows = with_components(large.select("tree", "node", "_id", "parent"), parts)
+def with_outside(rows: DataFrame) -> DataFrame:
+    """Rows of large nodes (tree, node, _id, parent, component) where undecided, with size, top (largest component) and outside (sets not in it)."""
     counts = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
     tops = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("component", F.struct("n", -F.col("component"))).alias("top"))
     return rows.join(tops.filter("size > most").select("node", "size", "top", (F.col("size") - F.col("most")).alias("outside")), "node")
@@ -340,6 +338,7 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
     spark, written = reps.sparkSession, []
     keep = lambda df, label: settle(df, label, written)
     ends = lambda pairs: pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    placed = lambda rows: keep(with_components(rows, parts), "placed")
 
     sized = keep(with_size(roots(reps)), "roots")
     small, large = sized.filter(F.col("size") <= SMALL_NODE), sized.filter(F.col("size") > SMALL_NODE)
@@ -357,7 +356,7 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
     for level in range(2, LEVELS + 2):
         if large.isEmpty():
             break
-        state = keep(with_outside(large, parts), "large")
+        state = keep(with_outside(placed(large.select("tree", "node", "_id", "parent"))), "large")
         alike_all = (F.col("outside") <= OUTSIDE) | F.coalesce(2 * F.col("size") > F.col("parent"), F.lit(False)) | F.lit(level > LEVELS)
         wide.append(state.filter(alike_all).select("node", "_id", "component", "top"))
         if level > LEVELS:
@@ -370,9 +369,9 @@ def linked_parts(reps: DataFrame, texts: DataFrame) -> DataFrame:
     open_nodes = [small.join(near, "_id", "left_semi").select("node", "_id")]
     if deeper:
         nodes = reduce(DataFrame.unionByName, deeper)
-        also = ends(alike(undecided(nodes, parts).select("node", "_id"), reps))
+        also = ends(alike(undecided(placed(nodes)).select("node", "_id"), reps))
         open_nodes.append(nodes.join(also, "_id", "left_semi").select("node", "_id"))
-    rows = undecided(reduce(DataFrame.unionByName, open_nodes), parts)
+    rows = undecided(placed(reduce(DataFrame.unionByName, open_nodes)))
     groups = rows.select(F.col("node").alias("group"), "node", "_id", "component", F.lit(ASKED | TOLD).alias("role"))
     if wide:
         groups = groups.unionByName(blocks_of(reduce(DataFrame.unionByName, wide), reps))
