@@ -63,8 +63,8 @@ def words_by_group(groups: DataFrame) -> DataFrame:
         found: Counter[str] = Counter()
         for text in table.column("_text"):
             found.update((text.as_py() or "").lower().split())
-        h = pa.array(map(word_hash, found), pa.int64(), len(found))
-        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "h": h, "n": pa.array(found.values(), pa.int64(), len(found))})
+        h = pa.array([word_hash(w) for w in found], pa.int64())
+        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "h": h, "n": pa.array(list(found.values()), pa.int64())})
 
     return settle(groups.select("_group", "_text").groupBy("_group").applyInArrow(count, "_group long, h long, n long"), "words_by_group")
 
