@@ -88,25 +88,30 @@ def near_lines(own: DataFrame) -> DataFrame:
     n steps and not n squared.
     """
     by_line = Window.partitionBy("h")
-    words = own.select("h", "place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    words = own.select("h", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     from_start, from_end = F.xxhash64("at", "word"), F.xxhash64(F.col("n") - F.col("at"), "word")
-    spans = words.select(
-        "h", "place", "n", "at",
-        F.coalesce(F.bit_xor(from_start).over(by_line.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.bit_xor(from_end).over(by_line).alias("all_after"),
-        F.bit_xor(from_end).over(by_line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        from_end.alias("own_end"), from_start.alias("own_start"),
+    spans = words.select("h", "n", "at", from_start.alias("own_start"), from_end.alias("own_end")).select(
+        "h", "n", "at", "own_start", "own_end",
+        F.coalesce(F.bit_xor("own_start").over(by_line.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.bit_xor("own_end").over(by_line).alias("all_after"),
+        F.bit_xor("own_end").over(by_line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
     )
     after = F.col("all_after").bitwiseXOR(F.col("upto"))
-    taken = F.struct(F.xxhash64("at", "before", after).alias("key"), F.col("at").alias("at"), F.lit(True).alias("cut"))
-    whole = F.struct(F.xxhash64("at", "before", after.bitwiseXOR(F.col("own_end"))).alias("key"), F.col("at").alias("at"), F.lit(False).alias("cut"))
-    at_end = F.struct(F.xxhash64("n", F.col("before").bitwiseXOR(F.col("own_start")), F.lit(0).cast("long")).alias("key"), F.col("n").alias("at"), F.lit(False).alias("cut"))
+    # How a key came about is its place and, in the last bit, whether the element there was taken out.
+    variant = lambda key, at, cut: F.struct(key.alias("key"), (2 * at + cut).alias("how"))
+    taken = variant(F.xxhash64("at", "before", after), F.col("at"), 1)
+    whole = variant(F.xxhash64("at", "before", after.bitwiseXOR(F.col("own_end"))), F.col("at"), 0)
+    at_end = variant(F.xxhash64("n", F.col("before").bitwiseXOR(F.col("own_start")), F.lit(0).cast("long")), F.col("n"), 0)
     last = F.when(F.col("at") == F.col("n") - 1, F.array(taken, whole, at_end)).otherwise(F.array(taken, whole))
-    keys = spans.select("h", "place", F.explode(last).alias("v")).select("h", "place", "v.key", "v.at", "v.cut")
+    keys = spans.select("h", F.explode(last).alias("v")).select("h", "v.key", "v.how")
+    # Most keys belong to one line; only the others get the places of their lines.
+    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
+    found = settle(keys.join(shared, "key", "left_semi").join(own.select("h", "place"), "h"), "shared")
     # All lines of a key are within one word of each other, so the earliest is the one that counts for each.
-    earliest = keys.groupBy("key").agg(F.min(F.struct("place", "h", "at", "cut")).alias("e"), F.count("*").alias("lines")).filter("lines > 1")
-    met = keys.join(earliest, "key").filter("e.place < place").select(
-        "h", "at", "cut", F.col("e.h").alias("eh"), F.col("e.at").alias("eat"), F.col("e.cut").alias("ecut"), F.col("e.place").alias("eplace")
+    earliest = found.groupBy("key").agg(F.min(F.struct("place", "h", "how")).alias("e"))
+    at, cut = (lambda how: F.floor(how / 2).cast("int")), (lambda how: how % 2 == 1)
+    met = found.join(earliest, "key").filter("e.place < place").select(
+        "h", at(F.col("how")).alias("at"), cut(F.col("how")).alias("cut"), F.col("e.h").alias("eh"), at(F.col("e.how")).alias("eat"), cut(F.col("e.how")).alias("ecut"), F.col("e.place").alias("eplace")
     )
     rest = lambda w, at, cut: F.when(F.col(cut), _without(F.col(w), F.col(at))).otherwise(F.col(w))
     left, right = own.select("h", F.col("words").alias("w")), own.select(F.col("h").alias("eh"), F.col("words").alias("ew"))
