@@ -44,7 +44,7 @@ def settle(df: DataFrame, label: str, written: list[str] | None = None) -> DataF
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if written is not None:
         written.append(path)
     return spark.read.schema(df.schema).parquet(path)

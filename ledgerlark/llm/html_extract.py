@@ -278,7 +278,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     an empty table; other columns are not looked at.
     """
     parsed = settle(parsed_pages(pages, id_col, url_col, html_col), "pages")
-    repeats = repeated_keys(parsed).withColumnRenamed("_page", "_own")
+    # Settled, so that its size is known: where few pages have repeats, the texts need no shuffle.
+    repeats = settle(repeated_keys(parsed).withColumnRenamed("_page", "_own"), "repeats")
     joined = parsed.join(repeats, F.col("_page") == F.col("_own"), "left").select("_id", "_url", "_zones", "_texts", "repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
