@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, lm_score, media, mixing, near_dedup, packing, toxicity, warc
+from . import exact_dedup, html_extract, lattice_dedup, line_dedup, lm_score, media, merkle, mixing, near_dedup, packing, spelling, toxicity, warc
 
 #: Parameters that the queries and the pipeline share.
 TOXIC_FROM = 0.3
@@ -129,11 +129,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; half of the rows, by hash of doc_id, are tampered with by deleting line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without_ends = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, without_ends).otherwise(F.col("text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pseudo_likelihood, op2_media_columns, op3_exact_dedup, op4_revisit_resolution, op5_packing,
-        op6_line_dedup, op7_source_mixing, op8_near_dedup, op9_toxicity, op10_html_extraction,
+        op6_line_dedup, op7_source_mixing, op8_near_dedup, op9_toxicity, op10_html_extraction, op11_lattice_near_dedup,
+        op12_spelling_variants, op13_merkle_manifest,
     )
 }
 
