@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import functions as MF
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark import inheritable_thread_target
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.trade import finite_or_zero
-from ledgerlark.operators import evaluate
+from ledgerlark.operators import clustering, evaluate
 
 SEED = 42
 #: Buckets in which values are dealt anew.
@@ -31,7 +30,6 @@ PARALLEL = 8
 GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": n, "subsamplingRate": s} for d in (3, 5, 7) for r in (0.05, 0.1) for n in (100, 200) for s in (0.8, 1.0))
 BEST = {"maxDepth": 7, "stepSize": 0.05, "maxIter": 100, "subsamplingRate": 0.8}
 TREES, SAMPLE = 200, 256
-RESTARTS = 20
 SUPPORT, CONFIDENCE = 0.03, 0.5
 MEMBERSHIP = "opportunistic"
 
@@ -163,24 +161,21 @@ def rule_scores(baskets: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def scaled_profiles(profiles: DataFrame, features) -> DataFrame:
-    """M6: profiles with their scaled features as a vector, missing values being the mean."""
+    """M6: insiders' profiles with h, a hash of the insider, and x, their scaled features, missing values being the mean."""
     means = profiles.agg(*[F.avg(c).alias(f"_{c}") for c in features])
-    filled = profiles.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(c, f"_{c}") for c in features}).drop(*means.columns)  # one row
-    return assemble(standard_scale(filled, filled, features), features)
-
-
-def cluster(rows: DataFrame, k: int, restarts: int | None = None):
-    """M6: the best of several k-means fits on :func:`scaled_profiles`, which are worth persisting."""
-    fits = at_once(rows.sparkSession, [partial(KMeans(k=k, seed=SEED + i, maxIter=50).fit, rows) for i in range(restarts or RESTARTS)])
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def elbow(costs: dict[int, float]) -> int:
-    """M6: the k farthest from the chord of the cost curve."""
-    ks = sorted(costs)
-    (x0, y0), (x1, y1) = (ks[0], costs[ks[0]]), (ks[-1], costs[ks[-1]])
-    norm = math.hypot(y1 - y0, x1 - x0) or 1.0
-    return max(ks, key=lambda k: abs((y1 - y0) * k - (x1 - x0) * costs[k] + x1 * y0 - y1 * x0) / norm)
+    filled = profiles.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in features}).drop(*means.columns)  # one row
+    scaled = standard_scale(filled, filled, features)
+    return scaled.withColumns({"h": F.xxhash64("insider_cik"), "x": F.array(*[F.col(c).cast("double") for c in features])})
+
+
+def clustered_profiles(profiles: DataFrame, features, ks=clustering.CLUSTERS, restarts: int = clustering.RESTARTS) -> tuple[DataFrame, dict[int, float]]:
+    """M6: scaled profiles with their cluster at the elbow of the costs, and the least cost of each k."""
+    rows = scaled_profiles(profiles, features)
+    found = clustering.best(clustering.fits(rows.select("h", "x"), ks, restarts))
+    costs = {k: fit.cost for k, fit in found.items()}
+    if not costs:
+        return rows.withColumn("cluster", F.lit(None).cast("int")), costs
+    return clustering.with_cluster(rows, found[clustering.elbow(costs)].centres), costs
 
 
 def cluster_rates(clustered: DataFrame, rate: str = "informed_rate") -> DataFrame:

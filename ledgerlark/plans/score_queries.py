@@ -285,10 +285,7 @@ def profiles(tables) -> DataFrame:
 
 @book.add()
 def m06_a18_j14_clusters(tables):
-    rows = models.scaled_profiles(profiles(tables), MODEL_FEATURES).persist()
-    fits = {k: models.cluster(rows, k) for k in range(2, 11)}
-    model = fits[models.elbow({k: m.summary.trainingCost for k, m in fits.items()})]
-    clustered = model.transform(rows).withColumnRenamed("prediction", "cluster")
+    clustered, _ = models.clustered_profiles(profiles(tables), MODEL_FEATURES)
     return models.map_back(model_table(tables), clustered, models.cluster_rates(clustered)).select("row_id", "insider_cik", "cluster", "prob")
 
 

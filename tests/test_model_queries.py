@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from ledgerlark.operators import evaluate, models
+from ledgerlark.operators import clustering, evaluate, models
 from ledgerlark.plans import score_queries as q
 
 
@@ -15,7 +15,6 @@ def small(monkeypatch):
     monkeypatch.setattr(models, "BEST", {"maxDepth": 2, "stepSize": 0.1, "maxIter": 3, "subsamplingRate": 1.0})
     monkeypatch.setattr(models, "GRID", models.GRID[:1] and ({"maxDepth": 2, "stepSize": 0.1, "maxIter": 2, "subsamplingRate": 1.0}, {"maxDepth": 3, "stepSize": 0.1, "maxIter": 2, "subsamplingRate": 1.0}))
     monkeypatch.setattr(models, "TREES", 10)
-    monkeypatch.setattr(models, "RESTARTS", 2)
 
 
 def run(spark, data, name):
@@ -50,10 +49,61 @@ def test_isolation_forest(spark, data):
     assert set(surrogate["feature"]) == set(q.MODEL_FEATURES) and surrogate["importance"].sum() == pytest.approx(1)
 
 
+def lloyd(x, centres, iterations=clustering.MAX_ITERATIONS):
+    """Plain Lloyd: centres and cost."""
+    for _ in range(iterations):
+        own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([x[own == k].mean(0) if (own == k).any() else c for k, c in enumerate(centres)])
+        moved = ((new - centres) ** 2).sum()
+        centres = new
+        if moved <= clustering.TOLERANCE:
+            break
+    return centres, ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_all_fits_equal_plain_ones(spark):
+    """Every fit of several k and restarts, from its seeds; rows dealt otherwise give the same."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.4, (40, 3)) for c in ([0, 0, 0], [3, 0, 1], [0, 4, -2], [5, 5, 5])])
+    rows = spark.createDataFrame([(int(h), [float(v) for v in r]) for h, r in zip(rng.integers(-(2**62), 2**62, len(x)), x)], "h long, x array<double>")
+    drawn = clustering.seeds(rows, 5, 4)
+    assert all(any(np.allclose(s, r) for r in x) for s in drawn.reshape(-1, 3))
+    assert all(len(np.unique(d, axis=0)) == 5 for d in drawn)
+    found = clustering.fits(rows.repartition(7), (2, 3, 4, 5), 4)
+    assert len(found) == 16
+    for fit in found:
+        centres, cost = lloyd(x, drawn[fit.restart, : fit.k])
+        assert np.allclose(fit.centres, centres) and fit.cost == pytest.approx(cost)
+    best = clustering.best(found)
+    assert clustering.elbow({2: 100.0, 3: 60.0, 4: 12.0, 5: 10.0}) == 4 and clustering.elbow({2: 3.0, 3: 3.0}) == 2
+    got = clustering.with_cluster(rows, best[4].centres).toPandas()
+    at = np.stack(got["x"].to_numpy())
+    assert got["cluster"].tolist() == ((at[:, None] - best[4].centres[None]) ** 2).sum(2).argmin(1).tolist()
+
+
+def test_fits_of_few_rows(spark):
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)], "h long, x array<double>")
+    assert [f.cost for f in clustering.fits(same, (2, 3), 2)] == [0.0] * 4
+    assert clustering.fits(same.limit(0), (2,), 2) == []
+
+
 def test_clusters(spark, data):
+    """k of 2 to 10 with 20 restarts, as registered; costs and elbow against plain numpy, rates by cluster."""
     got = run(spark, data, "m06_a18_j14_clusters")
-    by = got.dropna(subset=["cluster"]).groupby("cluster")["prob"].nunique()
-    assert len(got) and (by == 1).all() and 2 <= len(by) <= 10
+    own = q.profiles(q_tables(spark, data))
+    clustered, costs = models.clustered_profiles(own, q.MODEL_FEATURES)
+    rows = clustered.select("insider_cik", "h", "x", "cluster", "informed_rate").toPandas()
+    x = np.stack(rows["x"].to_numpy())
+    drawn = clustering.seeds(clustered.select("h", "x"), 10, 20)
+    want = {k: min(lloyd(x, drawn[r, :k])[1] for r in range(20)) for k in range(2, 11)}
+    assert costs == pytest.approx(want)
+    (x0, y0), (x1, y1) = (2, want[2]), (10, want[10])
+    chord = {k: abs((y1 - y0) * k - (x1 - x0) * c + x1 * y0 - y1 * x0) for k, c in want.items()}
+    assert rows["cluster"].nunique() == max(chord, key=chord.get)
+    rates = rows.groupby("cluster")["informed_rate"].mean()
+    known = dict(zip(rows["insider_cik"], rows["cluster"]))
+    for r in got.itertuples():
+        assert r.prob == pytest.approx(rates[known[r.insider_cik]], abs=1e-6)
 
 
 def test_principal_components(spark, data):
