@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlark.sources.shared import remove, scratch, stored, swap
+
 # Transaction codes (code, description, category, open market, buy-equivalent, derivative).
 TRANSACTION_TYPES = (
     ("P", "Open Market Purchase", "Open Market", True, True, False),
@@ -36,6 +38,11 @@ CALENDAR = (dt.date(2019, 1, 1), dt.date(2026, 12, 31))
 PARTS_A_YEAR = 16
 FACT_YEARS = (2019, 2026)
 FACT_KEY = ("accession_number", "insider_key", "transaction_date", "shares_traded", "price_per_share", "filing_date")
+#: What filings tell besides; null where the trades have no such column.
+FACT_DETAILS = {
+    "acquired_disposed": "string", "direct_indirect": "string", "is_amendment": "boolean", "security_title": "string", "conversion_price": "double",
+    "exercise_date": "date", "expiration_date": "date", "underlying_shares": "double", "footnote_text": "string", "xml_path": "string",
+}
 HIGH_VALUE, RECENT_DAYS = 100_000, 30
 
 
@@ -106,7 +113,8 @@ def facts(trades: DataFrame, company: DataFrame, insider: DataFrame, time: DataF
         .join(company.select(F.col("cik").alias("issuer_cik"), "company_key"), "issuer_cik")
         .join(insider.select(F.col("cik").alias("_who"), "insider_key"), "_who")
         .select(F.col("row_id").alias("trade_id"), "accession_number", "company_key", "insider_key", "time_key", "transaction_type_key", F.col("_date").alias("transaction_date"),
-                "filing_date", F.col("shares").alias("shares_traded"), "price_per_share", "total_value", "shares_owned_after", "has_10b5_1_plan", "is_derivative")
+                "filing_date", F.col("shares").alias("shares_traded"), "price_per_share", "total_value", "shares_owned_after", "has_10b5_1_plan", "is_derivative",
+                *[(F.col(c) if c in trades.columns else F.lit(None)).cast(kind).alias(c) for c, kind in FACT_DETAILS.items()])
     )
 
 
@@ -120,32 +128,69 @@ def insert_new(stored: DataFrame, incoming: DataFrame, key=FACT_KEY) -> DataFram
     return keyed.join(stored.select(*key), list(key), "left_anti").select(*incoming.columns).unionByName(incoming.filter(~whole))
 
 
-def write_facts(facts_: DataFrame, path: str, years=FACT_YEARS, parts: int = PARTS_A_YEAR) -> None:
-    """Facts by filing year; other years are not taken.
+def merge_facts(facts_: DataFrame, path: str, years=FACT_YEARS, parts: int = PARTS_A_YEAR) -> DataFrame:
+    """Insert facts into a table by filing year; other years are not taken.  Returns the inserted facts.
 
-    A load replaces the years that it has and leaves the others, so a load
-    that runs again doubles nothing.  A year is written by ``parts`` tasks.
+    A load adds the rows whose keys are not stored, so loads of different rows
+    keep all and a load that runs again adds none; one that was cut off is run
+    again.  Only years of the load are read.  The new rows are staged before
+    any is inserted, and a year is written by ``parts`` tasks.
     """
+    spark, stage = facts_.sparkSession, scratch(facts_.sparkSession, "facts")
     dated = facts_.withColumn("filing_year", F.year("filing_date")).filter(F.col("filing_year").between(*years))
-    dealt = dated.repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filing_year").parquet(path)
+    known = stored(spark, path)
+    if known is not None:
+        dated.write.parquet(f"{stage}/load")
+        dated = spark.read.schema(dated.schema).parquet(f"{stage}/load")
+        wanted = [r[0] for r in dated.select("filing_year").distinct().collect()]  # one a year
+        known = known.filter(F.col("filing_year").isin(wanted))
+    new = insert_new(spark.createDataFrame([], dated.schema) if known is None else known, dated)
+    new.write.parquet(f"{stage}/new")
+    new = spark.read.schema(dated.schema).parquet(f"{stage}/new")
+    dealt = new.repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts)))
+    dealt.write.mode("append").partitionBy("filing_year").parquet(path)
+    remove(spark, f"{stage}/load")
+    return new
+
+
+def compact_facts(spark: SparkSession, path: str, parts: int = PARTS_A_YEAR) -> None:
+    """Rewrite the facts in ``parts`` files a year, after many small loads."""
+    swap(stored(spark, path).repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts))), path, ("filing_year",))
 
 
 def load_warehouse(trades: DataFrame, folder: str, first_day, last_day, years=FACT_YEARS) -> None:
-    """Dimensions, facts, statistics and summaries of ``trades`` in ``folder``; every table is replaced, facts by year."""
+    """Add ``trades`` to the warehouse in ``folder``, which starts empty.
+
+    Dimensions are merged by key, facts inserted unless known; statistics and
+    summaries are made anew for the companies, insiders and days that the new
+    facts touch.  Tables other than the facts are replaced by renaming.
+    """
     spark = trades.sparkSession
-    put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    got = lambda name: spark.read.parquet(f"{folder}/{name}")
-    put(dim_transaction_type(spark), "dim_transaction_type")
-    put(dim_time(spark, first_day, last_day), "dim_time")
-    put(dim_company(trades), "dim_company")
-    found = dim_insider(trades)
+    at = lambda name: f"{folder}/{name}"
+    got = lambda name: stored(spark, at(name))
+    swap(dim_transaction_type(spark), at("dim_transaction_type"))
+    days = got("dim_time")
+    fresh = dim_time(spark, first_day, last_day, known=days)
+    swap(fresh if days is None else days.unionByName(fresh), at("dim_time"))
+    swap(dim_company(trades, got("dim_company")), at("dim_company"))
+    insiders = got("dim_insider")
+    named = dim_insider(trades, insiders)
     kinds, time, company = got("dim_transaction_type"), got("dim_time"), got("dim_company")
-    write_facts(facts(trades, company, found, time, kinds), f"{folder}/fact_trades", years)
+    new = merge_facts(facts(trades, company, named, time, kinds), at("fact_trades"), years)
     fact = got("fact_trades")
-    put(update_insiders(found, insider_statistics(fact, kinds)), "dim_insider")
-    put(company_activity(company, fact, kinds), "company_activity")
-    put(daily_summary(fact, kinds), "daily_summary")
+    touched = lambda *by: fact.join(new.select(*by).distinct(), list(by), "left_semi")
+    if insiders is not None:  # statistics of before go on where a load has none
+        old = [c for c in insiders.columns if c not in named.columns]
+        named = named.join(insiders.select("insider_key", *old), "insider_key", "left")
+    swap(update_insiders(named, insider_statistics(touched("insider_key"), kinds)), at("dim_insider"))
+    active = company_activity(company, touched("company_key"), kinds)
+    before = got("company_activity")
+    if before is not None:
+        seen = active.filter("total_trades > 0").unionByName(active.filter("total_trades = 0").join(before.select("company_key"), "company_key", "left_anti"))
+        active = upsert(before, seen, ["company_key"]).drop("ticker").join(company.select("company_key", "ticker"), "company_key").select(active.columns)
+    swap(active, at("company_activity"))
+    daily, before = daily_summary(touched("company_key", "transaction_date"), kinds), got("daily_summary")
+    swap(daily if before is None else upsert(before, daily, ["company_key", "date"]), at("daily_summary"))
 
 
 def _sides(fact: DataFrame, kinds: DataFrame) -> tuple[DataFrame, Column, Column]:

@@ -213,24 +213,83 @@ def j15_insert_new(tables):
     return warehouse.insert_new(fact.filter("trade_id % 2 = 0"), incoming).select("trade_id")
 
 
-@book.add(f"{FACT} SELECT CAST(year(filing_date) AS INT) AS filing_year, count(*) AS trades FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000 GROUP BY 1")
-def d04_d05_facts_by_year(tables):
-    """Loaded twice, as a refresh is."""
-    path = scratch(tables.spark, "facts")
-    for _ in range(2):
-        warehouse.write_facts(star(tables)[0], path, years=(1996, 2000))
-    return tables.spark.read.parquet(path).groupBy("filing_year").agg(F.count("*").alias("trades"))
+LOADED_YEARS = (1996, 2000)
+#: The facts of :func:`load_in_parts`: of equal keys the first that was loaded.
+LOADED = f"""{FACT}, loaded AS (SELECT * FROM fact WHERE year(filing_date) BETWEEN {LOADED_YEARS[0]} AND {LOADED_YEARS[1]}
+    QUALIFY row_number() OVER (PARTITION BY accession_number, insider_key, transaction_date, shares, price_per_share, filing_date ORDER BY trade_id % 2, trade_id) = 1)"""
+
+
+def loads(rows: DataFrame, by: str) -> list[DataFrame]:
+    """Two disjoint loads and a third that repeats rows of both."""
+    return [rows.filter(f"{by} % 2 = 0"), rows.filter(f"{by} % 2 = 1"), rows.filter(f"{by} % 3 = 0")]
 
 
-@book.add(f"""{FACT}, t AS (SELECT 'company_activity' AS name, count(DISTINCT company_key) AS n FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000 UNION ALL SELECT 'fact_trades', count(*) FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000
-      UNION ALL SELECT 'dim_insider', count(DISTINCT insider_key) FROM fact UNION ALL SELECT 'dim_company', count(DISTINCT company_key) FROM fact
-      UNION ALL SELECT 'daily_summary', count(*) FROM (SELECT DISTINCT company_key, transaction_date FROM fact WHERE year(filing_date) BETWEEN 1996 AND 2000)
-      UNION ALL SELECT 'dim_transaction_type', {len(warehouse.TRANSACTION_TYPES)}) SELECT * FROM t""")
+@book.add(f"{LOADED} SELECT CAST(year(filing_date) AS INT) AS filing_year, count(*) AS trades, CAST(sum(trade_id % 1000003) AS BIGINT) AS ids, round(CAST(sum({M.format('total_value')}) AS DOUBLE), 2) AS total_value, count(DISTINCT company_key) AS companies FROM loaded GROUP BY 1")
+def d04_d05_facts_by_year(tables):
+    """Loaded in two halves and then in part again: both halves are kept and nothing is doubled."""
+    path = scratch(tables.spark, "facts")
+    for part in loads(star(tables)[0], "trade_id"):
+        warehouse.merge_facts(part, path, years=LOADED_YEARS)
+    warehouse.compact_facts(tables.spark, path)
+    return tables.spark.read.parquet(path).groupBy("filing_year").agg(
+        F.count("*").alias("trades"), F.sum(F.col("trade_id") % 1000003).alias("ids"), F.round(F.sum(F.col("total_value").cast("decimal(20,4)")).cast("double"), 2).alias("total_value"),
+        F.count_distinct("company_key").alias("companies"),
+    )
+
+
+#: The tables of the warehouse as SQL, and the kinds of their columns: a number, a text or a truth.
+WAREHOUSE = {
+    "dim_transaction_type": ("SELECT code, type_key, description, buy AS is_buy_equivalent FROM kinds", {"code": "text", "type_key": "number", "description": "text", "is_buy_equivalent": "truth"}),
+    "dim_time": (
+        f"SELECT CAST(strftime(date, '%Y%m%d') AS INT) AS time_key, CAST(date AS VARCHAR) AS date, quarter(date) AS quarter, weekofyear(date) AS week_of_year, monthname(date) AS month_name, dayofweek(date) IN (0, 6) AS is_weekend FROM (SELECT CAST(unnest(generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 DAY)) AS DATE) AS date)",
+        {"time_key": "number", "date": "text", "quarter": "number", "week_of_year": "number", "is_weekend": "truth"},
+    ),
+    "dim_company": ("SELECT issuer_cik AS cik, arg_max(ticker, (filing_date, trade_id)) AS ticker, any_value(company_key) AS company_key FROM fact GROUP BY 1", {"cik": "text", "ticker": "text", "company_key": "number"}),
+    "dim_insider": (
+        f"""SELECT f.*, s.* EXCLUDE (k) FROM (SELECT insider_key, any_value(insider_cik) AS cik, any_value(insider_name) AS name, coalesce(min(transaction_date) FILTER (trade_id % 2 = 0), min(transaction_date)) AS first_seen FROM fact GROUP BY 1) f LEFT JOIN (SELECT insider_key AS k, count(*) AS total_trades, count(*) FILTER ({BUY}) AS total_buys,
+        {total(SELL, 'total_value')} AS value_sold, CAST(max(transaction_date) AS VARCHAR) AS last_date FROM loaded GROUP BY 1) s ON k = insider_key""",
+        {"insider_key": "number", "cik": "text", "name": "text", "first_seen": "text", "total_trades": "number", "total_buys": "number", "value_sold": "number", "last_date": "text"},
+    ),
+    "fact_trades": (
+        "SELECT trade_id, accession_number, company_key, insider_key, time_key, transaction_type_key, transaction_date, filing_date, shares AS shares_traded, total_value, has_10b5_1_plan, is_amendment, footnote_text FROM loaded JOIN (SELECT row_id AS rid, is_amendment, footnote_text FROM trades) ON rid = trade_id",
+        {"trade_id": "number", "accession_number": "text", "company_key": "number", "insider_key": "number", "time_key": "number", "transaction_type_key": "number", "transaction_date": "text", "filing_date": "text", "shares_traded": "number",
+         "total_value": "number", "has_10b5_1_plan": "truth", "is_amendment": "truth", "footnote_text": "text"},
+    ),
+    "company_activity": (
+        f"""SELECT c.company_key, ticker, coalesce(total_trades, 0) AS total_trades, coalesce(unique_insiders, 0) AS unique_insiders, coalesce(value_bought, 0) AS value_bought FROM (SELECT company_key, arg_max(ticker, (filing_date, trade_id)) AS ticker FROM fact GROUP BY 1) c
+        LEFT JOIN (SELECT company_key AS k, count(*) AS total_trades, count(DISTINCT insider_key) AS unique_insiders, {total(BUY, 'total_value')} AS value_bought FROM loaded GROUP BY 1) ON k = company_key""",
+        {"company_key": "number", "ticker": "text", "total_trades": "number", "unique_insiders": "number", "value_bought": "number"},
+    ),
+    "daily_summary": (
+        f"""SELECT company_key, transaction_date AS date, count(*) FILTER ({BUY}) AS total_insider_buys, {total(SELL, 'shares')} AS total_shares_sold, {total(BUY, 'total_value')} AS total_value_bought, count(DISTINCT insider_key) AS num_unique_insiders_trading FROM loaded GROUP BY 1, 2""",
+        {"company_key": "number", "date": "text", "total_insider_buys": "number", "total_shares_sold": "number", "total_value_bought": "number", "num_unique_insiders_trading": "number"},
+    ),
+}
+MEASURES = {
+    "number": ("sum(CAST({} AS DECIMAL(38,4)))", lambda c: F.sum(F.col(c).cast("decimal(38,4)"))),
+    "text": ("sum(CAST('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8) AS BIGINT))", lambda c: F.sum(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("long"))),
+    "truth": ("count(*) FILTER ({})", lambda c: F.count_if(F.col(c))),
+}
+
+
+def contents_sql() -> str:
+    """A row for each column of each table: its values that are there, and the sum of them or of their hashes."""
+    ctes = ", ".join(f"{n}_t AS ({body})" for n, (body, _) in WAREHOUSE.items())
+    rows = [f"SELECT '{n}' AS name, '{c}' AS col, count({c}) AS present, CAST({MEASURES[kind][0].format(c)} AS DOUBLE) AS total FROM {n}_t" for n, (_, cols) in WAREHOUSE.items() for c, kind in cols.items()]
+    return f"{LOADED}, {ctes} {' UNION ALL '.join(rows)}"
+
+
+@book.add(contents_sql())
 def c06_warehouse_load(tables):
-    """All tables of the warehouse, written, written again and read."""
+    """All tables of the warehouse by content, after two disjoint loads and one that repeats rows of both.
+
+    An insider's first date is that of the load that brought the insider.
+    """
     folder = scratch(tables.spark, "warehouse")
-    for _ in range(2):
-        warehouse.load_warehouse(tables.trades, folder, *CALENDAR, years=(1996, 2000))
-    names = ("company_activity", "fact_trades", "dim_insider", "dim_company", "daily_summary", "dim_transaction_type")
-    counts = [tables.spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
-    return reduce(DataFrame.unionByName, counts)
+    for part in loads(tables.trades, "row_id"):
+        warehouse.load_warehouse(part, folder, *CALENDAR, years=LOADED_YEARS)
+    found = []
+    for name, (_, columns) in WAREHOUSE.items():
+        cells = [F.struct(F.lit(c).alias("col"), F.count(c).alias("present"), MEASURES[kind][1](c).cast("double").alias("total")) for c, kind in columns.items()]
+        found.append(tables.spark.read.parquet(f"{folder}/{name}").agg(F.array(*cells).alias("cells")).select(F.lit(name).alias("name"), F.explode("cells").alias("c")).select("name", "c.*"))
+    return reduce(DataFrame.unionByName, found)

@@ -1,11 +1,11 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables that are replaced as a whole."""
 
 from __future__ import annotations
 
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,36 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not folder:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None; a swap that was cut off is undone first."""
+    files, at = _files(spark, path)
+    if not files.exists(at(path)) and files.exists(at(f"{path}.old")):
+        files.rename(at(f"{path}.old"), at(path))
+    return spark.read.parquet(path) if files.exists(at(path)) else None
+
+
+def swap(df: DataFrame, path: str, partition_by=()) -> None:
+    """Replace the table at ``path`` by ``df``, which may be made from it: written beside it, then renamed.
+
+    Readers see the old rows or the new ones.  Where renaming is cut off, the
+    old table stays as ``path``.old, and :func:`stored` brings it back.
+    """
+    files, at = _files(df.sparkSession, path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.new")
+    files.delete(at(f"{path}.old"), True)
+    if files.exists(at(path)):
+        files.rename(at(path), at(f"{path}.old"))
+    files.rename(at(f"{path}.new"), at(path))
+    files.delete(at(f"{path}.old"), True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at(path), True)

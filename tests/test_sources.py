@@ -7,7 +7,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import trade as t
-from ledgerlark.operators import evaluate, labels, models, profile
+from ledgerlark.operators import evaluate, labels, models, profile, warehouse
 from ledgerlark.sources import filings, market
 
 
@@ -87,3 +87,40 @@ def test_gate_blocks_negative_prices_and_future_trades(spark):
     with pytest.raises(profile.QualityError):
         profile.preflight(df.filter("ticker = 'B'"), dt.date(2020, 1, 1))
     assert profile.preflight(df.filter("ticker = 'B'"), dt.date(2021, 1, 1)).count() == 1
+
+
+def fact_rows(spark, rows):
+    import datetime as dt
+
+    made = [(k, f"A{a}", 1, i, 20200101, 80, dt.date(y, 3, 1), dt.date(y, 3, 2), float(s), p, 1.0, 0.0, False, False) for k, a, i, y, s, p in rows]
+    schema = "trade_id long, accession_number string, company_key long, insider_key long, time_key int, transaction_type_key int, transaction_date date, filing_date date, shares_traded double, price_per_share double, total_value double, shares_owned_after double, has_10b5_1_plan boolean, is_derivative boolean"
+    return spark.createDataFrame(made, schema)
+
+
+def test_facts_are_inserted_once(spark, tmp_path):
+    """Loads of one year keep each other's rows; known keys are ignored, keys with a null are not; other years are untouched."""
+    path = str(tmp_path / "facts")
+    ids = lambda: sorted(r.trade_id for r in spark.read.parquet(path).collect())
+    assert warehouse.merge_facts(fact_rows(spark, [(1, 1, 1, 2020, 5, 1.0), (2, 2, 1, 2021, 5, 1.0), (3, 3, 1, 2030, 5, 1.0)]), path).count() == 2
+    assert warehouse.merge_facts(fact_rows(spark, [(4, 4, 1, 2020, 5, 1.0), (5, 1, 1, 2020, 5, 1.0), (6, 6, 1, 2020, 5, 1.0), (7, 6, 1, 2020, 5, 1.0)]), path).count() == 2
+    assert ids() == [1, 2, 4, 6]
+    for _ in range(2):
+        warehouse.merge_facts(fact_rows(spark, [(8, 1, 1, 2020, 5, None), (1, 1, 1, 2020, 5, 1.0)]), path)
+    assert ids() == [1, 2, 4, 6, 8, 8]
+    assert warehouse.merge_facts(fact_rows(spark, []), path).count() == 0
+    warehouse.compact_facts(spark, path, parts=2)
+    assert ids() == [1, 2, 4, 6, 8, 8]
+
+
+def test_swap_is_undone_where_it_was_cut_off(spark, tmp_path):
+    import os
+
+    from ledgerlark.sources import shared
+
+    path = str(tmp_path / "t")
+    assert shared.stored(spark, path) is None
+    for n in (3, 5):
+        shared.swap(spark.range(n) if n == 3 else shared.stored(spark, path).unionByName(spark.range(2)), path)
+        assert shared.stored(spark, path).count() == n
+    os.rename(path, f"{path}.old")
+    assert shared.stored(spark, path).count() == 5
