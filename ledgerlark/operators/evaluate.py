@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.trade import OPEN_MARKET, col_or, normal_code
+from ledgerlark.operators import quantiles
 
 # Weights of the fuzzy memberships, and sectors by ticker of two analyses where they differ.
 FUZZY_WEIGHTS = {"near_earnings": 0.30, "position_size": 0.25, "no_plan": 0.25, "coordination": 0.10, "filing_lag": 0.10}
@@ -60,7 +62,8 @@ def baskets(df: DataFrame, median: DataFrame) -> DataFrame:
 
 def median_of(df: DataFrame, column: str) -> DataFrame:
     """One row."""
-    return df.agg(F.percentile(F.col(column).cast("double"), 0.5).alias("median"))
+    found = quantiles.selected(df, {column: F.col(column)}, [0.5])[column][0]
+    return df.sparkSession.range(1).select(F.lit(found).cast("double").alias("median"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -85,9 +88,9 @@ def _steps(df: DataFrame, score: str, label: str, by) -> DataFrame:
     over the totals of the few ranges.
     """
     per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    cuts = per.agg(F.percentile_approx(F.col("threshold").cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"] or []
-    above = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    per = per.withColumn("_range", F.size(F.filter(above, lambda c: c >= F.col("threshold"))))
+    # The counts are exchanged once: the plan reads them again for the cuts, which are one row.
+    cuts = per.agg(F.array_distinct(F.percentile_approx(F.col("threshold").cast("double"), [i / RANGES for i in range(1, RANGES)])).alias("_cuts"))
+    per = per.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c >= F.col("threshold"))), F.lit(0))).drop("_cuts")
     totals = per.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     group = by or [F.lit(0)]  # without groups, at most RANGES rows
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,14 +119,23 @@ def average_precision(df: DataFrame, score: str = "prob", label: str = "final_la
 
 
 def threshold_sweep(df: DataFrame, thresholds, score: str = "prob", label: str = "final_label") -> DataFrame:
-    """Metrics at each threshold in one pass; the best is first by F1, then the lowest threshold."""
-    grid = df.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    narrow = df.select(F.col(score).alias("_s"), F.col(label).alias("_y"))
-    # As many rows as thresholds; rows are counted by score first.
-    per = narrow.groupBy("_s", "_y").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(grid))
-    y, p, n = F.col("_y") == 1, F.coalesce(F.col("_s") >= F.col("threshold"), F.lit(False)), F.col("_n")
-    k = lambda c: F.sum(F.when(c, n).otherwise(0))
-    s = per.groupBy("threshold").agg(k(y & p).alias("tp"), k(~y & p).alias("fp"), k(y & ~p).alias("fn"))
+    """Metrics at each threshold in one pass; the best is first by F1, then the lowest threshold.
+
+    Each row falls between two thresholds, found by binary search, and what a
+    threshold flags is the sum over the ranges above it, so the work for a row
+    hardly grows with the number of thresholds.  A row without score is not flagged.
+    """
+    cuts = sorted({float(t) for t in thresholds})
+    narrow = df.select(F.col(score).cast("double").alias("_s"), (F.coalesce(F.col(label) == 1, F.lit(False))).alias("_y"))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_s", outputCol="_above", handleInvalid="keep").transform(narrow.filter("_s is not null"))
+    known = placed.groupBy(F.col("_above").cast("int").alias("_above")).agg(F.count_if("_y").alias("p"), F.count_if(~F.col("_y")).alias("n"))
+    lost = narrow.agg(F.count_if("_y").alias("positives"))
+    # As many rows as thresholds from here on.
+    grid = df.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(cuts)], "_above int, threshold double")
+    down = Window.orderBy(F.desc("_above")).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = grid.join(known, "_above", "full").na.fill(0, ["p", "n"])
+    s = ranged.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).filter("threshold is not null").crossJoin(F.broadcast(lost))  # one row
+    s = s.select("threshold", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"))
     f1 = _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return s.withColumn("f1", F.round(f1, 6)).orderBy(F.desc("f1"), "threshold")
 
@@ -211,8 +223,7 @@ def histogram(df: DataFrame, value: str, by, low: float, high: float, bins: int)
 
 def five_numbers(df: DataFrame, value: str, by) -> DataFrame:
     """Minimum, quartiles and maximum of each group."""
-    q = F.percentile(F.col(value).cast("double"), [0.0, 0.25, 0.5, 0.75, 1.0])
-    return df.groupBy(*by).agg(q.alias("q")).select(*by, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "q25", "median", "q75", "high"))])
+    return quantiles.by_group(df, value, by, [0.0, 0.25, 0.5, 0.75, 1.0]).select(*by, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "q25", "median", "q75", "high"))])
 
 
 def insider_profiles(df: DataFrame, features, label: str = "final_label") -> DataFrame:

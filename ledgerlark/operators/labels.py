@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,14 +140,19 @@ def calibration_grid(spark, labeled: DataFrame, thresholds, source_counts) -> Da
     A trade is informed when enough of its three signals agree, the price
     signal being taken at the threshold.
     """
-    grid = spark.createDataFrame([(float(a), int(b)) for a in thresholds for b in source_counts], "abnormal_threshold double, confidence_sources_required int")
-    price = F.coalesce(F.col("signed_abnormal_return") >= F.col("abnormal_threshold"), F.lit(False)).cast("int")
-    sources = price + F.coalesce("earnings_proximity_flag", F.lit(0)) + F.coalesce("enforcement_followup_flag", F.lit(0))
-    narrow = labeled.select("signed_abnormal_return", "forward_return", "earnings_proximity_flag", "enforcement_followup_flag")
+    cuts = sorted({float(x) for x in thresholds})
+    grid = spark.createDataFrame([(k + 1, a, int(b)) for k, a in enumerate(cuts) for b in source_counts], "_at int, abnormal_threshold double, confidence_sources_required int")
+    others = (F.coalesce("earnings_proximity_flag", F.lit(0)) + F.coalesce("enforcement_followup_flag", F.lit(0))).alias("_others")
+    narrow = labeled.select(F.col("signed_abnormal_return").cast("double").alias("_r"), "forward_return", others)
+    per = lambda rows: rows.groupBy("_above", "_others").agg(F.count("*").alias("n"), F.count("forward_return").alias("c"))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_r", outputCol="_above", handleInvalid="keep").transform(narrow.filter("_r is not null"))
+    # Rows are counted between thresholds first; what is left has a few rows for each threshold.
+    counts = per(placed).unionByName(per(narrow.filter("_r is null").withColumn("_above", F.lit(0.0))))
+    informed = F.col("_others") + (F.col("_above") >= F.col("_at")).cast("int") >= F.col("confidence_sources_required")
     return (
-        narrow.crossJoin(F.broadcast(grid))  # as many rows as the parameters ask for
+        counts.crossJoin(F.broadcast(grid))
         .groupBy("abnormal_threshold", "confidence_sources_required")
-        .agg(F.count("*").alias("rows"), F.count_if(sources >= F.col("confidence_sources_required")).alias("informed_rows"), F.count("forward_return").alias("covered"))
+        .agg(F.sum("n").alias("rows"), F.sum(F.when(informed, F.col("n")).otherwise(0)).alias("informed_rows"), F.sum("c").alias("covered"))
         .select("abnormal_threshold", "confidence_sources_required", "rows", "informed_rows",
                 F.round(100 * F.col("informed_rows") / F.col("rows"), 4).alias("informed_pct"), F.round(100 * F.col("covered") / F.col("rows"), 4).alias("coverage_pct"))
     )
