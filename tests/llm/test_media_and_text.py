@@ -212,6 +212,22 @@ def test_parts_of_an_article_stay():
     assert alone('<div class="page-header">no</div><div class="entry-content"><p>text</p></div><div class="sidebar">no</div>') == "text"
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<form id="aspnetForm"><article><p>real text', "real text"), ('<div class="layout has-sidebar"><article><p>real', "real"), ('<div class="page no-sidebar"><main><p>real', "real"),
+    ('<div class="content-with-sidebar"><p>real', "real"), ('<div class="search-page"><article><p>real', "real"), ('<div class="legal-news"><article><p>real', "real"), ('<div class="legal-news"><p>real', "real"),
+    ('<aside><article><p>no</article></aside><p>real', "real"), ('<section id="comments"><article class="comment"><p>no</article></section><p>real', "real"),
+    ('<article><p>a</p><div class="share-price"><p>Price rose</div><section class="related-work"><p>Others', "a\n\nPrice rose\n\nOthers"),
+    ('<article><p>a</p><ol class="commentlist"><li>no</ol><div class="commentForm">no</div><div class="admin">b', "a\n\nb"),
+    ('<div class="social-share-buttons">no</div><div class="ad-300x250">no</div><div id="cookieNotice">no</div><p>real', "real"),
+    ('<main><h1>T</h1><article><p>a</article><section><h2>More stories</h2><ul><li><a href=x>one story</a><li><a href=y>two</a></ul></section></main>', "T\n\na"),
+    ('<main><article><p>a</article><h2>Sources</h2><p>See the <a href=x>report</a> of the board for all the figures.</main>', "a\n\nSources\n\nSee the report of the board for all the figures."),
+    ('<div class="sidebar"><p>few words', ""), ('<div class="sidebar"><p>' + "word " * 50, ("word " * 50).strip()), ("<nav>" + "word " * 50, ""),
+])
+def test_wrappers_and_compounds(page, want):
+    """An article comes back inside a wrapper that looks like furniture, class words count as whole words, and a page with text isn't emptied."""
+    assert alone(page) == want
+
+
 def read_pages(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {r.page_id: r.text for r in html_extract.extract(df).collect()}
@@ -275,11 +291,32 @@ def test_copies_of_a_page_keep_their_content(spark):
     assert all(got[k] == own_words(1) for k in range(30)) and all(got[30 + k] == own_words(k) for k in range(25))
 
 
+def test_repeated_rows_are_one_page(spark):
+    """A paragraph that a page of 22 rows and one other page share stays: it stands on two pages."""
+    page = lambda k: f"<article><p>{SHARED}</p><p>{own_words(k)}</p></article>"
+    rows = [(k, "http://h.com/1", page(1)) for k in range(22)] + [(22, "http://h.com/2", page(2))]
+    assert read_pages(spark, rows) == {k: f"{SHARED}\n\n{own_words(2 if k == 22 else 1)}" for k in range(23)}
+
+
+@pytest.mark.parametrize("n", [3, 4, 19, 20, 30])
+def test_site_blocks_inside_articles_whatever_the_size_of_the_host(spark, n):
+    rows = [(k, f"http://h.com/{k}", f"<article><p>{own_words(k)}</p><p>{SHARED}</p></article>") for k in range(n)]
+    rows += [(n + k, f"http://mirror.com/{k}", f"<article><p>{own_words(99)}</p><p>printed {k}</p></article>") for k in range(n)]  # one article on all pages
+    got = read_pages(spark, rows)
+    assert got == {k: own_words(k) for k in range(n)} | {n + k: f"{own_words(99)}\n\nprinted {k}" for k in range(n)}
+
+
+def test_teasers_beside_an_article_that_pages_share_go(spark):
+    teaser = "how the quiet harbour town became a place that everyone wants to see"
+    rows = [(k, f"http://h.com/{k}", f"<main><article><p>{own_words(k)}</p></article><h2>More</h2><p>{teaser}</p><p>{own_words(50 + k)}</p></main>") for k in range(3)]
+    assert read_pages(spark, rows) == {k: f"{own_words(k)}\n\n{own_words(50 + k)}" for k in range(3)}
+
+
 def test_extract_rows(spark):
-    rows = [(1, "http://h.com/1", PAGE), (1, "http://h.com/1", PAGE), (2, None, None), (3, "http://www.h.com/2", ""), (None, "x", "<article>y</article>")]
+    rows = [(1, "http://h.com/1", PAGE), (1, "http://h.com/1", PAGE), (2, None, None), (3, "http://www.h.com/2", ""), (None, "x", "<article>y</article>"), (None, "x", "<article>y</article>")]
     df = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id or 0, r.n_chars, len(r.text)) for r in html_extract.extract(df).collect()))
-    assert [g[0] for g in got] == [0, 1, 1, 2, 3] and all(a == b for _, a, b in got) and got[0][1] == 1 and got[3][1] == got[4][1] == 0
+    assert [g[0] for g in got] == [0, 0, 1, 1, 2, 3] and all(a == b for _, a, b in got) and got[0][1] == 1 and got[4][1] == got[5][1] == 0
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
