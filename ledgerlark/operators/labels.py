@@ -40,19 +40,34 @@ def focus(trades: DataFrame, path: str) -> DataFrame:
 
 def add_price_labels(trades: DataFrame, prices: DataFrame, benchmark: DataFrame, horizon: int = HORIZON, threshold: float = THRESHOLD) -> DataFrame:
     """Returns to the horizon, less the benchmark's, and the signal."""
-    priced = asof.close_on_trade(trades, prices, horizon).withColumn("_target", F.date_add("transaction_date", horizon))
-    priced = asof.as_of(priced, "transaction_date", benchmark, None, "date", "close", "_b0")
-    priced = asof.as_of(priced, "_target", benchmark, None, "date", "close", "_b1", forward=True)
+    return _price_labels(_near_trades(trades, asof.price_series(trades, prices, horizon), benchmark, horizon), horizon, threshold)
+
+
+def _near_trades(trades: DataFrame, series: list[asof.Series], benchmark: DataFrame, horizon: int) -> DataFrame:
+    """``trades`` with the series and the benchmark on the day (_b0) and at the horizon (_b1), all looked up by ticker and day and joined once."""
+    found = asof.as_of_all(trades, "ticker", "transaction_date", series)
+    found = asof.as_of(found, "transaction_date", benchmark, None, "date", "close", "_b0")
+    found = asof.as_of(found.withColumn("_target", F.date_add("transaction_date", horizon)), "_target", benchmark, None, "date", "close", "_b1", forward=True)
+    names = [*(s.name for s in series), "_b0", "_b1"]
+    # A day of the benchmark is known without a ticker.
+    loose = trades.filter("ticker is null").select("transaction_date").distinct()
+    loose = asof.as_of(loose, "transaction_date", benchmark, None, "date", "close", "_b0").withColumn("_target", F.date_add("transaction_date", horizon))
+    loose = asof.as_of(loose, "_target", benchmark, None, "date", "close", "_b1", forward=True).withColumn("ticker", F.lit(None).cast("string"))
+    found = found.unionByName(loose, allowMissingColumns=True).select(F.col("ticker").alias("_t"), F.col("transaction_date").alias("_on"), *names)
+    same = F.col("ticker").eqNullSafe(F.col("_t")) & (F.col("transaction_date") == F.col("_on"))
+    return trades.join(found, same, "left").select(*trades.columns, *names)
+
+
+def _price_labels(priced: DataFrame, horizon: int, threshold: float) -> DataFrame:
     back = lambda a, b: F.try_divide(F.col(b) - F.col(a), F.col(a))
-    sign = t.direction(t.normal_code(F.col("transaction_code")), t.LABEL_BUY, t.LABEL_SELL)
-    sign = F.col("trade_direction") if "trade_direction" in trades.columns else sign
+    sign = F.col("trade_direction") if "trade_direction" in priced.columns else t.direction(t.normal_code(F.col("transaction_code")), t.LABEL_BUY, t.LABEL_SELL)
     return (
         priced.withColumn("trade_direction", sign)
         .withColumns({"forward_return": back("txn_close", "future_close"), "benchmark_return": back("_b0", "_b1")})
         .withColumn("abnormal_return", F.col("forward_return") - F.col("benchmark_return"))
         .withColumn("signed_abnormal_return", F.col("abnormal_return") * F.col("trade_direction"))
         .withColumns({"price_signal": F.coalesce(F.col("signed_abnormal_return") >= threshold, F.lit(False)).cast("int"), "label_horizon_days": F.lit(horizon)})
-        .drop("_b0", "_b1", "_target")
+        .drop("_b0", "_b1")
     )
 
 
@@ -62,28 +77,40 @@ def plan_flag(df: DataFrame) -> Column:
     return (F.greatest(*flags, F.lit(False)) if flags else F.lit(False)).cast("int")
 
 
+def _calendar(trades: DataFrame) -> DataFrame:
+    return trades.withColumns({"_who": F.coalesce("insider_cik", F.lit("nan")), "_month": F.month("transaction_date"), "_year": F.year("transaction_date")})
+
+
+def routine_months(trades: DataFrame) -> DataFrame:
+    """(_who, _month, _year) in which an insider traded who had in this month of both years before."""
+    years = _calendar(trades).filter("transaction_date is not null").select("_who", "_month", "_year").distinct()
+    w = Window.partitionBy("_who", "_month").orderBy("_year")
+    known = years.withColumn("is_routine", (F.lag("_year", 1).over(w) == F.col("_year") - 1) & (F.lag("_year", 2).over(w) == F.col("_year") - 2))
+    return known.filter("is_routine")
+
+
 def routine_trades(trades: DataFrame) -> DataFrame:
     """``trades`` (P and S) with ``is_routine``: the insider traded in this month of both years before.
 
     A missing insider is one insider named 'nan'.
     """
-    key = trades.withColumns({"_who": F.coalesce("insider_cik", F.lit("nan")), "_month": F.month("transaction_date"), "_year": F.year("transaction_date")})
-    years = key.filter("transaction_date is not null").select("_who", "_month", "_year").distinct()
-    w = Window.partitionBy("_who", "_month").orderBy("_year")
-    known = years.withColumn("is_routine", (F.lag("_year", 1).over(w) == F.col("_year") - 1) & (F.lag("_year", 2).over(w) == F.col("_year") - 2))
-    routine = known.filter("is_routine")
-    return key.join(routine, ["_who", "_month", "_year"], "left").withColumn("is_routine", F.coalesce("is_routine", F.lit(False))).drop("_who", "_month", "_year")
+    joined = _calendar(trades).join(routine_months(trades), ["_who", "_month", "_year"], "left")
+    return joined.withColumn("is_routine", F.coalesce("is_routine", F.lit(False))).drop("_who", "_month", "_year")
+
 
+def combine_signals(trades: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Source count, calendar label of open-market trades, plan override, final label and its names.
 
-def combine_signals(trades: DataFrame) -> DataFrame:
-    """Source count, calendar label of open-market trades, plan override, final label and its names."""
+    ``base`` has the same trades where ``trades`` are costly to compute; the calendar is read from it.
+    """
     for c in ("price_signal", "earnings_proximity_flag", "enforcement_followup_flag"):
         if c not in trades.columns:
             trades = trades.withColumn(c, F.lit(0))
     code = t.normal_code(F.col("transaction_code"))
     om = F.coalesce(code.isin(*t.OPEN_MARKET), F.lit(False))
-    rows = trades.withColumn("_om", om)
-    marked = routine_trades(rows.filter("_om")).unionByName(rows.filter("not _om").withColumn("is_routine", F.lit(False)))
+    months = routine_months((base or trades).filter(om))
+    joined = _calendar(trades.withColumn("_om", om)).join(months, ["_who", "_month", "_year"], "left").drop("_who", "_month", "_year")
+    marked = joined.withColumn("is_routine", F.col("_om") & F.coalesce("is_routine", F.lit(False)))
     override = F.when(F.col("_om"), plan_flag(trades)).otherwise(0)
     none = ~F.col("_om") | F.coalesce(code.isin(*EXCLUDED), F.lit(False))
     final = F.col("final_label")
@@ -105,10 +132,11 @@ def combine_signals(trades: DataFrame) -> DataFrame:
 
 def build_labels(trades: DataFrame, prices: DataFrame, benchmark: DataFrame, earnings: DataFrame, enforcement: DataFrame, horizon: int = HORIZON,
                  threshold: float = THRESHOLD, proximity: int = PROXIMITY, lookahead: int = LOOKAHEAD) -> DataFrame:
-    """C3."""
-    priced = add_price_labels(trades, prices, benchmark, horizon, threshold)
-    near = asof.nearest_event(priced, earnings, "announcement_date", proximity, "earnings_proximity_flag")
-    return combine_signals(asof.event_ahead(near, enforcement, "action_date", lookahead, "enforcement_followup_flag"))
+    """Prices, earnings and enforcement actions of a ticker are looked up together, and joined to the trades once."""
+    events = [*asof.event_series(earnings, "announcement_date", "_before", "_after"), *asof.event_series(enforcement, "action_date", None, "_ahead")]
+    near = _near_trades(trades, [*asof.price_series(trades, prices, horizon), *events], benchmark, horizon)
+    flags = {"earnings_proximity_flag": asof.is_near("_before", "_after", proximity), "enforcement_followup_flag": asof.is_ahead("_ahead", lookahead)}
+    return combine_signals(_price_labels(near.withColumns(flags).drop("_before", "_after", "_ahead"), horizon, threshold), trades)
 
 
 def label_summary(labeled: DataFrame) -> DataFrame:

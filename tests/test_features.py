@@ -124,3 +124,48 @@ def test_long_aliases_are_matched(spark):
     assert [(r.item_id, r.ticker) for r in market.match_tickers(items, aliases, tickers).collect()] == [(1, "VLN")]
     with pytest.raises(ValueError):
         market.match_tickers(items, aliases, tickers, most_words=5)
+
+
+def test_series_are_looked_up_together(spark):
+    """Several series, dates and directions in one pass, over years, with keys and days that have nothing, against a plain loop."""
+    import datetime as dt
+    import random
+
+    from ledgerlark.operators import asof
+
+    rng = random.Random(2)
+    day = lambda: dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(2500))
+    keys = ["a", "b", "c", None]
+    marks = {name: [(rng.choice(keys), day() if rng.random() > 0.05 else None, float(k) if rng.random() > 0.1 else None) for k in range(25)] for name in ("p", "q")}
+    marks = {n: list({(m[0], m[1]): m for m in rows}.values()) for n, rows in marks.items()}
+    asked = [(k, rng.choice([*keys, "d"]), day() if rng.random() > 0.05 else None) for k in range(120)] + [(0, "a", dt.date(2016, 1, 1))] * 3
+    left = spark.createDataFrame(asked, "row_id long, key string, on date")
+    df = {n: spark.createDataFrame(rows, "key string, day date, v double") for n, rows in marks.items()}
+    series = [asof.Series(f"{n}{'f' if f else 'b'}{a}", df[n], "day", "v", f, a) for n in df for f in (False, True) for a in (0, 40)]
+    got = sorted(map(tuple, asof.with_series(left, "key", "on", series).collect()), key=str)
+
+    def answer(n, f, a, key, on):
+        if key is None or on is None:
+            return None
+        at = on + dt.timedelta(days=a)
+        known = [(d, v) for k, d, v in marks[n] if k == key and d is not None and v is not None and (d >= at if f else d <= at)]
+        return (min if f else max)(known, default=(None, None), key=lambda x: x[0])[1]
+
+    assert got == sorted(((*r, *(answer(n, f, a, *r[1:]) for n in df for f in (False, True) for a in (0, 40))) for r in asked), key=str)
+
+
+def test_days_are_filled_between_prices(spark):
+    import datetime as dt
+
+    from ledgerlark.operators import asof
+
+    d = lambda k: dt.date(2019, 12, 1) + dt.timedelta(days=k)
+    prices = {"a": {0: None, 3: 1.0, 40: 2.0, 45: None, 800: 3.0, 803: None}, "b": {7: 5.0}, "c": {1: None, 4: None}}
+    rows = [(t, d(k), v) for t, own in prices.items() for k, v in own.items()]
+    got = {(r.ticker, r.date): (r.ffill, r.bfill) for r in asof.daily_fill(spark.createDataFrame(rows, "ticker string, date date, close double")).collect()}
+    want = {}
+    for t, own in prices.items():
+        known = sorted((k, v) for k, v in own.items() if v is not None)
+        for k in range(min(own), max(own) + 1):
+            want[t, d(k)] = (next((v for j, v in reversed(known) if j <= k), None), next((v for j, v in known if j >= k), None))
+    assert got == want
