@@ -1,7 +1,9 @@
 """Features from an insider's own history and from trades near in time.
 
-All windows of an insider share one shuffle on the insider; trades near in a
-ticker are added up by day.
+What lies around a day is added up by day first: an insider has as many rows
+then as days with trades.  What depends on the order of single trades runs in
+stretches of a year of an insider; a small table carries the sums, the last
+trade and the open streak of the stretches before.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 
 TRAILING_DAYS = (7, 30, 90)
 NEAR_DAYS = 3
+#: Days of a stretch; rows without a date are the first one.
+STRETCH, UNDATED = 365, -1_000_000
 CLUSTER_FROM = 2
 
 
@@ -25,47 +29,127 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 
 
+def trailing_by_day(known: DataFrame, days=TRAILING_DAYS) -> DataFrame:
+    """(insider_cik, _day, trailing features) for trades with ``_day``: differences of sums over all days before, which grow by a day at a time."""
+    sums = {"n": F.count("*"), "buys": F.sum(flag(F.col("trade_direction") == 1)), "sells": F.sum(flag(F.col("trade_direction") == -1)), "net": F.sum("signed_value")}
+    daily = known.groupBy("insider_cik", "_day").agg(*[x.alias(f"_{c}") for c, x in sums.items()])
+    by = Window.partitionBy("insider_cik").orderBy("_day")
+    upto = lambda c, d: F.sum(f"_{c}").over(by.rangeBetween(Window.unboundedPreceding, -d))
+    zero = {c: F.lit(0).cast(kind) for c, kind in daily.dtypes}
+    within = lambda c, d: F.coalesce(upto(c, 1), zero[f"_{c}"]) - F.coalesce(upto(c, d + 1), zero[f"_{c}"])
+    cols = {}
+    for d in days:
+        cols |= {f"trades_{d}d": 2 * within("n", d), f"buy_count_{d}d": within("buys", d), f"sell_count_{d}d": within("sells", d), f"net_value_{d}d": within("net", d)}
+    return daily.select("insider_cik", "_day", *[x.alias(c) for c, x in cols.items()])
+
+
+def _with_day(trades: DataFrame) -> DataFrame:
+    return trades.withColumn("_day", day(F.col("transaction_date")))
+
+
 def trailing_windows(trades: DataFrame, days=TRAILING_DAYS) -> DataFrame:
     """Counts and net value of the days before a trade, the same day left out.
 
     trades_{d}d is twice the number of earlier rows.  Rows without insider or
     date are left out.
     """
-    known = trades.filter("insider_cik is not null and transaction_date is not null")
-    by = Window.partitionBy("insider_cik").orderBy(day(F.col("transaction_date")))
-    cols = {}
-    for d in days:
-        w = by.rangeBetween(-d, -1)
-        cols |= {
-            f"trades_{d}d": 2 * F.count(F.lit(1)).over(w),
-            f"buy_count_{d}d": F.coalesce(F.sum(flag(F.col("trade_direction") == 1)).over(w), F.lit(0)),
-            f"sell_count_{d}d": F.coalesce(F.sum(flag(F.col("trade_direction") == -1)).over(w), F.lit(0)),
-            f"net_value_{d}d": F.coalesce(F.sum("signed_value").over(w), F.lit(0.0)),
-        }
-    out = known.withColumns(cols)
-    return out.withColumn("trade_frequency_90d", F.col("trades_90d") / 90) if 90 in days else out
+    known = _with_day(trades.filter("insider_cik is not null and transaction_date is not null"))
+    out = known.join(trailing_by_day(known, days), ["insider_cik", "_day"]).drop("_day").select(*trades.columns, *trailing_names(days))
+    return with_frequency(out, days)
 
 
-def in_order(by: str = "insider_cik"):
-    return Window.partitionBy(by).orderBy("transaction_date", "row_id")
+def trailing_names(days=TRAILING_DAYS) -> list[str]:
+    return [f"{c}_{d}d" for d in days for c in ("trades", "buy_count", "sell_count", "net_value")]
 
 
-def expanding_history(trades: DataFrame) -> DataFrame:
-    """What an insider had done in all rows before this one, ties in the order of row_id."""
-    past = in_order().rowsBetween(Window.unboundedPreceding, -1)
+def with_frequency(df: DataFrame, days=TRAILING_DAYS) -> DataFrame:
+    return df.withColumn("trade_frequency_90d", F.col("trades_90d") / 90) if 90 in days else df
+
+
+def _stretched(trades: DataFrame) -> DataFrame:
+    return trades.filter("insider_cik is not null").withColumn("_s", F.coalesce(F.floor(day(F.col("transaction_date")) / STRETCH), F.lit(UNDATED)))
+
+
+def in_order():
+    """Trades of an insider and stretch, ties in the order of row_id."""
+    return Window.partitionBy("insider_cik", "_s").orderBy("transaction_date", "row_id")
+
+
+def _carried(stretches: DataFrame, before: dict, whole: dict | None = None) -> DataFrame:
+    """(_who, _at, *before, *whole) of a table with a row for each insider and stretch: ``before`` from the windows it is given, ``whole`` over all stretches."""
+    all_of = Window.partitionBy("insider_cik")
+    cols = {c: f(all_of.orderBy("_s")) for c, f in before.items()} | {c: f.over(all_of) for c, f in (whole or {}).items()}
+    return stretches.select(F.col("insider_cik").alias("_who"), F.col("_s").alias("_at"), *[x.alias(c) for c, x in cols.items()])
+
+
+def _join_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    return rows.join(carried, (rows["insider_cik"] == carried["_who"]) & (rows["_s"] == carried["_at"])).drop("_who", "_at")
+
+
+def _expanding(rows: DataFrame) -> DataFrame:
+    """W2 for rows with their stretch."""
     om = F.coalesce(F.col("is_open_market"), F.lit(False))
+    positive = F.when(F.col("total_value") > 0, F.col("total_value"))
+    parts = {"_n": F.lit(1), "_value": positive, "_valued": flag(positive.isNotNull()), "_buys": flag(om & (F.col("trade_direction") == 1)), "_sells": flag(om & (F.col("trade_direction") == -1))}
+    stretches = rows.groupBy("insider_cik", "_s").agg(*[F.sum(x).alias(c) for c, x in parts.items()], F.min("transaction_date").alias("_first"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(stretches, {f"_c{c}": lambda w, c=c: F.sum(c).over(earlier(w)) for c in parts}, {"_c_first": F.min("_first")})
+    past = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    joined = _join_carried(rows.withColumns({f"_w{c}": F.sum(x).over(past) for c, x in parts.items()}), carried)
+    so_far = lambda c: F.coalesce(F.col(f"_c{c}"), F.lit(0)) + F.coalesce(F.col(f"_w{c}"), F.lit(0))
     bought, sold = F.col("insider_buy_count"), F.col("insider_sell_count")
     return (
-        trades.filter("insider_cik is not null")
-        .withColumns({
-            "insider_total_trades": F.row_number().over(in_order()) - 1,
-            "insider_avg_trade_value": F.coalesce(F.avg(F.when(F.col("total_value") > 0, F.col("total_value"))).over(past), F.lit(0.0)),
-            "insider_buy_count": F.coalesce(F.sum(flag(om & (F.col("trade_direction") == 1))).over(past), F.lit(0)),
-            "insider_sell_count": F.coalesce(F.sum(flag(om & (F.col("trade_direction") == -1))).over(past), F.lit(0)),
-            "insider_tenure_days": F.datediff("transaction_date", F.min("transaction_date").over(Window.partitionBy("insider_cik"))),
+        joined.withColumns({
+            "insider_total_trades": so_far("_n").cast("int"),
+            "insider_avg_trade_value": F.when(so_far("_valued") > 0, so_far("_value") / so_far("_valued")).otherwise(0.0),
+            "insider_buy_count": so_far("_buys"),
+            "insider_sell_count": so_far("_sells"),
+            "insider_tenure_days": F.datediff("transaction_date", "_c_first"),
         })
         .withColumn("insider_buy_sell_ratio", F.when(bought + sold > 0, bought / (bought + sold)).otherwise(0.5))
+        .drop(*[f"_{k}{c}" for k in "cw" for c in parts], "_c_first")
+    )
+
+
+def expanding_history(trades: DataFrame) -> DataFrame:
+    """What an insider had done in all rows before this one, ties in the order of row_id."""
+    return _expanding(_stretched(trades)).drop("_s")
+
+
+def _streaks(rows: DataFrame) -> DataFrame:
+    """W3 and W4 for rows with their stretch.
+
+    Runs are found inside a stretch.  Its first run goes on from the stretch
+    before if that ended in the same direction: the open run of a stretch is
+    its last one, or, where it is one run that goes on, the sum with those before.
+    """
+    w, d = in_order(), F.col("trade_direction")
+    new = F.coalesce((F.lag(d).over(w) != d) | (d == 0), F.lit(True)).cast("int")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = lambda df: df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto))
+    narrow = runs(rows.select("insider_cik", "_s", "transaction_date", "row_id", "trade_direction"))
+    lengths = narrow.groupBy("insider_cik", "_s", "_run").agg(F.count("*").alias("_length"), F.max("trade_direction").alias("_dir"), F.max("transaction_date").alias("_last"))
+    stretches = lengths.groupBy("insider_cik", "_s").agg(
+        F.min_by("_dir", "_run").alias("_first_dir"), F.max_by("_dir", "_run").alias("_last_dir"), F.max_by("_length", "_run").alias("_open"), F.max("_run").alias("_runs"), F.max("_last").alias("_last")
     )
+    all_of = Window.partitionBy("insider_cik").orderBy("_s")
+    before = F.lag("_last_dir").over(all_of)
+    stretches = stretches.withColumn("_goes_on", F.coalesce((before == F.col("_first_dir")) & (before != 0), F.lit(False)))
+    stretches = stretches.withColumn("_chain", F.sum(F.when(F.col("_goes_on") & (F.col("_runs") == 1), 0).otherwise(1)).over(all_of.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("insider_cik", "_chain").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    stretches = stretches.withColumn("_open", F.sum("_open").over(chain))
+    carried = _carried(stretches, {
+        "_c_last": lambda w: F.lag("_last").over(w), "_c_on": lambda w: F.when(F.col("_goes_on"), F.lag("_open").over(w)).otherwise(0),
+    })
+    joined = _join_carried(runs(rows), carried)
+    within = F.row_number().over(Window.partitionBy("insider_cik", "_s", "_run").orderBy("transaction_date", "row_id"))
+    streak = within + F.when(F.col("_run") == 1, F.col("_c_on")).otherwise(0)
+    first = F.row_number().over(w) == 1
+    last = F.when(first, F.col("_c_last")).otherwise(F.lag("transaction_date").over(w))
+    return joined.withColumns({
+        "days_since_last_trade": F.coalesce(F.datediff("transaction_date", last), F.lit(0)),
+        "consecutive_direction": F.when(d == 0, 1).otherwise(streak).cast("int"),
+    }).drop("_new", "_run", "_c_last", "_c_on")
 
 
 def recency_and_streak(trades: DataFrame) -> DataFrame:
@@ -73,19 +157,7 @@ def recency_and_streak(trades: DataFrame) -> DataFrame:
 
     A direction of 0 never makes a streak.
     """
-    w = in_order()
-    before = F.lag("trade_direction").over(w)
-    starts = F.coalesce((before != F.col("trade_direction")) | (F.col("trade_direction") == 0), F.lit(True)).cast("int")
-    run = Window.partitionBy("insider_cik", "_run").orderBy("transaction_date", "row_id")
-    return (
-        trades.withColumns({
-            "days_since_last_trade": F.coalesce(F.datediff("transaction_date", F.lag("transaction_date").over(w)), F.lit(0)),
-            "_start": starts,
-        })
-        .withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("consecutive_direction", F.when(F.col("trade_direction") == 0, 1).otherwise(F.row_number().over(run)))
-        .drop("_start", "_run")
-    )
+    return _streaks(_stretched(trades)).drop("_s")
 
 
 def _around(trades: DataFrame, by: list[str], days: int, names: list[str]) -> DataFrame:
@@ -95,31 +167,44 @@ def _around(trades: DataFrame, by: list[str], days: int, names: list[str]) -> Da
     return near.groupBy(*by, "_day").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def nearby_insiders(trades: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
-    """Open-market rows of other insiders in the same ticker within ``days`` either way.
+def nearby_by_day(known: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
+    """(ticker, insider_cik, _day, _any, _buys, _sells) for trades with ``_day``: open-market rows of other insiders around the day.
 
     Rows around in the ticker less rows around of the insider, both added up
-    by day, so no pairs are made and no task holds a ticker.  Rows without
-    insider or ticker are left out; rows without a date have no one near.
+    by day, so no pairs are made and no task holds a ticker.
     """
     om = F.coalesce(F.col("is_open_market"), F.lit(False))
     d = F.col("trade_direction")
-    known = trades.filter("insider_cik is not null and ticker is not null").withColumn("_day", day(F.col("transaction_date")))
     narrow = known.filter("_day is not null").select("ticker", "insider_cik", "_day", flag(om).alias("_any"), flag(om & (d == 1)).alias("_buys"), flag(om & (d == -1)).alias("_sells"))
     names = ["_any", "_buys", "_sells"]
     of_all = _around(narrow, ["ticker"], days, names)
     of_own = _around(narrow, ["ticker", "insider_cik"], days, names).withColumnsRenamed({c: f"_own{c}" for c in names})
-    joined = known.join(of_all, ["ticker", "_day"], "left").join(of_own, ["ticker", "insider_cik", "_day"], "left")
-    others = {c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"_own{c}"), F.lit(0)) for c in names}
-    counted = joined.withColumns(others).select(*trades.columns, *names)
-    same = F.when(d == 1, F.col("_buys")).when(d == -1, F.col("_sells")).otherwise(0)
-    opposite = F.when(d == 1, F.col("_sells")).when(d == -1, F.col("_buys")).otherwise(0)
-    return counted.withColumns({
-        "other_insiders_72h": F.col("_any"), "same_dir_insiders_72h": same, "opp_dir_insiders_72h": opposite,
-        "coordination_score": same / F.greatest(F.col("_any"), F.lit(1)), "cluster_flag": (same >= CLUSTER_FROM).cast("int"),
+    asked = narrow.select("ticker", "insider_cik", "_day").distinct()
+    joined = asked.join(of_all, ["ticker", "_day"], "left").join(of_own, ["ticker", "insider_cik", "_day"], "left")
+    return joined.select("ticker", "insider_cik", "_day", *[(F.coalesce(c, F.lit(0)) - F.coalesce(f"_own{c}", F.lit(0))).alias(c) for c in names])
+
+
+def with_nearby(df: DataFrame) -> DataFrame:
+    """The features that follow from _any, _buys and _sells."""
+    d, found = F.col("trade_direction"), {c: F.coalesce(c, F.lit(0)) for c in ("_any", "_buys", "_sells")}
+    same = F.when(d == 1, found["_buys"]).when(d == -1, found["_sells"]).otherwise(0)
+    opposite = F.when(d == 1, found["_sells"]).when(d == -1, found["_buys"]).otherwise(0)
+    return df.withColumns({
+        "other_insiders_72h": found["_any"], "same_dir_insiders_72h": same, "opp_dir_insiders_72h": opposite,
+        "coordination_score": same / F.greatest(found["_any"], F.lit(1)), "cluster_flag": (same >= CLUSTER_FROM).cast("int"),
     }).drop("_any", "_buys", "_sells")
 
 
+def nearby_insiders(trades: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
+    """Open-market rows of other insiders in the same ticker within ``days`` either way.
+
+    Rows without insider or ticker are left out; rows without a date have no one near.
+    """
+    known = _with_day(trades.filter("insider_cik is not null and ticker is not null"))
+    joined = known.join(nearby_by_day(known, days), ["ticker", "insider_cik", "_day"], "left")
+    return with_nearby(joined.select(*trades.columns, "_any", "_buys", "_sells"))
+
+
 def nearby_insiders_by_join(trades: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     """J6 as a range join on (ticker, bucket of days): what the window form is tested and timed against."""
     width = 2 * days + 1
@@ -140,12 +225,23 @@ def nearby_insiders_by_join(trades: DataFrame, days: int = NEAR_DAYS) -> DataFra
     return own.select("row_id").join(counts, "row_id", "left").na.fill(0)
 
 
+def with_history(base: DataFrame) -> DataFrame:
+    """All features of the past and of others around, for trades with features of their own that have an insider, a ticker and a date.
+
+    What hangs on a day is joined once, by ticker, insider and day.
+    """
+    known = _with_day(base.filter("insider_cik is not null and ticker is not null and transaction_date is not null"))
+    dated = _with_day(base.filter("insider_cik is not null and transaction_date is not null"))
+    by_day = nearby_by_day(known).join(trailing_by_day(dated), ["insider_cik", "_day"])
+    ordered = _with_day(_streaks(_expanding(_stretched(base))).drop("_s").filter("ticker is not null and transaction_date is not null"))
+    return with_frequency(with_nearby(ordered.join(by_day, ["ticker", "insider_cik", "_day"]).drop("_day")))
+
+
 def feature_matrix(trades: DataFrame) -> DataFrame:
     """All features of every trade that has an insider, a ticker and a date."""
     from ledgerlark.functions import trade as t
 
-    base = t.add_text_features(t.add_role_features(t.add_trade_features(trades)))
-    return nearby_insiders(recency_and_streak(trailing_windows(expanding_history(base))))
+    return with_history(t.add_text_features(t.add_role_features(t.add_trade_features(trades))))
 
 
 # Columns of the feature matrix.
@@ -166,6 +262,16 @@ MODEL_LEAKS = frozenset(
     "cohen_label plan_override".split()
 )
 MODEL_FEATURES = tuple(c for c in NUMERIC if c not in MODEL_LEAKS)
+# Groups of features that an ablation leaves out.
+FEATURE_GROUPS = {
+    "trade": tuple("log_shares log_total_value log_shares_owned_after total_value_is_imputed signed_value pct_position_traded value_bucket_num trade_direction".split()),
+    "temporal": (*(f"{c}_{d}d" for c in ("trades", "buy_count", "sell_count", "net_value") for d in TRAILING_DAYS), "days_since_last_trade", "consecutive_direction", "trade_frequency_90d"),
+    "insider_profile": tuple("role_seniority is_ceo is_cfo is_coo is_director_only insider_total_trades insider_avg_trade_value insider_buy_sell_ratio insider_tenure_days".split()),
+    "network": ("other_insiders_72h", "same_dir_insiders_72h", "coordination_score", "cluster_flag"),
+    "timing": ("txn_day_of_week", "txn_month", "txn_quarter", "days_to_filing"),
+    "text": ("footnote_length",),
+    "market_context": ("is_open_market", "is_derivative", "total_value_is_imputed"),
+}
 
 
 def drop_unused(df: DataFrame) -> DataFrame:

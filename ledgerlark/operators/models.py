@@ -10,10 +10,10 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml import functions as MF
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,15 +80,39 @@ def score(model, df: DataFrame, features) -> DataFrame:
     return out.withColumn("prob", MF.vector_to_array("probability")[1]).withColumn("flag", (F.col("prob") >= evaluate.FLAG_FROM).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first ``n`` iterations: boosting adds trees one by one, so a shorter fit is the start of a longer one."""
+    trees, weights = model._call_java("trees"), model.treeWeights[:n]
+    if len(weights) == model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context
+    kept = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(weights))
+    own = context._gateway.new_array(context._jvm.double, len(weights))
+    for k, w in enumerate(weights):
+        kept[k], own[k] = trees[k], float(w)
+    return GBTClassificationModel(context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", kept, own))
+
+
 def grid_search(train: DataFrame, val: DataFrame, features, grid=None):
-    """M2: (best model, table of parameters and average precision on ``val``); the first best counts."""
+    """M2: (best model, table of parameters and average precision on ``val``); the first best counts.
+
+    Settings that differ in the number of iterations alone share one fit, the longest.
+    """
     grid, train, val = grid or GRID, train.persist(), val.persist()
+    rest = lambda params: tuple(v for k, v in params.items() if k != "maxIter")
+    longest = {}
+    for params in grid:
+        if params["maxIter"] >= longest.get(rest(params), params)["maxIter"]:
+            longest[rest(params)] = params
 
     def one(params):
-        model = fit_boosted(train, val, features, **params)
-        return model, evaluate.average_precision(score(model, val, features)).first()[0]
+        whole = fit_boosted(train, val, features, **params)
+        shorter = sorted({p["maxIter"] for p in grid if rest(p) == rest(params)})
+        models = {n: first_trees(whole, n) for n in shorter}
+        return {n: (m, evaluate.average_precision(score(m, val, features)).first()[0]) for n, m in models.items()}
 
-    fits = at_once(train.sparkSession, [partial(one, params) for params in grid])
+    made = dict(zip(longest, at_once(train.sparkSession, [partial(one, params) for params in longest.values()])))
+    fits = [made[rest(params)][params["maxIter"]] for params in grid]
     best = max(fits, key=lambda x: x[1] or 0)[0]
     found = [(k, *params.values(), ap) for k, (params, (_, ap)) in enumerate(zip(grid, fits))]
     train.unpersist()

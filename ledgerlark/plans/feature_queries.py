@@ -172,7 +172,7 @@ _SIMPLE = {k: v for k, v in _ALL.items() if k in history.NUMERIC + history.CATEG
            o AS other_insiders_72h, s AS same_dir_insiders_72h, round(s / greatest(o, 1), 6) AS coordination_score, CAST(s >= 2 AS INT) AS cluster_flag FROM k JOIN j USING (row_id)""")
 def c02_feature_matrix(tables):
     base = cents(t.add_text_features(t.add_role_features(t.add_trade_features(tables.trades))))
-    out = history.nearby_insiders(history.recency_and_streak(history.trailing_windows(history.expanding_history(base))))
+    out = history.with_history(base)
     out = history.features_only(history.drop_unused(round_money(out))).withColumns({"signed_value": F.round(F.col("signed_value").cast("double"), 4), "consecutive_direction": F.col("consecutive_direction").cast("long")})
     return rounded(off_half(out), log_shares=6, log_total_value=6, log_shares_owned_after=6, pct_position_traded=6, insider_avg_trade_value=3, insider_buy_sell_ratio=6,
                    trade_frequency_90d=6, coordination_score=6, footnote_routine_score=6)

@@ -239,12 +239,12 @@ PROFILE = ("shares", "total_value", "pct_position_traded", "days_to_filing")
 
 
 def model_table(tables) -> DataFrame:
-    """Open-market trades with features and the synthetic label, one row a trade."""
-    own = t.add_role_features(t.add_trade_features(tables.trades)).join(tables.scored.select("row_id", "final_label", "prob"), "row_id").withColumn("signal", F.col("prob"))
-    return models.numeric(own.drop("prob"), MODEL_FEATURES, "row_id", "insider_cik", "transaction_date", "final_label")
+    """Open-market trades with all features that don't leak the label, and the synthetic label, one row a trade."""
+    own = history.feature_matrix(tables.trades).join(tables.scored.select("row_id", "final_label"), "row_id")
+    return models.numeric(own, MODEL_FEATURES, "row_id", "insider_cik", "transaction_date", "final_label")
 
 
-MODEL_FEATURES = ("log_shares", "log_total_value", "pct_position_traded", "days_to_filing", "txn_month", "role_seniority", "signal")
+MODEL_FEATURES = history.MODEL_FEATURES
 
 
 def splits(tables):
@@ -296,8 +296,7 @@ def m07_principal_components(tables):
 
 @book.add()
 def m10_ablation(tables):
-    groups = {"trade": ("log_shares", "log_total_value", "pct_position_traded"), "timing": ("days_to_filing", "txn_month"), "market": ("signal",), "insider": ("role_seniority",)}
-    return models.ablation(*splits(tables), groups, MODEL_FEATURES)
+    return models.ablation(*splits(tables), history.FEATURE_GROUPS, MODEL_FEATURES)
 
 
 @book.add()

@@ -169,3 +169,48 @@ def test_days_are_filled_between_prices(spark):
         for k in range(min(own), max(own) + 1):
             want[t, d(k)] = (next((v for j, v in reversed(known) if j <= k), None), next((v for j, v in known if j >= k), None))
     assert got == want
+
+
+def test_history_over_stretches(spark):
+    """Streaks, recency and expanding history over many years, with runs that go on through whole stretches, against a plain loop."""
+    import datetime as dt
+    import random
+
+    from ledgerlark.operators import history
+
+    rng = random.Random(4)
+    rows = []
+    for who in ("a", "b", "c", None):
+        direction = 1
+        for _ in range(150):
+            if rng.random() < 0.1:
+                direction = rng.choice([-1, 0, 1])
+            date = None if rng.random() < 0.03 else dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(6000) if who != "c" else rng.randrange(5) * 500)
+            rows.append([who, date, 0, rng.choice([None, -1.0, 0.0, 2.0, 8.0]), rng.choice([True, False, None])])
+    rows.sort(key=lambda r: (str(r[0]), r[1] is not None, r[1] or dt.date(1900, 1, 1)))
+    direction = 1
+    for r in rows:  # long runs in the order of dates
+        direction = rng.choice([-1, 0, 1]) if rng.random() < 0.05 else direction
+        r[2] = direction
+    made = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(made, "row_id long, insider_cik string, transaction_date date, trade_direction int, total_value double, is_open_market boolean").repartition(5)
+    got = {r.row_id: r for r in history.recency_and_streak(history.expanding_history(df)).collect()}
+    past, longest = {}, 0
+    for k, who, date, d, value, om in sorted(made, key=lambda r: (r[2] is not None, r[2] or dt.date(1900, 1, 1), r[0])):
+        if who is None:
+            assert k not in got
+            continue
+        before = past.setdefault(who, [])
+        r, values = got[k], [v for *_, v, _ in before if v is not None and v > 0]
+        streak = 1
+        if d != 0:
+            for _, _, other, _, _ in reversed(before):
+                if other != d:
+                    break
+                streak += 1
+        longest = max(longest, streak)
+        last = before[-1][1] if before else None
+        want = (len(before), sum(values) / len(values) if values else 0.0, sum(o == 1 and bool(m) for _, _, o, _, m in before), sum(o == -1 and bool(m) for _, _, o, _, m in before), streak, (date - last).days if date and last else 0)
+        assert (r.insider_total_trades, pytest.approx(r.insider_avg_trade_value), r.insider_buy_count, r.insider_sell_count, r.consecutive_direction, r.days_since_last_trade) == want, (k, who)
+        before.append((k, date, d, value, om))
+    assert longest > 30

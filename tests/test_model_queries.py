@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from ledgerlark.operators import clustering, evaluate, models
+from ledgerlark.operators import clustering, evaluate, history, models
 from ledgerlark.plans import score_queries as q
 
 
@@ -42,6 +43,37 @@ def test_grid_search(spark, data):
     assert got["maxDepth"].tolist() == [2, 3] and got["average_precision"].between(0, 1).all()
 
 
+def test_a_shorter_fit_is_the_start_of_a_longer_one(spark, data):
+    train, val, _ = (x.persist() for x in q.splits(q_tables(spark, data)))
+    features = ("log_shares", "log_total_value", "txn_month")
+    fits = {n: models.fit_boosted(train.withColumn("final_label", (F.col("txn_month") > 6).cast("int")), val.withColumn("final_label", (F.col("txn_month") > 6).cast("int")), features, maxIter=n) for n in (3, 5)}
+    start = models.first_trees(fits[5], 3)
+    assert fits[5].getNumTrees == 5 and start.getNumTrees == 3
+    probs = [[r.prob for r in models.score(m, val, features).orderBy("row_id").select("prob").collect()] for m in (start, fits[3], fits[5])]
+    assert probs[0] == pytest.approx(probs[1], abs=1e-12) and probs[0] != pytest.approx(probs[2], abs=1e-6)
+
+
+def test_paths_of_the_forest_equal_a_plain_walk(spark, data):
+    """Scores of the forest's own trees, walked row by row."""
+    train, _, test = q.splits(q_tables(spark, data))
+    forest = models.isolation_trees(train, q.MODEL_FEATURES).persist()
+    trees = {}
+    for r in forest.collect():
+        trees.setdefault(r.tree, {})[r.node] = r
+    size = max(t[0].size for t in trees.values())
+    c = lambda n: 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    some = test.orderBy("row_id").limit(40).persist()
+    got = {r.row_id: r.prob for r in models.isolation_scores(some, forest, q.MODEL_FEATURES).collect()}
+    for row in some.collect():
+        total = 0.0
+        for tree in trees.values():
+            at, depth = tree[0], 0
+            while at.feature >= 0:
+                at, depth = tree[at.left if row[q.MODEL_FEATURES[at.feature]] < at.split else at.right], depth + 1
+            total += depth + c(at.size)
+        assert got[row.row_id] == pytest.approx(2 ** (-total / len(trees) / c(size)))
+
+
 def test_isolation_forest(spark, data):
     got = run(spark, data, "m04_isolation_forest")
     assert len(got) and got["prob"].between(0, 1).all() and got["prob"].nunique() > 5
@@ -121,7 +153,13 @@ def test_principal_components(spark, data):
 
 
 def test_ablation_walk_forward_and_permutation(spark, data):
-    assert len(run(spark, data, "m10_ablation")) == 5
+    ablated = run(spark, data, "m10_ablation").set_index("without")
+    assert ablated["features"].to_dict() == {"trade": 35, "temporal": 28, "insider_profile": 34, "network": 39, "timing": 39, "text": 42, "market_context": 40, "trade_only": 8}
+    train, val, test = q.splits(q_tables(spark, data))
+    used = [c for c in q.MODEL_FEATURES if c not in history.FEATURE_GROUPS["network"]]
+    scored = models.score(models.fit_boosted(train, val, used), test, used).select("prob", "final_label").toPandas()
+    want = average_precision(scored["prob"].tolist(), scored["final_label"].tolist())
+    assert ablated.loc["network", "average_precision"] == pytest.approx(want, abs=2e-6) and ablated.loc["network", "drop"] == pytest.approx(0.69 - want, abs=2e-6)
     walked = models.walk_forward(q.model_table(q_tables(spark, data)), q.MODEL_FEATURES, (1996, 1997), least=10)
     assert walked.count() == 2
     r = models.walk_forward_summary(walked).first()
