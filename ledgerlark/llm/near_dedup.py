@@ -45,7 +45,7 @@ PIVOTS = 4
 #: Large nodes of so many trees are compared in parts before they branch.
 PART_TREES = 3
 #: A large node with so few sets outside its largest component does not branch on.
-OUTSIDE = 64
+OUTSIDE = 512
 #: Shingles of the sets of a large node in one group: of those outside its largest component, and of all.
 ASKED_SHINGLES, TOLD_SHINGLES = 1 << 18, 1 << 19
 #: Parts that a set plays in a group: it is compared with all, all are compared with it, or both.
