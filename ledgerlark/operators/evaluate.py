@@ -16,6 +16,7 @@ from ledgerlark.operators import quantiles
 # Weights of the fuzzy memberships, and sectors by ticker of two analyses where they differ.
 FUZZY_WEIGHTS = {"near_earnings": 0.30, "position_size": 0.25, "no_plan": 0.25, "coordination": 0.10, "filing_lag": 0.10}
 FLAG_FROM = 0.5
+OTHER_SECTOR = "Other"
 
 
 def model_rows(df: DataFrame, labeled: bool = True) -> DataFrame:
@@ -203,6 +204,17 @@ def with_p(tests: DataFrame) -> DataFrame:
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 
+def with_sector(df: DataFrame, sectors: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """``df`` with the sector of its ticker, from a table (ticker, sector); unknown and missing tickers are in 'Other'."""
+    known = sectors.select(F.upper(F.trim("ticker")).alias("_t"), F.col("sector")).dropDuplicates(["_t"])
+    return df.join(known, F.upper(F.trim(ticker)) == F.col("_t"), "left").drop("_t").withColumn("sector", F.coalesce("sector", F.lit(OTHER_SECTOR)))
+
+
+def mean_scores(df: DataFrame, by: str, score: str = "fuzzy_score") -> DataFrame:
+    """Rows and mean score of each code or label."""
+    return df.groupBy(by).agg(F.round(F.avg(F.col(score).cast("decimal(12,8)")).cast("double"), 5).alias("mean_score"), F.count("*").alias("n"))
+
+
 def group_rates(df: DataFrame, by: str, flag: Column, score: str = "prob", label: str = "final_label") -> DataFrame:
     """Rows, flag rate, mean score, label rate and tickers of each group."""
     return df.groupBy(by).agg(

@@ -21,9 +21,8 @@ SECTOR = "sec AS (SELECT concat('T', CAST(s_suppkey AS STRING)) AS ticker, n_nam
 
 
 def with_sector(tables) -> DataFrame:
-    """A table of sectors by ticker; unknown tickers are in 'Other'."""
     sectors = tables.supplier.join(F.broadcast(tables.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"), F.col("n_name").alias("sector"))
-    return tables.scored.join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
+    return evaluate.with_sector(tables.scored, sectors)
 
 
 FUZZY = """fz AS (SELECT row_id, transaction_code, CASE WHEN month(transaction_date) IN (1, 4, 7, 10) THEN 1.0::DOUBLE WHEN month(transaction_date) IN (2, 5, 8, 11) THEN 0.5 ELSE 0 END AS ne,
@@ -43,7 +42,12 @@ def p31_p32_fuzzy_scores(tables):
 
 @book.add(f"{FUZZY} SELECT transaction_code, round(CAST(avg(CAST(s AS DECIMAL(12,8))) AS DOUBLE), 5) AS mean_score, count(*) AS n FROM fs GROUP BY 1")
 def a22_mean_score_by_code(tables):
-    return fuzzy(tables).groupBy("transaction_code").agg(F.round(F.avg(F.col("fuzzy_score").cast("decimal(12,8)")).cast("double"), 5).alias("mean_score"), F.count("*").alias("n"))
+    return evaluate.mean_scores(fuzzy(tables), "transaction_code")
+
+
+@book.add(f"{FUZZY} SELECT final_label, round(CAST(avg(CAST(s AS DECIMAL(12,8))) AS DOUBLE), 5) AS mean_score, count(*) AS n FROM fs JOIN (SELECT row_id, final_label FROM scored) USING (row_id) GROUP BY 1")
+def a22_mean_score_by_label(tables):
+    return evaluate.mean_scores(fuzzy(tables).join(tables.scored.select("row_id", "final_label"), "row_id"), "final_label")
 
 
 CONF = "count(*) FILTER (final_label = 1 AND p) AS tp, count(*) FILTER (final_label <> 1 AND p) AS fp, count(*) FILTER (final_label = 1 AND NOT p) AS fn, count(*) FILTER (final_label <> 1 AND NOT p) AS tn"

@@ -15,6 +15,8 @@ from ledgerlark.plans.tables import Book
 from ledgerlark.streaming import incremental
 
 book = Book()
+#: Items of one ticker and day in the feeds of c04.
+LINKS_A_DAY = 3
 
 
 def filing_texts(tables) -> DataFrame:
@@ -148,27 +150,33 @@ def s15_c04_enforcement_items(tables):
     return found.withColumn("item_id", F.xxhash64("title", "action_date")).join(named, "item_id").groupBy("ticker", "action_date").agg(F.count("*").alias("n"))
 
 
-def news_feeds(tables) -> DataFrame:
-    """A feed for each ticker: its actions, and items that aren't any or have no date."""
+def news_feeds(tables, links: int = 1) -> DataFrame:
+    """A feed for each ticker: its actions, with several links of a day if asked for, and items that aren't any or have no date."""
     e = tables.enforcement
-    items = e.select(F.concat("ticker", F.lit(" charged with fraud")).alias("title"), F.lit("A settlement").alias("description"), F.date_format("action_date", "EEE, d MMM yyyy 12:00:00 'GMT'").alias("pubDate"), F.col("ticker").alias("link"))
+    several = e.select("ticker", "action_date", F.explode(F.sequence(F.lit(0), F.lit(links - 1))).alias("k"))
+    said = F.concat("ticker", F.lit(" charged with fraud"), *([F.lit(" "), F.col("k").cast("string")] if links > 1 else []))
+    link = F.concat_ws("/", F.lit("https://news.example"), "ticker", F.date_format("action_date", "yyyyMMdd"), F.col("k").cast("string"))
+    items = several.select("ticker", said.alias("title"), F.lit("A settlement").alias("description"), F.date_format("action_date", "EEE, d MMM yyyy 12:00:00 'GMT'").alias("pubDate"), link.alias("link"))
     noise = items.withColumns({"title": F.lit("weather"), "description": F.lit("sunny")}).unionByName(items.withColumn("pubDate", F.lit("soon")))
     item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><description>"), "description", F.lit("</description><pubDate>"), "pubDate", F.lit("</pubDate><link>"), "link", F.lit("</link></item>"))
-    return items.unionByName(noise).withColumn("i", item).groupBy("link").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("text"))
+    return items.unionByName(noise).withColumn("i", item).groupBy("ticker").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("text"))
 
 
-@book.add("SELECT DISTINCT 'earnings' AS kind, ticker, announcement_date AS date FROM earnings UNION ALL SELECT DISTINCT 'enforcement', ticker, action_date FROM enforcement")
+@book.add(f"""SELECT DISTINCT 'earnings' AS kind, ticker, announcement_date AS date, NULL::VARCHAR AS source_title, NULL::VARCHAR AS source_link, NULL::VARCHAR AS matched_by FROM earnings
+    UNION ALL SELECT DISTINCT 'enforcement', ticker, action_date, ticker || ' charged with fraud ' || k, 'https://news.example/' || ticker || '/' || strftime(action_date, '%Y%m%d') || '/' || k, 'ticker:' || ticker FROM enforcement, (SELECT unnest(range({LINKS_A_DAY})) AS k)
+    UNION ALL SELECT DISTINCT 'enforcement', ticker, action_date, NULL, '', NULL FROM enforcement WHERE year(action_date) <= 1996""")
 def c04_event_build(tables):
-    """Half of the earnings is stored, half of it comes from a calendar, and all from feeds; the actions come from feeds."""
+    """Half of the earnings is stored, half of it comes from a calendar, and all from feeds; the actions come from feeds, several links a day."""
     e, early = tables.earnings, F.year("announcement_date") <= 1997
     tickers = tables.enforcement.select("ticker").distinct()
     calendar = e.filter(~early).select("ticker", F.date_format("announcement_date", "yyyy-MM-dd").alias("value"))
     earnings, enforcement = market.build_events(
-        filing_payloads(tables), calendar, news_feeds(tables).select("text"), tickers.select("ticker", F.col("ticker").alias("alias")), tickers,
+        filing_payloads(tables), calendar, news_feeds(tables, LINKS_A_DAY).select("text"), tickers.select("ticker", F.col("ticker").alias("alias")), tickers,
         e.filter(early).select("ticker", "announcement_date"), tables.enforcement.filter("year(action_date) <= 1996").select("ticker", "action_date"),
     )
-    one = lambda df, kind, date: df.select(F.lit(kind).alias("kind"), "ticker", F.col(date).alias("date"))
-    return one(earnings, "earnings", "announcement_date").unionByName(one(enforcement, "enforcement", "action_date"))
+    told = ("source_title", "source_link", "matched_by")
+    one = lambda df, kind, date, *also: df.select(F.lit(kind).alias("kind"), "ticker", F.col(date).alias("date"), *also)
+    return one(enforcement, "enforcement", "action_date", *told).unionByName(one(earnings, "earnings", "announcement_date"), allowMissingColumns=True)
 
 
 @book.add("SELECT row_id, TRY_CAST(replace(replace('$' || CAST(CAST(shares AS BIGINT) AS VARCHAR) || ',0', ',', ''), '$', '') AS DOUBLE) AS amount, transaction_date AS d FROM trades")

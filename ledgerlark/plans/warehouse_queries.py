@@ -99,13 +99,26 @@ def a07_distribution_and_dates(tables):
     return profile.value_distribution(own, "transaction_code").crossJoin(profile.date_range(own))  # one row
 
 
-@book.add(f"""{DIRTY}, u AS (SELECT DISTINCT * FROM dirty), s AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM u) AS dup, count(*) FILTER (transaction_date > DATE '{AS_OF}') AS ft, count(*) FILTER (filing_date > DATE '{AS_OF}') AS ff,
-      count(*) FILTER (price_per_share > 10000) AS hi FROM dirty)
-    SELECT n AS "rows", dup AS duplicate_rows, dup || ' duplicate rows; ' || ff || ' future filing_date; ' || ft || ' future transaction_date; ' || hi || ' prices above 10000' AS warnings, 'remove duplicate rows' AS recommendations FROM s""")
+_NAMES = "coalesce(string_agg(name, ', ' ORDER BY name) FILTER ({}), '')"
+
+
+@book.add(f"""{DIRTY}, p AS ({PROFILE_SQL}), u AS (SELECT DISTINCT * FROM dirty),
+    s AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM u) AS dup, count(*) FILTER (transaction_date > DATE '{AS_OF}') AS ft, count(*) FILTER (filing_date > DATE '{AS_OF}') AS ff, count(*) FILTER (price_per_share > 10000) AS hi,
+      count(*) FILTER (price_per_share < 0) AS np, count(*) FILTER (shares < 0) AS ns, count(*) FILTER (total_value < 0) AS nv, 100 * avg(CAST(has_10b5_1_plan AS INT)) AS plan,
+      (SELECT 100 * max(c) / sum(c) FROM (SELECT count(*) AS c FROM dirty WHERE transaction_code IS NOT NULL GROUP BY transaction_code)) AS top FROM dirty),
+    o AS (SELECT round(100 * count(*) FILTER (price_per_share < a - 1.5 * (b - a) OR price_per_share > b + 1.5 * (b - a)) / count(price_per_share), 4) AS price_outlier_pct FROM dirty, (SELECT quantile_cont(price_per_share, 0.25) AS a, quantile_cont(price_per_share, 0.75) AS b FROM dirty)),
+    c AS (SELECT {_NAMES.format('missing_pct > 50')} AS mostly_missing, {_NAMES.format('distinct_values = 1')} AS constant, {_NAMES.format("distinct_values > 0.9 * rows AND dtype = 'string'")} AS high_cardinality,
+      {_NAMES.format("missing_pct > 20 AND name NOT IN ('footnote_text', 'officer_title')")} AS to_impute FROM p)
+    SELECT n AS "rows", dup AS duplicate_rows, mostly_missing, constant, high_cardinality, price_outlier_pct,
+      array_to_string(list_filter([CASE WHEN dup > 0 THEN dup || ' duplicate rows' END, CASE WHEN mostly_missing <> '' THEN 'more than half missing: ' || mostly_missing END, CASE WHEN constant <> '' THEN 'constant: ' || constant END,
+        CASE WHEN ff > 0 THEN ff || ' future filing_date' END, CASE WHEN ft > 0 THEN ft || ' future transaction_date' END, CASE WHEN np > 0 THEN np || ' negative price_per_share' END, CASE WHEN ns > 0 THEN ns || ' negative shares' END,
+        CASE WHEN nv > 0 THEN nv || ' negative total_value' END, CASE WHEN hi > 0 THEN hi || ' prices above 10000' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+      array_to_string(list_filter([CASE WHEN dup > 0 THEN 'remove duplicate rows' END, CASE WHEN to_impute <> '' THEN 'impute: ' || to_impute END, CASE WHEN price_outlier_pct > 5 THEN 'winsorise price_per_share' END,
+        CASE WHEN top > 70 THEN 'stratify by transaction_code' END, CASE WHEN plan < 5 THEN 'review plan parsing' END], lambda x: x IS NOT NULL), '; ') AS recommendations FROM s, c, o""")
 def a08_warnings(tables):
-    rep = profile.quality_report(dirty(tables).withColumn("price_per_share", F.col("price_per_share") + 0), AS_OF)
-    keep = F.filter("recommendations", lambda x: x == "remove duplicate rows")
-    return rep.select("rows", "duplicate_rows", F.array_join("warnings", "; ").alias("warnings"), F.array_join(keep, "; ").alias("recommendations"))
+    """The whole report."""
+    rep = profile.quality_report(dirty(tables), AS_OF)
+    return rep.select("rows", "duplicate_rows", "price_outlier_pct", *[F.array_join(c, ", ").alias(c) for c in ("mostly_missing", "constant", "high_cardinality")], *[F.array_join(c, "; ").alias(c) for c in ("warnings", "recommendations")])
 
 
 @book.add(f"""{DIRTY}, u AS (SELECT DISTINCT * REPLACE (coalesce(transaction_date, filing_date) AS transaction_date) FROM dirty),

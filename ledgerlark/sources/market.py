@@ -150,12 +150,18 @@ def upsert_events(old: DataFrame, new: DataFrame, key) -> DataFrame:
 
 
 def build_events(payloads: DataFrame, calendar: DataFrame, feeds: DataFrame, aliases: DataFrame, tickers: DataFrame, earnings: DataFrame, enforcement: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C4: (earnings, enforcement): what is stored, with the dates of filings and calendars, and with the news items that name a ticker."""
+    """C4: (earnings, enforcement): what is stored, with the dates of filings and calendars, and with the news items that name a ticker.
+
+    An item is matched by its title and description.  An action keeps its
+    item's title and link and what matched; items of one day with different
+    links are different actions.
+    """
     announced = filing_dates(payloads).unionByName(calendar_dates(calendar))
-    items = news_items(feeds).withColumn("item_id", F.xxhash64("title", "link", "action_date")).dropDuplicates(["item_id"])
-    named = match_tickers(items, alias_table(aliases, tickers), tickers, text="title")
-    acted = items.join(named, "item_id").select("ticker", "action_date")
-    return upsert_events(earnings, announced, ("ticker", "announcement_date")), upsert_events(enforcement, acted, ("ticker", "action_date"))
+    items = news_items(feeds).select(F.trim("title").alias("source_title"), F.trim("link").alias("source_link"), "action_date", F.trim(F.concat_ws(" ", "title", "description")).alias("text"))
+    items = items.withColumn("item_id", F.xxhash64("text", "source_link", "action_date")).dropDuplicates(["item_id"])
+    named = match_tickers(items, alias_table(aliases, tickers), tickers)
+    acted = items.join(named, "item_id").select("ticker", "action_date", "source_title", "source_link", "matched_by")
+    return upsert_events(earnings, announced, ("ticker", "announcement_date")), upsert_events(enforcement, acted, ("ticker", "action_date", "source_link"))
 
 
 def alias_table(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
