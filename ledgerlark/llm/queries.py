@@ -155,7 +155,58 @@ QUERIES = {
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a text's UTF-8 bytes in SQL, from the table of its polynomial, which must stand in a relation ``crc`` as ``t``.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(hex(encode({text}))) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+def leaf_sql(text: str) -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    return f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
 ORACLES = {
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (SELECT doc_id, translate(run, '{UP}', '{LOW}') AS low, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')) AS run FROM documents) GROUP BY 1, 2),
+        hashed AS (SELECT low, n, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || low")} AS h FROM runs, crc WHERE length(low) >= {spelling.LEAST_LENGTH}),
+        counted AS (SELECT CASE WHEN h % {spelling.TYPO_IN} = 0 THEN substr(low, 1, CAST(h % length(low) AS BIGINT)) || substr(low, CAST(h % length(low) AS BIGINT) + 2) ELSE low END AS word, n FROM hashed),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY 1 HAVING sum(n) >= {spelling.LEAST_COUNT}),
+        v AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS short FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+        pairs AS (SELECT a.word, b.word AS other FROM v a JOIN v b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+          UNION SELECT v.word, w.word FROM v JOIN w ON short = w.word UNION SELECT w.word, v.word FROM v JOIN w ON short = w.word),
+        near AS (SELECT pairs.word, other, n AS other_n FROM pairs JOIN w ON other = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other COLLATE C) AS other, max(other_n) AS other_n FROM near GROUP BY 1),
+        formed AS (SELECT w.word, CASE WHEN other_n >= {spelling.FORM_TIMES} * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.FORM_TIMES} * n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+        up(word, last) AS (SELECT word, word FROM formed UNION ALL SELECT up.word, f.form FROM up JOIN formed f ON up.last = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT up.word, up.last AS root FROM up JOIN formed f ON up.last = f.word WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        d AS (SELECT *, {leaf_sql('text')} AS leaf, coalesce({crc_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0, false) AS tampered FROM documents, crc),
+        own AS (SELECT doc_id, coalesce('=' || source, '') AS tree, leaf, CASE WHEN tampered THEN {leaf_sql("replace(text, chr(10), '')")} ELSE leaf END AS changed FROM d),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM own),
+        t(level, tree, pos, n, digest) AS (SELECT 0, tree, pos, n, leaf FROM placed UNION ALL
+          SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+        subs AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree COLLATE C) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        s(level, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM subs UNION ALL
+          SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM s WHERE n > 1 GROUP BY level, pos // 3, n),
+        -- Runs of siblings: of a source's tree, and, after all of its levels, of the sources' tree.
+        runs AS (SELECT tree, level, pos // 3 AS run, list(digest ORDER BY pos) AS digests FROM t WHERE n > 1 GROUP BY 1, 2, 3 UNION ALL
+          SELECT '/', level, pos // 3, list(digest ORDER BY pos) FROM s WHERE n > 1 GROUP BY 2, 3),
+        f(doc_id, key, tree, level, pos, cur, siblings) AS (
+          SELECT doc_id, tree || ':' || pos, tree, 0, pos, changed, '' FROM placed UNION ALL
+          SELECT doc_id, key, CASE WHEN r.tree IS NULL THEN '/' ELSE f.tree END, CASE WHEN r.tree IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN r.tree IS NULL THEN subs.pos ELSE f.pos // 3 END,
+            CASE WHEN r.tree IS NULL THEN cur ELSE sha256(array_to_string(list_transform(digests, lambda x, i: CASE WHEN i = f.pos % 3 + 1 THEN cur ELSE x END), '')) END,
+            siblings || CASE WHEN r.tree IS NULL THEN '' ELSE array_to_string(list_filter(digests, lambda x, i: i <> f.pos % 3 + 1), '') END
+          FROM f LEFT JOIN runs r ON r.tree = f.tree AND r.level = f.level AND r.run = f.pos // 3 LEFT JOIN subs ON subs.tree = f.tree WHERE r.tree IS NOT NULL OR f.tree <> '/'),
+        ended AS (SELECT key, arg_max(cur, (tree = '/', level)) AS folded_root, arg_max(siblings, (tree = '/', level)) AS siblings FROM f GROUP BY 1)
+        SELECT doc_id, leaf, subroot, (SELECT digest FROM s WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM s WHERE n = 1) AS verified
+        FROM placed JOIN subs USING (tree) JOIN ended ON key = tree || ':' || placed.pos""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UP}', '{LOW}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
