@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import profile, warehouse
 from ledgerlark.plans.tables import Book
 from ledgerlark.sources.shared import scratch
+from ledgerlark.streaming import incremental
 
 book = Book()
 
@@ -59,6 +60,16 @@ def a01_column_profile(tables):
     return profile.column_profile(dirty(tables))
 
 
+@book.add(f"{DIRTY} SELECT name, \"rows\", missing, true AS within FROM ({PROFILE_SQL})")
+def a01_a06_incremental_profile(tables):
+    """Profiles kept by filing year, those of later years added afterwards; distinct values are within the sketches' error of the exact ones."""
+    own, year = dirty(tables), F.year("filing_date")
+    kept = profile.profile_sketches(own.filter(year < 1998), year).unionByName(profile.profile_sketches(own.filter(F.coalesce(year, F.lit(9999)) >= 1998), year))
+    exact = profile.column_profile(own).select("name", F.col("distinct_values").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= profile.SKETCH_ERROR * F.col("exact")
+    return profile.united_profile(kept).join(exact, "name").select("name", "rows", "missing", near.alias("within"))
+
+
 def moments(c: str) -> str:
     return f"""SELECT '{c}' AS name, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q75, max({c}) AS max,
       round(sum(power({c} - m, 3)) / count({c}) / power(any_value(s), 3), 6) AS skewness, round(sum(power({c} - m, 4)) / count({c}) / power(any_value(s), 4) - 3, 6) AS kurtosis
@@ -197,16 +208,23 @@ def a11_j16_insider_statistics(tables):
     return out.select("insider_key", "total_trades", "total_buys", "total_sells", "value_bought", "value_sold", F.round(F.col("avg_value") + 1e-6, 2).alias("avg_value"), "first_date", "last_date")
 
 
-@book.add(f"""{FACT} SELECT company_key, transaction_date AS date, count(*) FILTER ({BUY}) AS total_insider_buys, {total(BUY, 'shares')} AS total_shares_bought, {total(BUY, 'total_value')} AS total_value_bought,
+#: The daily summary of a table of facts.
+DAILY = f"""SELECT company_key, transaction_date AS date, count(*) FILTER ({BUY}) AS total_insider_buys, {total(BUY, 'shares')} AS total_shares_bought, {total(BUY, 'total_value')} AS total_value_bought,
       round(CAST(sum(CASE WHEN {BUY} THEN {M.format('price_per_share')} END) AS DOUBLE) / count(*) FILTER ({BUY}) + 1e-6, 2) AS avg_buy_price, count(*) FILTER ({SELL}) AS total_insider_sells, {total(SELL, 'shares')} AS total_shares_sold, {total(SELL, 'total_value')} AS total_value_sold,
       round(CAST(sum(CASE WHEN {SELL} THEN {M.format('price_per_share')} END) AS DOUBLE) / count(*) FILTER ({SELL}) + 1e-6, 2) AS avg_sell_price, count(DISTINCT insider_key) AS num_unique_insiders_trading,
       round(CAST(sum(CASE WHEN {BUY} THEN {M.format('shares')} WHEN {SELL} THEN -{M.format('shares')} ELSE 0 END) AS DOUBLE), 4) AS net_shares,
       round(CAST(sum(CASE WHEN {BUY} THEN coalesce({M.format('total_value')}, 0) WHEN {SELL} THEN -coalesce({M.format('total_value')}, 0) ELSE 0 END) AS DOUBLE), 4) AS net_value,
-      round((count(*) FILTER ({BUY}) - count(*) FILTER ({SELL})) / count(*), 6) AS net_sentiment_score FROM fact GROUP BY 1, 2""")
+      round((count(*) FILTER ({BUY}) - count(*) FILTER ({SELL})) / count(*), 6) AS net_sentiment_score FROM {{}} GROUP BY 1, 2"""
+
+
+@book.add(f"{FACT} {DAILY.format('fact')}")
 def a12_j11_daily_summary(tables):
     fact, _, _, _, kinds = star(tables)
-    out = warehouse.daily_summary(fact, kinds)
-    return out.withColumns({c: F.round(F.col(c) + 1e-6, 2) for c in ("avg_buy_price", "avg_sell_price")})
+    return rounded_prices(warehouse.daily_summary(fact, kinds))
+
+
+def rounded_prices(daily: DataFrame) -> DataFrame:
+    return daily.withColumns({c: F.round(F.col(c) + 1e-6, 2) for c in ("avg_buy_price", "avg_sell_price")})
 
 
 @book.add(f"""{FACT}, c AS (SELECT company_key, arg_max(ticker, (filing_date, trade_id)) AS t FROM fact GROUP BY 1), i AS (SELECT insider_key, arg_max(insider_name, (filing_date, trade_id)) AS n, arg_max(insider_role, (filing_date, trade_id)) AS r FROM fact GROUP BY 1)
@@ -250,6 +268,19 @@ def d04_d05_facts_by_year(tables):
     )
 
 
+@book.add(f"{LOADED} {DAILY.format('loaded')}")
+def a12_j15_streamed_trade_summary(tables):
+    """Trades as a stream: two runs over new files, the second of which brings late rows, and a third that repeats rows of both."""
+    base, kinds = scratch(tables.spark, "stream"), warehouse.dim_transaction_type(tables.spark)
+    fact = star(tables)[0]
+    out = None
+    for part in loads(fact, "trade_id"):
+        part.write.mode("append").parquet(f"{base}/in")
+        read = tables.spark.readStream.schema(fact.schema).parquet(f"{base}/in")
+        out = incremental.summarise_trades(read, base, kinds, LOADED_YEARS)
+    return rounded_prices(out)
+
+
 #: The tables of the warehouse as SQL, and the kinds of their columns: a number, a text or a truth.
 WAREHOUSE = {
     "dim_transaction_type": ("SELECT code, type_key, description, buy AS is_buy_equivalent FROM kinds", {"code": "text", "type_key": "number", "description": "text", "is_buy_equivalent": "truth"}),
