@@ -40,21 +40,26 @@ def _elements(words: Column) -> Column:
     return F.when((F.size(words) >= LEAST_WORDS) | (words == F.array(F.lit(""))), words).otherwise(characters)
 
 
+def _text_hash(text_col: str) -> Column:
+    """With the id it names a row: many rows may have a null id, or one id."""
+    return F.xxhash64(F.coalesce(text_col, F.lit("")))
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line: _id, _pos, n (elements), h (hash of the elements), halves (hashes of its first and last halves).
+    """One row for each line: _id, _text_h (hash of the text), _pos, n (elements), h (hash of the elements), halves (hashes of its first and last halves).
 
     Two lines within one element of each other share their first or their last
     k elements, where k is half the elements of the shorter; halves has both for the
     two lengths that k can have.
     """
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_pos", "_line"))
-    worded = lines.select("_id", "_pos", _words(F.col("_line")).alias("words")).select("_id", "_pos", _elements(F.col("words")).alias("words"))
+    lines = docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("_text_h"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_pos", "_line"))
+    worded = lines.select("_id", "_text_h", "_pos", _words(F.col("_line")).alias("words")).select("_id", "_text_h", "_pos", _elements(F.col("words")).alias("words"))
     n = F.when(F.col("words") == F.array(F.lit("")), 0).otherwise(F.size("words"))
     k = lambda d: F.floor((F.col("n") + d) / 2).cast("int")
     half = lambda side, d: F.xxhash64(F.lit(side), k(d), F.slice("words", 1, k(d)) if side == "head" else F.slice("words", F.col("n") - k(d) + 1, k(d)))
     halves = F.array(*[half(side, d) for side in ("head", "tail") for d in (-1, 0)])
     enough = F.col("n") >= F.when(F.startswith(F.get("words", F.lit(0)), F.lit("\n")), LEAST_CHARACTERS).otherwise(LEAST_WORDS)
-    return worded.withColumn("n", n).select("_id", "_pos", "n", F.xxhash64("words").alias("h"), F.when(enough, halves).alias("halves"))
+    return worded.withColumn("n", n).select("_id", "_text_h", "_pos", "n", F.xxhash64("words").alias("h"), F.when(enough, halves).alias("halves"))
 
 
 def lines_with_partners(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,12 +71,11 @@ def lines_with_partners(lines: DataFrame, docs: DataFrame, id_col: str, text_col
     half = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     partners = half.join(shared, "half", "left_semi").select("h").distinct()
-    first = lines.filter("halves is not null").groupBy("h").agg(F.min(F.struct("_id", "_pos")).alias("place")).join(partners, "h", "left_semi")
-    wanted = first.groupBy(F.col("place._id").alias("_id")).agg(F.collect_list(F.struct(F.col("place._pos").alias("_pos"), "h")).alias("_wanted"))
-    texts = docs.select(F.col(id_col).alias("_own"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_lines"))
-    found = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id"))).select("_id", "_lines", F.explode("_wanted").alias("w"))
+    first = lines.filter("halves is not null").groupBy("h").agg(F.min(F.struct("_id", "_pos", "_text_h")).alias("place")).join(partners, "h", "left_semi")
+    wanted = first.groupBy(F.col("place._id").alias("_id"), F.col("place._text_h").alias("_text_h")).agg(F.collect_list(F.struct(F.col("place._pos").alias("_pos"), "h")).alias("_wanted"))
+    texts = docs.select(F.col(id_col).alias("_own"), _text_hash(text_col).alias("_own_h"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_lines"))
+    found = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_text_h"))).select("_id", "_lines", F.explode("_wanted").alias("w"))
     read = found.select("w.h", F.struct("_id", "w._pos").alias("place"), _elements(_words(F.get("_lines", F.col("w._pos")))).alias("words"))
-    # Rows that repeat an id may hold other lines there.
     return read.filter(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"])
 
 
@@ -120,15 +124,15 @@ def near_lines(own: DataFrame) -> DataFrame:
 
 
 def _marked_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _pos, h, keep, first): every line, its hash and the earliest line that it repeats."""
+    """(_id, _text_h, _pos, h, keep, first): every line, its hash and the earliest line that it repeats."""
     lines = settle(line_table(docs, id_col, text_col), "lines")
     place = F.struct(F.col("_id"), F.col("_pos"))
-    narrow = lines.select("_id", "_pos", "h", "n")
+    narrow = lines.select("_id", "_text_h", "_pos", "h", "n")
     known = narrow.filter("n > 0").groupBy("h").agg(F.min(place).alias("place"))
     near = near_lines(settle(lines_with_partners(lines, docs, id_col, text_col), "partners"))
     known = known.join(near, "h", "left").select("h", F.least("place", F.coalesce("first", "place")).alias("first"))
     keep = F.coalesce((F.col("n") == 0) | (F.col("first") >= place), F.lit(True))
-    return narrow.join(known, "h", "left").select("_id", "_pos", "h", keep.alias("keep"), "first")
+    return narrow.join(known, "h", "left").select("_id", "_text_h", "_pos", "h", keep.alias("keep"), "first")
 
 
 def near_line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,8 +160,8 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of rows that repeat an id with other texts, each loses its own lines only.
     """
     marks = _marked_lines(docs, id_col, text_col).filter("not keep")
-    gone = marks.groupBy(F.col("_id").alias("_gone_id")).agg(F.collect_set(F.struct(F.col("_pos").alias("at"), "h")).alias("_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    here = lambda line, i: F.struct(i.alias("at"), F.xxhash64(_elements(_words(line))).alias("h"))
-    cleaned = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(gone["_gone"], here(line, i))), "\n")
+    gone = marks.groupBy(F.col("_id").alias("_gone_id"), F.col("_text_h").alias("_gone_h")).agg(F.collect_set("_pos").alias("_gone"))
+    own_h = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (own_h == gone["_gone_h"]), "left")
+    cleaned = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(gone["_gone"], i)), "\n")
     return joined.select(*[F.when(gone["_gone"].isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns])

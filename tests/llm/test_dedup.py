@@ -288,3 +288,14 @@ def test_short_lines_have_near_copies(spark):
             (5, "a b c"), (6, "a x c"), (7, "a b c d"), (8, "home page"), (9, "home site"), (10, "home page here")]
     got = {r.doc_id: r.first_id for r in line_dedup.near_line_marks(table(spark, rows)).collect() if not r.keep}
     assert got == {2: 1, 4: 3, 6: 5, 7: 5}
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Rows with a null id come first and share their places; each loses its own lines, told by its text."""
+    base = "the quiet harbour keeps nine small boats"
+    rows = [(None, f"{base} number {k}\nown line of row {k} with words {k * 7} and {k * k}\n{base} number x{k % 2}") for k in range(9)] + [(1, f"{base} number x\nkept")]
+    df = table(spark, rows)
+    marks = line_dedup.near_line_marks(df).collect()
+    gone = sorted((r.doc_id is not None, r.pos) for r in marks if not r.keep)
+    assert gone == [(False, 2)] * 9 + [(True, 0)]
+    assert sorted(r.text for r in line_dedup.drop_near_lines(df).collect()) == sorted([t.rsplit("\n", 1)[0] for i, t in rows if i is None] + ["kept"])
