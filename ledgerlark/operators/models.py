@@ -194,7 +194,7 @@ def scaled_profiles(profiles: DataFrame, features) -> DataFrame:
 
 def clustered_profiles(profiles: DataFrame, features, ks=clustering.CLUSTERS, restarts: int = clustering.RESTARTS) -> tuple[DataFrame, dict[int, float]]:
     """M6: scaled profiles with their cluster at the elbow of the costs, and the least cost of each k."""
-    rows = scaled_profiles(profiles, features)
+    rows = scaled_profiles(profiles, features).select("insider_cik", "informed_rate", "h", "x")
     found = clustering.best(clustering.fits(rows.select("h", "x"), ks, restarts))
     costs = {k: fit.cost for k, fit in found.items()}
     if not costs:

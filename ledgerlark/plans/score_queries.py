@@ -10,6 +10,7 @@ from ledgerlark.operators import evaluate, history, labels, models
 from ledgerlark.plans.feature_queries import TRADE_SQL
 from ledgerlark.plans.label_queries import labeled
 from ledgerlark.plans.tables import Book, rounded
+from ledgerlark.sources.shared import scratch
 
 book = Book()
 
@@ -245,7 +246,14 @@ PROFILE = ("shares", "total_value", "pct_position_traded", "days_to_filing")
 def model_table(tables) -> DataFrame:
     """Open-market trades with all features that don't leak the label, and the synthetic label, one row a trade."""
     own = history.feature_matrix(tables.trades).join(tables.scored.select("row_id", "final_label"), "row_id")
-    return models.numeric(own, MODEL_FEATURES, "row_id", "insider_cik", "transaction_date", "final_label")
+    return written(models.numeric(own, MODEL_FEATURES, "row_id", "insider_cik", "transaction_date", "final_label"), "model_table")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once in the shared folder, for queries that read it many times."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 MODEL_FEATURES = history.MODEL_FEATURES
@@ -284,13 +292,14 @@ def m05_surrogate_importance(tables):
 
 
 def profiles(tables) -> DataFrame:
-    return evaluate.insider_profiles(model_table(tables), MODEL_FEATURES)
+    return written(evaluate.insider_profiles(model_table(tables), MODEL_FEATURES), "profiles")
 
 
 @book.add()
 def m06_a18_j14_clusters(tables):
-    clustered, _ = models.clustered_profiles(profiles(tables), MODEL_FEATURES)
-    return models.map_back(model_table(tables), clustered, models.cluster_rates(clustered)).select("row_id", "insider_cik", "cluster", "prob")
+    own = model_table(tables)
+    clustered, _ = models.clustered_profiles(written(evaluate.insider_profiles(own, MODEL_FEATURES), "profiles"), MODEL_FEATURES)
+    return models.map_back(own, clustered, models.cluster_rates(clustered)).select("row_id", "insider_cik", "cluster", "prob")
 
 
 @book.add()

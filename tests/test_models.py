@@ -15,6 +15,8 @@ def test_model_queries_use_production_settings(monkeypatch):
     monkeypatch.setattr(q, "splits", lambda tables: ("train", "val", "test"))
     monkeypatch.setattr(q, "model_table", lambda tables: "table")
     monkeypatch.setattr(q, "profiles", lambda tables: "profiles")
+    monkeypatch.setattr(q, "written", lambda df, label: df)
+    monkeypatch.setattr(q.evaluate, "insider_profiles", lambda *a: "profiles")
     frame = SimpleNamespace(select=lambda *a: "out")
     for name, result in {"fit_boosted": "model", "score": frame, "grid_search": ("best", "table"), "isolation_trees": "forest", "isolation_scores": frame, "surrogate_importance": "out",
                          "clustered_profiles": ("clustered", {}), "cluster_rates": "rates", "map_back": frame, "ablation": "out", "walk_forward": "out", "permutation_importance": "out"}.items():
