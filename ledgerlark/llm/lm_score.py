@@ -3,8 +3,8 @@
 Every token is predicted from the two tokens on either side.  The network
 sums an embedding for each neighbour and its place and ends in a two-level
 softmax (the token's class, then the token in its class).  It is trained in
-numpy by the tasks, each over all text of its partition; the partitions'
-weights are averaged by their tokens.  A word outside the network's vocabulary
+numpy by the tasks, group by group of documents, and averaged over the groups
+of a round before the next round goes on.  A word outside the network's vocabulary
 has the probability of its rest token times the word's share of that token in
 the corpus, from the counts of all words, so the probabilities of all words of
 the corpus add up to one.  A document's score is the sum of the conditional
@@ -13,12 +13,12 @@ log-probabilities of all its words.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +32,17 @@ OFFSETS = (-2, -1, 1, 2)
 VOCABULARY = CLASSES * MEMBERS
 FREQUENT = VOCABULARY - REST_CLASSES * MEMBERS
 EDGE = VOCABULARY
-BATCH, RATE, ROUNDS = 8192, 0.15, 1
+#: Rows that are scored at once, rows of a training step, and rounds of averaging.
+BATCH, STEP, RATE, ROUNDS = 8192, 2048, 0.15, 4
+#: Where the sums of squared gradients start.
+FIRST_SQUARES = 1e-6
 #: Pieces in which weights travel to be averaged.
 PIECES = 64
 #: Tokens that a task holds before it computes on them.
 AT_ONCE = 1 << 16
 CACHED_WORDS = 600_000
-#: Text of one group of documents, and the least groups for each shuffle partition.
-GROUP_BYTES, GROUPS_A_PARTITION = 1 << 23, 1
-
-
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_group, _id, _text): documents dealt by hash to groups of about ``GROUP_BYTES`` of text."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    groups = max(GROUPS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
-    return own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).alias("_group"), "_id", "_text")
+#: Text of one group of documents.
+GROUP_BYTES = 1 << 23
 
 
 def word_hash(word: str) -> int:
@@ -56,46 +51,85 @@ def word_hash(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def words_by_group(groups: DataFrame) -> DataFrame:
-    """(_group, h, n): every distinct word of each group, by its hash, and how often it stands there, split as for the network."""
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
 
-    def count(table: pa.Table) -> pa.Table:
-        found: Counter[str] = Counter()
-        for text in table.column("_text"):
-            found.update((text.as_py() or "").lower().split())
-        h = pa.array([word_hash(w) for w in found], pa.int64())
-        return pa.table({"_group": pa.array([table.column("_group")[0].as_py()] * len(found), pa.int64()), "h": h, "n": pa.array(list(found.values()), pa.int64())})
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return settle(groups.select("_group", "_text").groupBy("_group").applyInArrow(count, "_group long, h long, n long"), "words_by_group")
 
+def coded_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_group, _turn, _id, codes, at, h, n): every text as numbers of words, and the words of each group of documents.
 
-def word_counts(by_group: DataFrame) -> DataFrame:
+    Documents are dealt by hash of id and text to groups of about
+    ``GROUP_BYTES`` of text, ``ROUNDS`` groups at least, so the groups don't
+    depend on the partitions of ``docs``.  A row of a document holds its words'
+    numbers within the group in ``codes`` (32 bits each); a row of a word
+    (codes null) holds its number ``at``, its hash and its count in the group.
+    Texts are split here and nowhere else.
+    """
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    turn = F.xxhash64("_id", "_text")
+    dealt = own.select(F.pmod(turn, F.lit(max(ROUNDS, -(-size // GROUP_BYTES)))).alias("_group"), turn.alias("_turn"), "_id", "_text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return settle(dealt.groupBy("_group").applyInArrow(coded_group, f"_group long, _turn long, _id {kind}, codes binary, at int, h long, n long"), "coded")
+
+
+def coded_group(table: pa.Table) -> pa.Table:
+    """The rows of :func:`coded_texts` of one group."""
+    table = table.take(np.argsort(table.column("_turn").to_numpy(), kind="stable"))
+    numbers, codes, count = Numbers(), [], np.zeros(0, np.int64)
+    for text in table.column("_text"):
+        words = (text.as_py() or "").lower().split()
+        own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+        codes.append(own.tobytes())
+        if len(numbers) > len(count):
+            count = np.concatenate([count, np.zeros(max(len(count), len(numbers) - len(count)), np.int64)])
+        at, times = np.unique(own, return_counts=True)
+        count[at] += times
+    n, d = len(numbers), len(table)
+    none = lambda k, t: pa.nulls(k, t)
+    ids = table.column("_id").combine_chunks()
+    return pa.table({
+        "_group": pa.array([table.column("_group")[0].as_py()] * (d + n), pa.int64()),
+        "_turn": pa.chunked_array([table.column("_turn").combine_chunks(), none(n, pa.int64())]),
+        "_id": pa.chunked_array([ids, none(n, ids.type)]),
+        "codes": pa.chunked_array([pa.array(codes, pa.binary()), none(n, pa.binary())]),
+        "at": pa.chunked_array([none(d, pa.int32()), pa.array(range(n), pa.int32())]),
+        "h": pa.chunked_array([none(d, pa.int64()), pa.array(map(word_hash, numbers), pa.int64())]),
+        "n": pa.chunked_array([none(d, pa.int64()), pa.array(count[:n])]),
+    })
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
     """(h, n): every word of the corpus and its count."""
-    return settle(by_group.groupBy("h").agg(F.sum("n").alias("n")), "words")
+    return settle(coded.filter("at is not null").groupBy("h").agg(F.sum("n").alias("n")), "words")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[int], list[int], int]:
-    """(hashes of the ``FREQUENT`` most frequent words, their counts, all words), counted over every text."""
-    if counts is None:
-        words = docs.select(F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+")).alias("w")).filter("w <> ''")
-        counts = settle(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")), "words")
+def frequent_words(counts: DataFrame) -> tuple[list[int], list[int], int]:
+    """(hashes of the ``FREQUENT`` most frequent words, their counts, all words)."""
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     return [r.h for r in top], [r.n for r in top], counts.agg(F.sum("n")).first()[0] or 0
 
 
-def word_shares(by_group: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
-    """(_group, h, share): log of the share that each word outside the vocabulary has of its token in the corpus.
+def word_shares(coded: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """(_of, at, h, share): for each word of a group, named ``_of`` here, the log of the share that it has of its token in the corpus.
 
-    A word of ``by_group`` that ``counts`` lacks counts as seen once.  Only the
-    totals of the rest tokens, of fixed number, reach the driver.
+    It is 0 for words of the vocabulary; a word that ``counts`` lacks counts as
+    seen once.  Only the totals of the rest tokens, of fixed number, reach the
+    driver.
     """
     spark = counts.sparkSession
     known = F.broadcast(spark.createDataFrame([(h,) for h in words.known], "h long"))  # at most FREQUENT rows
     bucket = F.pmod("h", F.lit(VOCABULARY - FREQUENT))
+    own = coded.filter("at is not null").select(F.col("_group").alias("_of"), "at", "h")
     rest = counts.join(known, "h", "left_anti")
     totals = F.broadcast(spark.createDataFrame(rest.groupBy(bucket.alias("_bucket")).agg(F.sum("n").alias("_total")).collect(), "_bucket long, _total long"))
-    joined = by_group.select("_group", "h").join(known, "h", "left_anti").join(counts, "h", "left").join(totals, bucket == F.col("_bucket"), "left")
-    return joined.select("_group", "h", F.log(F.coalesce("n", F.lit(1)) / F.greatest(F.coalesce("_total", F.lit(1)), F.lit(1))).alias("share"))
+    joined = own.join(known, "h", "left_anti").join(counts, "h", "left").join(totals, bucket == F.col("_bucket"), "left")
+    share = F.log(F.coalesce("n", F.lit(1)) / F.greatest(F.coalesce("_total", F.lit(1)), F.lit(1)))
+    return joined.select("_of", "at", "h", share.alias("share")).unionByName(own.join(known, "h", "left_semi").withColumn("share", F.lit(0.0)))
 
 
 class Words(dict):
@@ -120,17 +154,15 @@ class Words(dict):
         words = text.lower().split()
         return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
 
-
-class Shares(dict):
-    """Log shares of words by their spelling, from those by their hash; 0 for words of the vocabulary."""
-
-    def __init__(self, by_hash: dict[int, float]):
-        super().__init__()
-        self.by_hash = by_hash
-
-    def __missing__(self, word: str) -> float:
-        self[word] = share = self.by_hash.get(word_hash(word), 0.0)
-        return share
+    def tokens(self, h: np.ndarray) -> np.ndarray:
+        """Token ids of words by their hashes."""
+        rest = (FREQUENT + h % (VOCABULARY - FREQUENT)).astype(np.int16)
+        if not self.known:
+            return rest
+        hashes, ids = np.fromiter(self.known, np.int64, len(self.known)), np.fromiter(self.known.values(), np.int16, len(self.known))
+        order = np.argsort(hashes)
+        at = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
+        return np.where(hashes[order][at] == h, ids[order][at], rest)
 
 
 class WindowNetwork:
@@ -221,9 +253,9 @@ class WindowNetwork:
         return out
 
 
-def stream(texts: Iterator[str | None], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+def stream(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
     """(neighbours by offset, targets, tokens of each text) in portions of about ``AT_ONCE`` tokens, whole texts each."""
-    reach, edge = max(OFFSETS), np.full(max(OFFSETS), EDGE, np.int16)
+    edge = np.full(max(OFFSETS), EDGE, np.int16)
     parts, sizes = [edge], []
 
     def portion():
@@ -232,8 +264,7 @@ def stream(texts: Iterator[str | None], words: Words) -> Iterator[tuple[np.ndarr
         return np.stack([flat[at + o] for o in OFFSETS]), flat[at], sizes
 
     held = 0
-    for text in texts:
-        ids = words.ids(text or "")
+    for ids in texts:
         parts += [ids, edge]
         sizes.append(len(ids))
         held += len(ids) + 1
@@ -244,43 +275,87 @@ def stream(texts: Iterator[str | None], words: Words) -> Iterator[tuple[np.ndarr
         yield portion()
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text", counts: DataFrame | None = None) -> tuple[Words, WindowNetwork]:
-    """Vocabulary and network from every text of ``docs``, whose word counts may be known.
+def decoded(codes: Iterable[bytes], token: np.ndarray) -> Iterator[np.ndarray]:
+    """The texts of one group as token ids, from the token of each of its words."""
+    return (token[np.frombuffer(c, np.int32)] for c in codes)
 
-    In each round every partition trains a copy over all its tokens, and the
-    copies are averaged, weighted by their tokens, in pieces by key.  Only the
-    averaged weights, of fixed size, and the frequent words reach the driver.
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of one ``_group``, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        group = batch.column("_group").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(edges, edges[1:]):
+            if held and a < b and held[-1].column("_group")[-1].as_py() != group[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def trained_on(group: pa.Table, words: Words, flat: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(weights, squares, tokens): the network after one pass over a group of :func:`coded_texts`, in the order of ``_turn``."""
+    docs = group.filter(pc.is_valid(group.column("codes")))
+    docs = docs.take(np.argsort(docs.column("_turn").to_numpy(), kind="stable"))
+    rows = group.filter(pc.is_valid(group.column("at")))
+    token = np.empty(len(rows), np.int16)
+    token[rows.column("at").to_numpy()] = words.tokens(rows.column("h").to_numpy())
+    own, squares, seen, rng = WindowNetwork(flat.copy()), squares.copy(), 0, np.random.default_rng(5)
+    for around, target, _ in stream(decoded(docs.column("codes").to_pylist(), token)):
+        order = rng.permutation(len(target))
+        for a in range(0, len(order), STEP):
+            at = order[a : a + STEP]
+            at = at[np.argsort(target[at] // MEMBERS, kind="stable")]
+            own.train(around[:, at], target[at], squares)
+        seen += len(target)
+    return own.flat, squares, seen
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", coded: DataFrame | None = None, counts: DataFrame | None = None) -> tuple[Words, WindowNetwork]:
+    """Vocabulary and network from every text of ``docs``, whose :func:`coded_texts` and word counts may be known.
+
+    The groups are dealt to the rounds.  In a round each of its groups trains
+    a copy of the network over all its tokens, and the copies are averaged,
+    weighted by their tokens; the next round goes on from there.  A task adds
+    up the copies of its groups and hands them on in pieces, so one piece has
+    as many rows as there are tasks.  Only the averaged weights, of fixed
+    size, and the frequent words reach the driver.  The result depends on the
+    rows, not on their partitions.
     """
-    frequent, often, total = frequent_words(docs, text_col, counts)
+    if coded is None:
+        coded = coded_texts(docs, id_col, text_col)
+    if counts is None:
+        counts = word_counts(coded)
+    frequent, often, total = frequent_words(counts)
     words, net = Words(frequent), WindowNetwork.started(often, total)
-    spark = docs.sparkSession
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((words, net.flat))
+    squares, spark = np.full_like(net.flat, FIRST_SQUARES), docs.sparkSession
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((words, net.flat, squares))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_words, flat = sent.value  # noqa: B023
-            own, seen = WindowNetwork(flat.copy()), 0
-            squares = np.full_like(own.flat, 1e-6)
-            rng = np.random.default_rng(5)
-            for around, target, _ in stream((t.as_py() for b in batches for t in b.column(0)), own_words):
-                order = rng.permutation(len(target))
-                for a in range(0, len(order), BATCH):
-                    at = order[a : a + BATCH]
-                    at = at[np.argsort(target[at] // MEMBERS, kind="stable")]
-                    own.train(around[:, at], target[at], squares)
-                seen += len(target)
-            pieces = [x.tobytes() for x in np.array_split(own.flat, PIECES)] if seen else []
-            cols = [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([seen] * len(pieces), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["piece", "weights", "tokens"])
+            added, tokens = np.zeros((2, len(sent.value[1]))), 0  # noqa: B023
+            for group in groups_of(batches):
+                flat, squared, seen = trained_on(group, *sent.value)  # noqa: B023
+                added += np.stack([flat, squared]).astype(np.float64) * seen
+                tokens += seen
+            pieces = [x.tobytes() for x in np.array_split(added, PIECES, axis=1)] if tokens else []
+            cols = [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([tokens] * len(pieces), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["piece", "added", "tokens"])
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, np.float32) * float(n) for w, n in zip(rows["weights"], rows["tokens"])) / rows["tokens"].sum()
-            return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "weights": [total.astype(np.float32).tobytes()]})
+            added = sum(np.frombuffer(x) for x in rows["added"]) / rows["tokens"].sum()
+            return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "mean": [added.tobytes()]})
 
-        trained = docs.select(F.col(text_col).cast("string")).mapInArrow(part, "piece int, weights binary, tokens long")
-        found = trained.groupBy("piece").applyInPandas(mean, "piece int, weights binary").orderBy("piece").collect()
+        own = coded.filter(F.pmod("_group", F.lit(rounds)) == turn).select("_group", "_turn", "codes", "at", "h")
+        trained = own.repartition("_group").sortWithinPartitions("_group").mapInArrow(part, "piece int, added binary, tokens long")
+        found = trained.groupBy("piece").applyInPandas(mean, "piece int, mean binary").orderBy("piece").collect()
+        sent.destroy()
         if found:
-            net = WindowNetwork(np.concatenate([np.frombuffer(bytes(r.weights), np.float32) for r in found]))
+            flat, squares = np.concatenate([np.frombuffer(bytes(r["mean"])).reshape(2, -1) for r in found], axis=1).astype(np.float32)
+            net = WindowNetwork(flat.copy())
     return words, net
 
 
@@ -302,7 +377,7 @@ def pseudo_likelihood(docs: DataFrame, words: Words, net: WindowNetwork, id_col:
         own = WindowNetwork(flat)
         for batch in batches:
             done = 0
-            for around, target, sizes in stream((t.as_py() for t in batch.column(1)), own_words):
+            for around, target, sizes in stream(own_words.ids(t.as_py() or "") for t in batch.column(1)):
                 total = np.concatenate([[0.0], np.cumsum(own.scores(around, target))])
                 ends = np.cumsum(sizes)
                 sums = total[ends] - total[ends - sizes]
@@ -323,27 +398,28 @@ def word_likelihood(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id
     its own words only.  The defined cases are those of
     :func:`pseudo_likelihood`.
     """
-    groups = grouped(docs, id_col, text_col)
-    by_group = words_by_group(groups)
-    counts = word_counts(by_group)
-    words, net = train(docs, rounds, text_col, counts)
-    shares = word_shares(by_group, counts, words)
+    coded = coded_texts(docs, id_col, text_col)
+    counts = word_counts(coded)
+    words, net = train(docs, rounds, id_col, text_col, coded, counts)
     sent = docs.sparkSession.sparkContext.broadcast((words, net.flat))
 
-    def run(texts: pa.Table, own_shares: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         own_words, flat = sent.value
-        own = WindowNetwork(flat)
-        share = Shares(dict(zip(own_shares.column("h").to_pylist(), own_shares.column("share").to_pylist())))
+        at = own.column("at").to_numpy()
+        token, share = np.empty(len(at), np.int16), np.empty(len(at))
+        token[at], share[at] = own_words.tokens(own.column("h").to_numpy()), own.column("share").to_numpy()
+        network, codes = WindowNetwork(flat), texts.column("codes").to_pylist()
         sizes, sums = [], []
-        for around, target, some in stream((t.as_py() for t in texts.column("_text")), own_words):
-            total = np.concatenate([[0.0], np.cumsum(own.scores(around, target))])
+        for around, target, some in stream(decoded(codes, token)):
+            total = np.concatenate([[0.0], np.cumsum(network.scores(around, target))])
             ends = np.cumsum(some)
             sizes += some
             sums += (total[ends] - total[ends - some]).tolist()
-        sums = [s + sum(map(share.__getitem__, (t.as_py() or "").lower().split())) for s, t in zip(sums, texts.column("_text"))]
+        sums = [s + float(share[np.frombuffer(c, np.int32)].sum()) for s, c in zip(sums, codes)]
         means = [s / n if n else None for s, n in zip(sums, sizes)]
         return pa.table([texts.column("_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], [id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    together = groups.groupBy("_group").cogroup(shares.groupBy("_group"))
+    texts = coded.filter("codes is not null").select("_group", "_id", "codes")
+    together = texts.groupBy("_group").cogroup(word_shares(coded, counts, words).groupBy("_of"))
     return together.applyInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")

@@ -405,7 +405,7 @@ def test_pseudo_likelihood(spark, data):
         wide = np.concatenate([[lm_score.EDGE] * 2, ids, [lm_score.EDGE] * 2])
         total = sum(float(net.forward(np.array([[wide[k + 2 + o]] for o in lm_score.OFFSETS]), np.array([ids[k]]))[0][0]) for k in range(len(ids)))
         assert rows[r.doc_id].n_tokens == len(ids) and rows[r.doc_id].log_likelihood == pytest.approx(total, rel=1e-4)
-    frequent, counts, n = lm_score.frequent_words(docs)
+    frequent, counts, n = lm_score.frequent_words(lm_score.word_counts(lm_score.coded_texts(docs)))
     start = lm_score.WindowNetwork.started(counts, n)
     untrained = lm_score.pseudo_likelihood(docs, words, start).agg(F.sum("log_likelihood")).first()[0]
     assert sum(r.log_likelihood for r in rows.values() if r.doc_id >= 0) > untrained
@@ -446,3 +446,31 @@ def test_op1_scores_rest_words_by_their_counts(spark, data, monkeypatch):
     alone = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(docs, words, net).collect()}
     rare = {r.doc_id for r in docs.collect() if any(lm_score.word_hash(w) not in words.known for w in (r.text or "").lower().split())}
     assert rare and set(got) == set(alone) and all(got[i] < alone[i] for i in rare)
+
+
+def test_likelihood_of_the_rows_not_of_their_partitions(spark, data, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 20_000)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    scores = [{r.doc_id: r for r in lm_score.word_likelihood(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert scores[0].keys() == scores[1].keys()
+    for i, r in scores[0].items():
+        assert r.n_tokens == scores[1][i].n_tokens and r.log_likelihood == pytest.approx(scores[1][i].log_likelihood, rel=1e-5, abs=1e-3)
+
+
+def test_likelihood_of_an_empty_table_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, _group int")
+    assert lm_score.word_likelihood(empty).collect() == []
+    rows = spark.createDataFrame([(1, "a b c a", 5, 1, "x"), (2, None, 5, 1, "x")], "doc_id long, text string, _group int, at int, _id string")
+    got = {r.doc_id: r for r in lm_score.word_likelihood(rows).collect()}
+    assert got[1].n_tokens == 4 and got[1].log_likelihood < 0 and got[2].mean_log_likelihood is None
+
+
+def test_real_texts_score_above_their_words_in_another_order(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").filter("size(split(text, ' ')) >= 20")
+    words, net = lm_score.train(docs)
+    rng, rows = np.random.default_rng(3), docs.collect()
+    mixed = spark.createDataFrame([(r.doc_id, " ".join(rng.permutation(r.text.split()).tolist())) for r in rows], "doc_id long, text string")
+    real, other = ({r.doc_id: r.mean_log_likelihood for r in lm_score.pseudo_likelihood(d, words, net).collect()} for d in (docs, mixed))
+    gaps = np.array([real[i] - other[i] for i in real])
+    print("above", (gaps > 0).mean(), "gap", gaps.mean())
+    assert (gaps > 0).mean() >= 0.95
