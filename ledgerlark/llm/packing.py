@@ -109,17 +109,27 @@ class WordTokenizer(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+class TokenizerOnWorker:
+    """A tokenizer, built in each Python worker that uses it.
 
+    Sent as a broadcast value it serves all tasks of a worker, with its
+    remembered words; a worker drops it, as other broadcast values, with the
+    first task that doesn't use it, so later stages don't carry its memory.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.built = path, None
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each Python worker, so that tasks share its cache."""
-    import os
+    def __getstate__(self):
+        return {"path": self.path, "built": None}
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    def get(self) -> WordTokenizer:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if self.built is None:
+            self.built = WordTokenizer(self.path)
+        return self.built
 
 
 class Packer:
@@ -209,8 +219,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     come; an empty table gives no rows; other columns are not looked at.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(TokenizerOnWorker(tokenizer_path))  # a path
+
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, end = word_tokenizer(tokenizer_path), Rows(True), np.array([end_id], "<u4")
+        words, rows, end = sent.value.get(), Rows(True), np.array([end_id], "<u4")
         home = TaskContext.get().partitionId() << 32
         sequence, packer = home, Packer(0, window, slots)
         for batch in batches:
