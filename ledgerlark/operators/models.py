@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.trade import finite_or_zero
-from ledgerlark.operators import clustering, evaluate
+from ledgerlark.operators import clustering, evaluate, quantiles
 
 SEED = 42
 #: Buckets in which values are dealt anew.
@@ -221,6 +221,10 @@ def principal_components(df: DataFrame, features, k: int = 2) -> DataFrame:
     return out.withColumns({f"pc{i + 1}": F.col("_pc")[i] for i in range(k)}).drop("_pc", "features")
 
 
+# Shares of outliers that are tried, and the scaled score from which a trade is anomalous.
+CONTAMINATION, ANOMALY_FROM = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4), 0.1
+
+
 def path_norm(n) -> np.ndarray:
     """Mean path length of an unsuccessful search in a tree of n rows."""
     n = np.asarray(n, float)
@@ -287,6 +291,28 @@ def isolation_scores(df: DataFrame, forest: DataFrame, features, keep=("row_id",
     return df.select(*dict.fromkeys([*keep, *features])).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", prob double")
 
 
+def scaled_anomalies(scored: DataFrame, train_scored: DataFrame, threshold: float = ANOMALY_FROM) -> DataFrame:
+    """``scored`` with prob_scaled, prob by the range of the training rows' scores, and flag where it reaches ``threshold``."""
+    return evaluate.min_max(scored, train_scored, "prob").withColumn("flag", F.col("prob_scaled") >= threshold)
+
+
+def contamination_grid(train_scored: DataFrame, val_scored: DataFrame, grid=CONTAMINATION) -> DataFrame:
+    """M4: (contamination, offset, train_outliers, average_precision, chosen) for each share of outliers among the training rows.
+
+    The offset is the training score that this share exceeds.  It shifts all
+    scores alike and scaling by the training range takes the shift out again,
+    so one forest and one average precision on the validation rows serve the
+    grid; of equal ones the first is chosen.  No training scores give no rows.
+    """
+    spark = train_scored.sparkSession
+    offsets = quantiles.selected(train_scored, {"prob": F.col("prob")}, [1 - c for c in grid])["prob"]
+    ap = evaluate.average_precision(scaled_anomalies(val_scored, train_scored), "prob_scaled").first()
+    ap = ap[0] if ap else None
+    rows = [(c, o, ap, c == grid[0]) for c, o in zip(grid, offsets) if o is not None]
+    above = train_scored.agg(*[F.count_if(F.col("prob") > o).alias(f"n{k}") for k, (_, o, _, _) in enumerate(rows)]).first() if rows else ()
+    return spark.createDataFrame([(c, o, n, p, best) for (c, o, p, best), n in zip(rows, above)], "contamination double, offset double, train_outliers long, average_precision double, chosen boolean")
+
+
 def surrogate_importance(scored: DataFrame, features, column: str = "prob") -> DataFrame:
     """M5: importances of a random forest that learns whether a score is above 0.5, or above its median if all or none are."""
     med = evaluate.median_of(scored, column).first()[0]

@@ -284,6 +284,25 @@ def m04_isolation_forest(tables):
     return models.isolation_scores(test, models.isolation_trees(train, MODEL_FEATURES), MODEL_FEATURES)
 
 
+def anomalies(tables) -> list[DataFrame]:
+    """The scores of the training, validation and test rows by one forest, each written once."""
+    parts = splits(tables)
+    forest = written(models.isolation_trees(parts[0], MODEL_FEATURES), "forest")
+    return [written(models.isolation_scores(x, forest, MODEL_FEATURES), "anomalies") for x in parts]
+
+
+@book.add()
+def m04_p41_scaled_scores(tables):
+    train, _, test = anomalies(tables)
+    return models.scaled_anomalies(test, train)
+
+
+@book.add()
+def m04_contamination_grid(tables):
+    train, val, _ = anomalies(tables)
+    return models.contamination_grid(train, val)
+
+
 @book.add()
 def m05_surrogate_importance(tables):
     train, _, test = splits(tables)

@@ -81,6 +81,33 @@ def test_isolation_forest(spark, data):
     assert set(surrogate["feature"]) == set(q.MODEL_FEATURES) and surrogate["importance"].sum() == pytest.approx(1)
 
 
+def test_contamination_and_scaling_of_scores(spark):
+    """Against numpy, with ties, and validation scores outside the range of the training rows."""
+    rng = np.random.default_rng(4)
+    train = np.round(rng.uniform(0.3, 0.7, 501), 2)
+    val, y = np.round(rng.uniform(0.2, 0.8, 200), 2), rng.integers(0, 2, 200)
+    kept = spark.createDataFrame([(k, 0, float(p)) for k, p in enumerate(train)], "row_id long, final_label int, prob double")
+    other = spark.createDataFrame([(k, int(b), float(p)) for k, (p, b) in enumerate(zip(val, y))], kept.schema)
+    scaled = np.clip((val - train.min()) / (train.max() - train.min()), 0, 1)
+    got = {r.row_id: r for r in models.scaled_anomalies(other, kept).collect()}
+    for k, p in enumerate(scaled):
+        assert got[k].prob_scaled == pytest.approx(p) and got[k].flag == (got[k].prob_scaled >= 0.1)
+    ap = average_precision([got[k].prob_scaled for k in range(200)], y.tolist())
+    grid = models.contamination_grid(kept, other).collect()
+    assert [r.contamination for r in grid] == list(models.CONTAMINATION) and [r.chosen for r in grid] == [True] + [False] * 7
+    for r in grid:
+        assert r.offset == pytest.approx(-np.percentile(-train, 100 * r.contamination)) and r.average_precision == pytest.approx(ap, abs=2e-6)
+        assert r.train_outliers == (train > r.offset).sum()
+    assert models.contamination_grid(kept.limit(0), other).collect() == []
+    assert all(r.prob_scaled == 0 for r in models.scaled_anomalies(other, kept.filter("row_id = 0")).collect())
+
+
+def test_scaled_anomalies_of_the_trades(spark, data):
+    got = run(spark, data, "m04_p41_scaled_scores")
+    assert len(got) and got["prob_scaled"].between(0, 1).all() and got["prob_scaled"].nunique() > 5
+    assert (got["flag"] == (got["prob_scaled"] >= 0.1)).all()
+
+
 def lloyd(x, centres, iterations=clustering.MAX_ITERATIONS):
     """Plain Lloyd: centres and cost."""
     for _ in range(iterations):
