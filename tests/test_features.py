@@ -214,3 +214,21 @@ def test_history_over_stretches(spark):
         assert (r.insider_total_trades, pytest.approx(r.insider_avg_trade_value), r.insider_buy_count, r.insider_sell_count, r.consecutive_direction, r.days_since_last_trade) == want, (k, who)
         before.append((k, date, d, value, om))
     assert longest > 30
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_features_of_the_past_exchange_whole_rows_twice(spark):
+    rows = [(n, f"i{n % 3}", f"t{n % 2}", day(n * 7 % 400), 1 - n % 3, n % 4 > 0, 10.0 * n) for n in range(200)] + [(900, "i0", None, day(3), 1, True, 5.0), (901, "i1", "t1", None, -1, True, 7.0)]
+    own = trades(spark, rows)
+    assert exchanges(history.nearby_insiders(own)) == 1
+    assert exchanges(history.trailing_windows(own)) == 1
+    assert exchanges(history.with_history(own)) <= 5
+    near = {r.row_id: r.other_insiders_72h for r in history.nearby_insiders(own).collect()}
+    assert {k: v for k, v in near.items() if k != 901} == {r.row_id: r.other_insiders_72h for r in history.nearby_insiders_by_join(own).collect()} and near[901] == 0
+    past = {r.row_id: r for r in history.with_history(own).collect()}
+    alone = {r.row_id: r for r in history.recency_and_streak(own).collect()}
+    assert set(past) == set(range(200))
+    assert all((past[k].days_since_last_trade, past[k].consecutive_direction) == (alone[k].days_since_last_trade, alone[k].consecutive_direction) for k in past)
