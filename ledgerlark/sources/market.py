@@ -16,6 +16,8 @@ STALE_AFTER = 5
 ENFORCEMENT_WORDS = ("litigation", "charges", "charged", "settlement", "settled", "fraud", "insider trading", "enforcement")
 EARNINGS_FORMS = ("10-Q", "10-K", "10-Q/A", "10-K/A")
 SHORTEST_ALIAS = 3
+#: Tickers of an alias that go together, about.
+TICKERS_A_LIST = 1024
 
 
 def _typed(raw: DataFrame, schema: str) -> DataFrame:
@@ -176,8 +178,10 @@ def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text
 
     Texts become runs of up to ``most_words`` words (those of the longest
     alias), which meet aliases by equality, so the work grows with the texts
-    and not with texts times aliases.  Where ``most_words`` is given, longer
-    aliases are an error.
+    and not with texts times aliases.  An alias meets a text once, with lists
+    of its tickers; lists are dealt by text and opened there, so what many
+    tickers share is not exchanged for each of them.  Where ``most_words`` is
+    given, longer aliases are an error.
     """
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     most_words = most_words or longest
@@ -187,11 +191,16 @@ def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text
     n = F.size("w")
     runs = [F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most_words + 1)]  # noqa: B023
     grams = items.select(F.col(key), words.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias"))
-    by_alias = grams.join(aliases, "alias").groupBy(key, "ticker").agg(F.min("alias").alias("alias"))
+    sizes = aliases.groupBy("alias").agg(F.ceil(F.count("*") / TICKERS_A_LIST).alias("lists"))
+    dealt = aliases.join(sizes, "alias").withColumn("list", F.pmod(F.xxhash64("ticker"), "lists"))
+    lists = dealt.groupBy("alias", "list").agg(F.collect_set("ticker").alias("tickers")).drop("list")
+    by_alias = grams.join(lists, "alias").select(key, "alias", "tickers")
     upper = items.select(F.col(key), F.explode(F.array_distinct(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_]+", " "), " "))).alias("ticker"))
     by_ticker = upper.join(tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct(), "ticker", "left_semi")
-    both = by_alias.join(by_ticker.select(key, "ticker", F.lit(True).alias("named")), [key, "ticker"], "full_outer")
-    return both.select(key, "ticker", F.when(F.col("named"), F.concat(F.lit("ticker:"), "ticker")).otherwise(F.concat(F.lit("alias:"), "alias")).alias("matched_by"))
+    named = by_ticker.select(key, F.lit(None).cast("string").alias("alias"), F.array("ticker").alias("tickers"))
+    both = by_alias.unionByName(named).repartition(key).select(key, "alias", F.explode("tickers").alias("ticker"))
+    found = both.groupBy(key, "ticker").agg(F.min("alias").alias("alias"), F.max(F.col("alias").isNull()).alias("named"))
+    return found.select(key, "ticker", F.when(F.col("named"), F.concat(F.lit("ticker:"), "ticker")).otherwise(F.concat(F.lit("alias:"), "alias")).alias("matched_by"))
 
 
 def union_tables(spark: SparkSession, paths, schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small rows that pin the quirks of the feature and label operators."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,14 @@ def test_features_of_the_past_exchange_whole_rows_twice(spark):
     alone = {r.row_id: r for r in history.recency_and_streak(own).collect()}
     assert set(past) == set(range(200))
     assert all((past[k].days_since_last_trade, past[k].consecutive_direction) == (alone[k].days_since_last_trade, alone[k].consecutive_direction) for k in past)
+
+
+def test_tickers_of_a_shared_alias_are_opened_where_their_text_is(spark):
+    tickers = spark.range(3000).select(F.concat(F.lit("TK"), "id").alias("ticker"))
+    aliases = tickers.select("ticker", F.lit("acme corp").alias("alias")).unionByName(tickers.select("ticker", F.lower("ticker").alias("alias")))
+    items = spark.createDataFrame([(1, "Acme Corp and TK7"), (2, "nothing"), (3, None)], "item_id long, text string")
+    found = market.match_tickers(items, aliases, tickers)
+    got = {(r.item_id, r.ticker): r.matched_by for r in found.collect()}
+    assert len(got) == 3000 and got[1, "TK7"] == "ticker:TK7" and got[1, "TK8"] == "alias:acme corp"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(item_id#\w+, ticker#", plan)
