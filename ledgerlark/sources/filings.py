@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,18 @@ def accession_number(path: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
 
 
+def _between(text: Column, start: str, end: str) -> Column:
+    """What stands between the first ``start`` and the next ``end``; null if one of them is missing."""
+    parts = F.split(text, re.escape(start), 2)
+    after = F.get(parts, F.lit(1))
+    return F.when(F.contains(after, F.lit(end)), F.substring_index(after, end, 1))
+
+
 def ownership_document(path: Column, text: Column) -> Column:
     """The XML of a filing: an .xml file whole, else its first XML block or ownership document; null if there is none."""
-    wrapped = F.regexp_extract(text, r"(?s)<XML>\s*(.*?)\s*</XML>", 1)
-    bare = F.regexp_extract(text, r"(?s)<ownershipDocument.*?</ownershipDocument>", 0)
-    found = F.when(F.lower(path).endswith(".xml"), F.trim(text)).otherwise(F.when(wrapped != "", wrapped).otherwise(bare))
-    return F.when(found != "", found)
+    wrapped = F.nullif(F.btrim(_between(text, "<XML>", "</XML>"), F.lit(" \t\n\x0b\f\r")), F.lit(""))
+    bare = F.concat(F.lit("<ownershipDocument"), _between(text, "<ownershipDocument", "</ownershipDocument>"), F.lit("</ownershipDocument>"))
+    return F.when(F.lower(path).endswith(".xml"), F.nullif(F.trim(text), F.lit(""))).otherwise(F.coalesce(wrapped, bare))
 
 
 def _true(flag: Column) -> Column:
@@ -72,7 +80,9 @@ def parse_filings(files: DataFrame, today=None) -> DataFrame:
 
 
 def _read(files: DataFrame) -> DataFrame:
-    return files.withColumn("d", F.from_xml(ownership_document(F.col("path"), F.col("text")), SCHEMA, {"mode": "PERMISSIVE"}))
+    # The document comes out of a list, as a filter on a plain column would parse it again.
+    document = F.from_xml(ownership_document(F.col("path"), F.col("text")), SCHEMA, {"mode": "PERMISSIVE"})
+    return files.select("*", F.explode_outer(F.array(document)).alias("d"))
 
 
 def unparsed(files: DataFrame) -> DataFrame:
@@ -85,24 +95,24 @@ def transactions(filings: DataFrame) -> DataFrame:
     base = [c for c in filings.columns if not c.startswith("_")]
     number = lambda c: t.lenient_double(F.col(c))
 
-    def rows(column: str, derivative: bool) -> DataFrame:
-        x = filings.select(*base, F.explode(column).alias("x"))
-        shares, price = number("x.transactionAmounts.transactionShares.value"), number("x.transactionAmounts.transactionPricePerShare.value")
-        strike, code = number("x.conversionOrExercisePrice.value"), F.col("x.transactionCoding.transactionCode")
-        common = [
-            F.col("x.securityTitle.value").alias("security_title"), t.lenient_date(F.col("x.transactionDate.value")).alias("transaction_date"), code.alias("transaction_code"), shares.alias("shares"),
-            price.alias("price_per_share"), t.total_value(shares, t.derivative_price(price, strike) if derivative else price).alias("total_value"),
-            number("x.postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("shares_owned_after"), F.lit(derivative).alias("is_derivative"),
-        ]
-        if derivative:
-            own = [F.lit(False).alias("is_open_market"), strike.alias("conversion_price"), t.lenient_date(F.col("x.exerciseDate.value")).alias("exercise_date"),
-                   t.lenient_date(F.col("x.expirationDate.value")).alias("expiration_date"), number("x.underlyingSecurity.underlyingSecurityShares.value").alias("underlying_shares")]
-        else:
-            own = [F.coalesce(code.isin(*t.OPEN_MARKET), F.lit(False)).alias("is_open_market"), F.col("x.transactionAmounts.transactionAcquiredDisposedCode.value").alias("acquired_disposed"),
-                   F.col("x.ownershipNature.directOrIndirectOwnership.value").alias("direct_indirect")]
-        return x.select(*base, *common, *own)
-
-    return rows("_plain", False).unionByName(rows("_derivative", True), allowMissingColumns=True)
+    told = lambda c, derivative: F.transform(c, lambda x: F.struct(F.lit(derivative).alias("derivative"), x.alias("x")))
+    # Both kinds are opened together, so that a file is read once.
+    rows = filings.select(*base, F.explode_outer(F.concat(told("_plain", False), told("_derivative", True))).alias("t")).filter("t is not null").select(*base, "t.*")
+    derivative = F.col("derivative")
+    shares, price = number("x.transactionAmounts.transactionShares.value"), number("x.transactionAmounts.transactionPricePerShare.value")
+    strike, code = number("x.conversionOrExercisePrice.value"), F.col("x.transactionCoding.transactionCode")
+    plain_only = {"acquired_disposed": F.col("x.transactionAmounts.transactionAcquiredDisposedCode.value"), "direct_indirect": F.col("x.ownershipNature.directOrIndirectOwnership.value")}
+    derivative_only = {
+        "conversion_price": strike, "exercise_date": t.lenient_date(F.col("x.exerciseDate.value")), "expiration_date": t.lenient_date(F.col("x.expirationDate.value")),
+        "underlying_shares": number("x.underlyingSecurity.underlyingSecurityShares.value"),
+    }
+    return rows.select(
+        *base, F.col("x.securityTitle.value").alias("security_title"), t.lenient_date(F.col("x.transactionDate.value")).alias("transaction_date"), code.alias("transaction_code"), shares.alias("shares"),
+        price.alias("price_per_share"), F.when(derivative, t.total_value(shares, t.derivative_price(price, strike))).otherwise(t.total_value(shares, price)).alias("total_value"),
+        number("x.postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("shares_owned_after"), derivative.alias("is_derivative"),
+        (~derivative & F.coalesce(code.isin(*t.OPEN_MARKET), F.lit(False))).alias("is_open_market"),
+        *[F.when(~derivative, v).alias(c) for c, v in plain_only.items()], *[F.when(derivative, v).alias(c) for c, v in derivative_only.items()],
+    )
 
 
 def parse_to_trades(files: DataFrame, today=None) -> DataFrame:

@@ -33,6 +33,17 @@ def test_filings_from_files(spark, tmp_path):
     assert got == [("P", 100.0, 250.0, dt.date(2020, 3, 4)), ("S", 3.0, 12.0, dt.date(2020, 3, 4))]
 
 
+def test_a_filing_is_parsed_once(spark):
+    option = filing().replace("nonDerivative", "derivative").replace("<transactionAmounts>", "<conversionOrExercisePrice><value>2</value></conversionOrExercisePrice><transactionAmounts>")
+    texts = {"a.txt": f"<XML> \n{filing()}\n</XML> <XML>x</XML>", "b.txt": f"text {option} text", "c.txt": f"<XML>{filing()}", "d.txt": "<XML>\n</XML>" + filing("S"), "e.txt": "</XML><XML>", "f.xml": filing("F"), "g.txt": None, "h.txt": ""}
+    own = spark.createDataFrame(list(texts.items()), "path string, text string").select("path", F.concat("text", F.lit("")).alias("text"))
+    found = filings.parse_to_trades(own)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    got = sorted((r.accession_number, r.transaction_code, r.is_derivative, r.is_open_market, r.total_value, r.conversion_price) for r in found.collect())
+    assert got == [("a", "P", False, True, 250.0, None), ("b", "P", True, False, 250.0, 2.0), ("c", "P", False, True, 250.0, None), ("d", "S", False, True, 250.0, None), ("f", "F", False, False, 250.0, None)]
+    assert sorted(r.path for r in filings.unparsed(own).collect()) == ["e.txt", "g.txt", "h.txt"]
+
+
 def test_typed_and_optional_files(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,u\n2,v\n")
     assert [tuple(r) for r in market.read_typed(spark, str(tmp_path / "x.csv"), "a int, b string", ("a",)).orderBy("a").collect()] == [(1, "u"), (2, "v")]
