@@ -235,6 +235,31 @@ def test_features_of_the_past_exchange_whole_rows_twice(spark):
     assert all((past[k].days_since_last_trade, past[k].consecutive_direction) == (alone[k].days_since_last_trade, alone[k].consecutive_direction) for k in past)
 
 
+def carried(df):
+    """Columns of the rows that each exchange by hash takes."""
+    found = re.findall(r"Exchange hashpartitioning\((.*?)\).*?\n[^\n]*?Project \[(.*?)\]\n", df._jdf.queryExecution().executedPlan().toString())
+    return [columns for _, columns in found]
+
+
+def test_exchanges_carry_no_summands(spark):
+    rows = [(n, f"i{n % 3}", f"t{n % 2}", day(n * 7 % 400), 1 - n % 3, n % 4 > 0, 10.0 * n) for n in range(50)]
+    own = trades(spark, rows)
+    for df in (history.nearby_insiders(own), history.trailing_windows(own)):
+        assert carried(df) and not any("_w" in columns for columns in carried(df))
+
+
+def test_model_matrix_is_the_feature_matrix_of_the_wanted_rows(spark, data):
+    from ledgerlark.plans.tables import Tables
+
+    own = Tables(spark, data).labelled
+    columns = ["row_id", "final_label", *history.MODEL_FEATURES]
+    told = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+    made = history.model_matrix(own, history.MODEL_FEATURES, "row_id", "final_label", wanted="final_label is not null")
+    got = told(made)
+    assert got == told(history.feature_matrix(own).filter("final_label is not null")) and 0 < len(got) < own.count()
+    assert not any("footnote_text" in columns for columns in carried(made)[-2:])
+
+
 def test_tickers_of_a_shared_alias_are_opened_where_their_text_is(spark):
     tickers = spark.range(3000).select(F.concat(F.lit("TK"), "id").alias("ticker"))
     aliases = tickers.select("ticker", F.lit("acme corp").alias("alias")).unionByName(tickers.select("ticker", F.lower("ticker").alias("alias")))
