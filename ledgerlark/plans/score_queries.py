@@ -10,7 +10,7 @@ from ledgerlark.operators import evaluate, history, labels, models
 from ledgerlark.plans.feature_queries import TRADE_SQL
 from ledgerlark.plans.label_queries import labeled
 from ledgerlark.plans.tables import Book, rounded
-from ledgerlark.sources.shared import scratch
+from ledgerlark.sources.shared import written
 
 book = Book()
 
@@ -195,8 +195,13 @@ BASKET = f"""bf AS (SELECT s.final_label, t.*, {TRADE_SQL['pct_position_traded']
       CASE WHEN insider_role IN ('CEO', 'CFO', 'COO') OR contains(lower(coalesce(officer_title, '')), 'president') THEN 'senior_insider' END, CASE WHEN lv > m THEN 'large_dollar' END, CASE WHEN lag > 2 THEN 'late_filing' END, CASE WHEN final_label = 1 THEN 'opportunistic' END], lambda z: z IS NOT NULL) AS items FROM bf, md)"""
 
 
+BASKET_COLUMNS = ("row_id", "final_label", "pct_position_traded", "txn_month", "trade_direction", "role_seniority", "log_total_value", "days_to_filing")
+
+
 def basket_table(tables) -> DataFrame:
+    """The baskets of labelled trades; the trades are joined and written once, for their median, the rules and the scores."""
     own = t.add_role_features(t.add_trade_features(tables.trades)).join(tables.scored.select("row_id", "final_label"), "row_id")
+    own = written(own.select(*BASKET_COLUMNS), "baskets")
     return evaluate.baskets(own, evaluate.median_of(own, "log_total_value"))
 
 
@@ -250,13 +255,6 @@ def model_table(tables) -> DataFrame:
     return written(models.numeric(own, MODEL_FEATURES, *kept), "model_table")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once in the shared folder, for queries that read it many times."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 MODEL_FEATURES = history.MODEL_FEATURES
 
 
