@@ -269,3 +269,29 @@ def test_tickers_of_a_shared_alias_are_opened_where_their_text_is(spark):
     assert len(got) == 3000 and got[1, "TK7"] == "ticker:TK7" and got[1, "TK8"] == "alias:acme corp"
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(item_id#\w+, ticker#", plan)
+
+
+def test_reports_and_cleaning_exchange_rows_once(spark):
+    from ledgerlark.operators import profile
+
+    nan = float("nan")
+    made = [(f"t{n % 30}", "P" if n % 2 else "S", 1.0 + n % 20, 2.0, nan, None, -0.0 if n % 2 else 0.0, f"only{n}", "one" if n % 3 else None) for n in range(60)]
+    own = spark.createDataFrame(made * 2, "ticker string, transaction_code string, shares double, price_per_share double, odd double, none string, zero double, single string, partly string")
+    report = profile.quality_report(own, day(0))
+    assert max(len(re.findall(r"\[", x)) for x in re.findall(r"Expand \[(.*?)\], \[", report._jdf.queryExecution().optimizedPlan().toString())) <= sum(k == "string" for _, k in own.dtypes) + 1
+    assert "SortAggregate" not in report._jdf.queryExecution().executedPlan().toString()
+    row, exact = report.first(), {r.name: r.distinct_values for r in profile.column_profile(own).collect()}
+    assert row.constant == sorted(c for c, n in exact.items() if n == 1) == ["odd", "partly", "price_per_share", "zero"]
+    assert row.high_cardinality == [] and profile.quality_report(own.dropDuplicates(), day(0)).first().high_cardinality == ["single"]
+    assert profile.drop_constant(own).columns == ["ticker", "transaction_code", "shares", "none", "single"]
+    cleaned = profile.clean(own)
+    assert cleaned.count() == 60 and "Aggregate" not in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.shares for r in cleaned.collect()} == {1.0 + n for n in range(20)}
+
+
+def test_baskets_join_their_trades_once(spark, data):
+    from ledgerlark.plans import score_queries
+    from ledgerlark.plans.tables import Tables
+
+    plan = score_queries.basket_table(Tables(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
