@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.sources.shared import remove, scratch, stored, swap
+from ledgerlark.sources.shared import stored, swap, written
 
 # Transaction codes (code, description, category, open market, buy-equivalent, derivative).
 TRANSACTION_TYPES = (
@@ -99,33 +100,49 @@ def merge_dimension(known: DataFrame, new: DataFrame, key: str, keep=()) -> Data
     return joined.select(*[pick(c).alias(c) for c in new.columns])
 
 
-def facts(trades: DataFrame, company: DataFrame, insider: DataFrame, time: DataFrame, kinds: DataFrame) -> DataFrame:
+def facts(trades: DataFrame, company: DataFrame | None, insider: DataFrame | None, time: DataFrame, kinds: DataFrame) -> DataFrame:
     """Trades with the keys of their dimensions.
 
     The date is the transaction's, else the filing's; a trade whose date the
-    calendar lacks goes, one with an unknown code stays without type.
+    calendar lacks goes, one with an unknown code stays without type.  Keys of
+    companies and insiders are hashes, so a dimension is joined only to leave
+    out trades that it lacks; None stands for one that has all of them, and
+    then no rows are exchanged.
     """
     who = F.coalesce("insider_cik", F.concat(F.lit("name:"), F.substring(F.md5("insider_name"), 1, 20)))
     dated = trades.withColumns({"_date": F.coalesce("transaction_date", "filing_date"), "_who": who, "_code": F.upper(F.trim("transaction_code"))})
-    return (
+    dated = (
         dated.join(F.broadcast(time.select(F.col("date").alias("_date"), "time_key")), "_date")  # one row a day
         .join(F.broadcast(kinds.select(F.col("code").alias("_code"), F.col("type_key").alias("transaction_type_key"))), "_code", "left")  # 20 rows
-        .join(company.select(F.col("cik").alias("issuer_cik"), "company_key"), "issuer_cik")
-        .join(insider.select(F.col("cik").alias("_who"), "insider_key"), "_who")
-        .select(F.col("row_id").alias("trade_id"), "accession_number", "company_key", "insider_key", "time_key", "transaction_type_key", F.col("_date").alias("transaction_date"),
-                "filing_date", F.col("shares").alias("shares_traded"), "price_per_share", "total_value", "shares_owned_after", "has_10b5_1_plan", "is_derivative",
-                *[(F.col(c) if c in trades.columns else F.lit(None)).cast(kind).alias(c) for c, kind in FACT_DETAILS.items()])
+    )
+    if company is None:
+        dated = dated.filter("issuer_cik is not null").withColumn("company_key", surrogate(F.lit("company"), "issuer_cik"))
+    else:
+        dated = dated.join(company.select(F.col("cik").alias("issuer_cik"), "company_key"), "issuer_cik")
+    if insider is None:
+        dated = dated.filter("_who is not null").withColumn("insider_key", surrogate(F.lit("insider"), "_who"))
+    else:
+        dated = dated.join(insider.select(F.col("cik").alias("_who"), "insider_key"), "_who")
+    return dated.select(
+        F.col("row_id").alias("trade_id"), "accession_number", "company_key", "insider_key", "time_key", "transaction_type_key", F.col("_date").alias("transaction_date"),
+        "filing_date", F.col("shares").alias("shares_traded"), "price_per_share", "total_value", "shares_owned_after", "has_10b5_1_plan", "is_derivative",
+        *[(F.col(c) if c in trades.columns else F.lit(None)).cast(kind).alias(c) for c, kind in FACT_DETAILS.items()],
     )
 
 
-def insert_new(stored: DataFrame, incoming: DataFrame, key=FACT_KEY) -> DataFrame:
-    """Rows of ``incoming`` to insert.  Equal keys are inserted once and not if stored; a key with a null is like no other."""
-    whole = F.lit(True)
-    for c in key:
-        whole = whole & F.col(c).isNotNull()
-    w = Window.partitionBy(*key).orderBy("trade_id")
-    keyed = incoming.filter(whole).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return keyed.join(stored.select(*key), list(key), "left_anti").select(*incoming.columns).unionByName(incoming.filter(~whole))
+def insert_new(stored: DataFrame, incoming: DataFrame, key=FACT_KEY, dealt_by=()) -> DataFrame:
+    """Rows of ``incoming`` to insert.  Equal keys are inserted once and not if stored; a key with a null is like no other.
+
+    Stored keys and incoming rows are one union, exchanged once: by the key,
+    or by the columns ``dealt_by``, which both have and which follow from it.
+    """
+    by = [*dict.fromkeys([*dealt_by, *key])]
+    both = incoming.withColumn("_new", F.lit(True)).unionByName(stored.select(*by).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    if dealt_by:
+        both = both.repartition(*dealt_by)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("_new", "trade_id")) == 1
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    return both.withColumn("_first", first).filter(F.col("_new") & (F.col("_first") | ~whole)).select(*incoming.columns)
 
 
 def merge_facts(facts_: DataFrame, path: str, years=FACT_YEARS, parts: int = PARTS_A_YEAR) -> DataFrame:
@@ -133,33 +150,35 @@ def merge_facts(facts_: DataFrame, path: str, years=FACT_YEARS, parts: int = PAR
 
     A load adds the rows whose keys are not stored, so loads of different rows
     keep all and a load that runs again adds none; one that was cut off is run
-    again.  Only years of the load are read.  The new rows are staged before
-    any is inserted, and a year is written by ``parts`` tasks.
+    again.  Only years of the load are read.  ``facts_`` is read twice, once
+    for its dates alone; rows are exchanged once, to the ``parts`` tasks that
+    write a year.
     """
-    spark, stage = facts_.sparkSession, scratch(facts_.sparkSession, "facts")
+    spark = facts_.sparkSession
     dated = facts_.withColumn("filing_year", F.year("filing_date")).filter(F.col("filing_year").between(*years))
-    known = stored(spark, path)
-    if known is not None:
-        dated.write.parquet(f"{stage}/load")
-        dated = spark.read.schema(dated.schema).parquet(f"{stage}/load")
-        wanted = [r[0] for r in dated.select("filing_year").distinct().collect()]  # one a year
-        known = known.filter(F.col("filing_year").isin(wanted))
-    new = insert_new(spark.createDataFrame([], dated.schema) if known is None else known, dated)
-    new.write.parquet(f"{stage}/new")
-    new = spark.read.schema(dated.schema).parquet(f"{stage}/new")
-    dealt = new.repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts)))
-    dealt.write.mode("append").partitionBy("filing_year").parquet(path)
-    remove(spark, f"{stage}/load")
-    return new
+    known, there = stored(spark, path), set()
+    if known is None:
+        known = spark.createDataFrame([], dated.schema)
+    else:
+        there = set(known.inputFiles())
+        known = known.filter(F.col("filing_year").isin([r[0] for r in dated.select("filing_year").distinct().collect()]))  # one a year
+    placed = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(*FACT_KEY), F.lit(parts)))
+    new = insert_new(placed(known), placed(dated), dealt_by=("filing_year", "_part")).drop("_part")
+    new.write.mode("append").partitionBy("filing_year").parquet(path)
+    added = [f for f in spark.read.schema(dated.schema).parquet(path).inputFiles() if f not in there]  # ``parts`` a year
+    return spark.read.schema(dated.schema).option("basePath", path).parquet(*added) if added else spark.createDataFrame([], dated.schema)
 
 
 def compact_facts(spark: SparkSession, path: str, parts: int = PARTS_A_YEAR) -> None:
-    """Rewrite the facts in ``parts`` files a year, after many small loads."""
-    swap(stored(spark, path).repartition("filing_year", F.pmod(F.xxhash64("trade_id"), F.lit(parts))), path, ("filing_year",))
+    """Rewrite the facts in at most ``parts`` files a year, after many small loads; the files of a year are read together, so no rows are exchanged."""
+    facts_ = stored(spark, path)
+    years = [r[0] for r in facts_.select("filing_year").distinct().collect()]  # one a year
+    if years:
+        swap(reduce(DataFrame.unionByName, [facts_.filter(F.col("filing_year") == y).coalesce(parts) for y in years]), path, ("filing_year",))
 
 
 def load_warehouse(trades: DataFrame, folder: str, first_day, last_day, years=FACT_YEARS) -> None:
-    """Add ``trades`` to the warehouse in ``folder``, which starts empty.
+    """Add ``trades``, which are read several times, to the warehouse in ``folder``, which starts empty.
 
     Dimensions are merged by key, facts inserted unless known; statistics and
     summaries are made anew for the companies, insiders and days that the new
@@ -176,7 +195,7 @@ def load_warehouse(trades: DataFrame, folder: str, first_day, last_day, years=FA
     insiders = got("dim_insider")
     named = dim_insider(trades, insiders)
     kinds, time, company = got("dim_transaction_type"), got("dim_time"), got("dim_company")
-    new = merge_facts(facts(trades, company, named, time, kinds), at("fact_trades"), years)
+    new = merge_facts(facts(trades, None, None, time, kinds), at("fact_trades"), years)
     fact = got("fact_trades")
     touched = lambda *by: fact.join(new.select(*by).distinct(), list(by), "left_semi")
     if insiders is not None:  # statistics of before go on where a load has none
@@ -186,7 +205,7 @@ def load_warehouse(trades: DataFrame, folder: str, first_day, last_day, years=FA
     active = company_activity(company, touched("company_key"), kinds)
     before = got("company_activity")
     if before is not None:
-        seen = active.filter("total_trades > 0").unionByName(active.filter("total_trades = 0").join(before.select("company_key"), "company_key", "left_anti"))
+        seen = active.join(before.select("company_key", F.lit(True).alias("_old")), "company_key", "left").filter("total_trades > 0 or _old is null").drop("_old")
         active = upsert(before, seen, ["company_key"]).drop("ticker").join(company.select("company_key", "ticker"), "company_key").select(active.columns)
     swap(active, at("company_activity"))
     daily, before = daily_summary(touched("company_key", "transaction_date"), kinds), got("daily_summary")

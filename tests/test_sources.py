@@ -135,3 +135,22 @@ def test_swap_is_undone_where_it_was_cut_off(spark, tmp_path):
         assert shared.stored(spark, path).count() == n
     os.rename(path, f"{path}.old")
     assert shared.stored(spark, path).count() == 5
+
+
+def test_facts_and_their_insertion_exchange_rows_once(spark, data):
+    """Keys of dimensions that hold all trades are not joined; stored keys and incoming rows are exchanged as one union."""
+    from ledgerlark.plans.tables import Tables
+    from ledgerlark.plans.warehouse_queries import star
+
+    tables = Tables(spark, data)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    fact, company, insider, time, kinds = star(tables)
+    assert exchanges(fact) == exchanges(tables.trades)
+    joined = warehouse.facts(tables.trades, company, insider, time, kinds)
+    assert fact.exceptAll(joined).count() == joined.exceptAll(fact).count() == 0
+    few = joined.limit(5).collect()
+    assert [r.trade_id for r in warehouse.facts(tables.trades, company.filter(F.col("company_key") == few[0].company_key), None, time, kinds).filter(F.col("company_key") != few[0].company_key).collect()] == []
+    rows = fact_rows(spark, [(1, 1, 1, 2020, 5, 1.0), (2, 1, 1, 2020, 5, 1.0), (3, 2, 1, 2020, 5, None), (4, 2, 1, 2020, 5, None), (5, 3, 1, 2020, 5, 0.0)])
+    stored = fact_rows(spark, [(9, 3, 1, 2020, 5, -0.0), (8, 2, 1, 2020, 5, None)])
+    new = warehouse.insert_new(stored, rows)
+    assert exchanges(new) == 1 and sorted(r.trade_id for r in new.collect()) == [1, 3, 4]
