@@ -44,9 +44,15 @@ def as_of_all(left: DataFrame, key: str, date: str, series: Sequence[Series]) ->
     asked = left.filter(F.col(key).isNotNull() & F.col(date).isNotNull()).select(F.col(key).alias("_key"), F.col(date).alias("_date")).distinct()
     points = F.explode(F.array(*[F.struct((F.unix_date("_date") + a).alias("_d"), F.lit(a).alias("_ahead")) for a in aheads]))
     both = asked.select("_key", "_date", points.alias("p")).select("_key", "_date", "p.*", F.lit(1).alias("_rank"))
+    # Series of the same values are one table of marks.
+    sources = {}
     for k, s in enumerate(series):
-        marks = s.right.select(F.col(key).alias("_key"), F.unix_date(s.date).alias("_d"), F.col(s.value).alias(f"_v{k}"), F.lit(0).alias("_rank"))
-        both = both.unionByName(marks.filter(F.col("_key").isNotNull() & F.col("_d").isNotNull() & F.col(f"_v{k}").isNotNull()), allowMissingColumns=True)
+        sources.setdefault((id(s.right), s.date, s.value), []).append((k, s))
+    for same in sources.values():
+        s = same[0][1]
+        marks = s.right.select(F.col(key).alias("_key"), F.unix_date(s.date).alias("_d"), *[F.col(s.value).alias(f"_v{k}") for k, _ in same], F.lit(0).alias("_rank"))
+        there = F.col("_key").isNotNull() & F.col("_d").isNotNull() & F.col(f"_v{same[0][0]}").isNotNull()
+        both = both.unionByName(marks.filter(there), allowMissingColumns=True)
     both = both.withColumn("_s", stretch)
     ends = both.groupBy("_key", "_s").agg(*[(F.min_by if s.forward else F.max_by)(f"_v{k}", F.when(F.col(f"_v{k}").isNotNull(), F.col("_d"))).alias(f"_e{k}") for k, s in enumerate(series)])
     there = Window.partitionBy("_key")
@@ -86,7 +92,8 @@ def _as_of_series(left: DataFrame, date: str, right: DataFrame, right_date: str,
     known = known.withColumn("_step", F.coalesce(step, F.col("_on")))
     days = known.withColumn("_day", F.explode(F.sequence("_step", "_on") if forward else F.sequence("_on", "_step")))
     ends = known.agg(F.max(F.struct("_on", name)).alias("l"), F.min(F.struct("_on", name)).alias("f"))
-    joined = left.join(days.select("_day", F.col(name).alias("_v")), left[date] == F.col("_day"), "left").crossJoin(F.broadcast(ends))
+    # One row a day.
+    joined = left.join(F.broadcast(days.select("_day", F.col(name).alias("_v"))), left[date] == F.col("_day"), "left").crossJoin(F.broadcast(ends))
     edge = F.when(F.col(date) < F.col("f._on"), F.col(f"f.{name}")) if forward else F.when(F.col(date) > F.col("l._on"), F.col(f"l.{name}"))
     return joined.withColumn(name, F.coalesce("_v", edge)).drop("_day", "_v", "l", "f")
 

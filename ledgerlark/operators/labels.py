@@ -46,14 +46,13 @@ def add_price_labels(trades: DataFrame, prices: DataFrame, benchmark: DataFrame,
 def _near_trades(trades: DataFrame, series: list[asof.Series], benchmark: DataFrame, horizon: int) -> DataFrame:
     """``trades`` with the series and the benchmark on the day (_b0) and at the horizon (_b1), all looked up by ticker and day and joined once."""
     found = asof.as_of_all(trades, "ticker", "transaction_date", series)
-    found = asof.as_of(found, "transaction_date", benchmark, None, "date", "close", "_b0")
-    found = asof.as_of(found.withColumn("_target", F.date_add("transaction_date", horizon)), "_target", benchmark, None, "date", "close", "_b1", forward=True)
     names = [*(s.name for s in series), "_b0", "_b1"]
     # A day of the benchmark is known without a ticker.
-    loose = trades.filter("ticker is null").select("transaction_date").distinct()
-    loose = asof.as_of(loose, "transaction_date", benchmark, None, "date", "close", "_b0").withColumn("_target", F.date_add("transaction_date", horizon))
-    loose = asof.as_of(loose, "_target", benchmark, None, "date", "close", "_b1", forward=True).withColumn("ticker", F.lit(None).cast("string"))
-    found = found.unionByName(loose, allowMissingColumns=True).select(F.col("ticker").alias("_t"), F.col("transaction_date").alias("_on"), *names)
+    loose = trades.filter("ticker is null").select(F.lit(None).cast("string").alias("ticker"), "transaction_date").distinct()
+    found = found.unionByName(loose, allowMissingColumns=True)
+    found = asof.as_of(found, "transaction_date", benchmark, None, "date", "close", "_b0")
+    found = asof.as_of(found.withColumn("_target", F.date_add("transaction_date", horizon)), "_target", benchmark, None, "date", "close", "_b1", forward=True)
+    found = found.select(F.col("ticker").alias("_t"), F.col("transaction_date").alias("_on"), *names)
     same = F.col("ticker").eqNullSafe(F.col("_t")) & (F.col("transaction_date") == F.col("_on"))
     return trades.join(found, same, "left").select(*trades.columns, *names)
 

@@ -8,6 +8,7 @@ from ledgerlark.functions import trade as t
 from ledgerlark.operators import asof, labels
 from ledgerlark.plans.feature_queries import WIDE
 from ledgerlark.plans.tables import Book, rounded
+from ledgerlark.sources.shared import written
 
 book = Book()
 
@@ -38,9 +39,14 @@ LABELED = f"{PLANNED}, {RETURNS.replace('FROM trades r', 'FROM tp r')}, {EVENTS.
 LABEL_COLUMNS = ("price_signal", "earnings_proximity_flag", "enforcement_followup_flag", "label_source_count", "cohen_label", "plan_override", "final_label", "informed_label", "routine_label", "label_name", "label_confidence")
 
 
+#: What labels are made of.
+LABELLED_BY = ("row_id", "ticker", "insider_cik", "transaction_date", "transaction_code", "has_plan", "footnote_has_plan")
+
+
 def labeled(tables):
-    trades = t.add_text_features(tables.trades)
-    return labels.build_labels(trades, tables.daily_prices, tables.benchmark_prices, tables.earnings, tables.enforcement)
+    """Labels of all trades.  What they are made of is written once, as spans, days, calendars and series are read several times."""
+    trades = t.add_text_features(tables.trades).select(*LABELLED_BY)
+    return labels.build_labels(*[written(x, "labelled_by") for x in (trades, tables.daily_prices, tables.benchmark_prices, tables.earnings, tables.enforcement)])
 
 
 @book.add(f"{CLOSES} SELECT row_id, round(txn_close, 8) AS txn_close, round(future_close, 8) AS future_close FROM c1")

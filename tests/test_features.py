@@ -295,3 +295,13 @@ def test_baskets_join_their_trades_once(spark, data):
 
     plan = score_queries.basket_table(Tables(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_labels_read_each_series_once(spark, data):
+    """Trades are joined with their orders once, and days of the benchmark are not exchanged with rows."""
+    from ledgerlark.plans import label_queries
+    from ledgerlark.plans.tables import Tables
+
+    made = label_queries.labeled(Tables(spark, data))._jdf.queryExecution()
+    assert "lineitem" not in made.optimizedPlan().toString() and "l_orderkey" not in made.optimizedPlan().toString()
+    assert "hashpartitioning(_day" not in made.executedPlan().toString()
