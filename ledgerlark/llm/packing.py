@@ -20,14 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import rows_at_once, settle
 
 WINDOW = 4096
 OPEN_WINDOWS = 32
 #: Rows of left-over pieces that one task of the second pass takes.
 LEFT_OVER_ROWS = 20_000
-#: Cached words of a Python worker; the cache starts anew beyond this.
-CACHED_WORDS = 1_000_000
+#: Words that a Python worker met last and, beyond this, as many that it met before them are remembered, about 330 bytes each.
+CACHED_WORDS = 200_000
+#: Texts that a task hands to Python at a time.
+TEXTS_AT_ONCE = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -62,7 +64,7 @@ class WordTokenizer(dict):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.earlier = Tokenizer.from_file(path), {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, byte_of = spec["model"], _byte_of()
@@ -87,7 +89,11 @@ class WordTokenizer(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.earlier = dict(self)
             self.clear()
+        if (known := self.earlier.get(word)) is not None:
+            self[word] = known
+            return known
         plain = unicodedata.normalize("NFC", word).lower()
         if len(word) > LONGEST_PLAIN or "<|" in word or max(plain, default="") > PLAIN_UPTO:
             ids = self.whole(word)
@@ -240,19 +246,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = (1 << 62) + (TaskContext.get().partitionId() << 32)
         packer, rows = Packer(0, window, slots), Rows(False)
-        for batch in batches:
-            for r in batch.to_pylist():
-                for pieces in packer.place(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]):
-                    rows.add(pieces, sequence)
-                    sequence += 1
-                yield from rows.batches(4096)
+        for r in (r for batch in batches for k in range(0, len(batch), TEXTS_AT_ONCE) for r in batch.slice(k, TEXTS_AT_ONCE).to_pylist()):
+            for pieces in packer.place(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]):
+                rows.add(pieces, sequence)
+                sequence += 1
+            yield from rows.batches(4096)
         for pieces in powers([p for x in packer.rest() for p in x], window):
             rows.add(pieces, sequence)
             sequence += 1
         yield from rows.batches()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = settle(narrow.mapInArrow(online, f"{PIECES}, ids binary"), "packed")
+    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        first = settle(narrow.mapInArrow(online, f"{PIECES}, ids binary"), "packed")
     left = first.filter("ids is not null")
     tasks = -(-left.count() // LEFT_OVER_ROWS) or 1
     again = (

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +475,16 @@ def test_real_texts_score_above_their_words_in_another_order(spark, data):
     gaps = np.array([real[i] - other[i] for i in real])
     print("above", (gaps > 0).mean(), "gap", gaps.mean())
     assert (gaps > 0).mean() >= 0.95
+
+
+def test_packing_hands_few_texts_to_python_and_forgets_old_words(spark, monkeypatch):
+    """Texts come in small batches, and words beyond the bound go in two generations with the same ids."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with packing.rows_at_once(spark, 3):
+        sizes = spark.range(10, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) == 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    text = " ".join(f"word{k % 7} other{k}" for k in range(40))
+    want = packing.WordTokenizer(TOKENIZER).encode(text).tolist()
+    monkeypatch.setattr(packing, "CACHED_WORDS", 9)
+    words = packing.WordTokenizer(TOKENIZER)
+    assert words.encode(text).tolist() == want and len(words) <= 9 and words.earlier
