@@ -81,14 +81,15 @@ def confusion(df: DataFrame, predicted: Column, label: str = "final_label", by=(
     return counted.select(*by, "tp", "fp", "fn", "tn", r6(_ratio(t, t + f), "precision"), r6(_ratio(t, t + n), "recall"), r6(_ratio(2 * t, 2 * t + f + n), "f1"))
 
 
-def _steps(df: DataFrame, score: str, label: str, by) -> DataFrame:
+def _steps(df: DataFrame, score: str, label: str, by, times: str | None = None) -> DataFrame:
     """Cumulative true and false positives at each distinct score, the highest first.
 
     Rows are counted by score before the window.  Scores are cut into ranges
     of about as many distinct ones; a window runs inside each range, and one
-    over the totals of the few ranges.
+    over the totals of the few ranges.  A row counts as often as its ``times`` says.
     """
-    per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    number = lambda cond: F.sum(F.when(cond, F.col(times)).otherwise(0)) if times else F.count_if(cond)
+    per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(number(F.col(label) == 1).alias("p"), number(F.col(label) != 1).alias("n"))
     # The counts are exchanged once: the plan reads them again for the cuts, which are one row.
     cuts = per.agg(F.array_distinct(F.percentile_approx(F.col("threshold").cast("double"), [i / RANGES for i in range(1, RANGES)])).alias("_cuts"))
     per = per.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c >= F.col("threshold"))), F.lit(0))).drop("_cuts")
@@ -111,9 +112,9 @@ def pr_curve(df: DataFrame, score: str = "prob", label: str = "final_label", by=
     return s.select(*by, "threshold", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(_ratio(F.col("tp"), F.col("positives")), 6).alias("recall"))
 
 
-def average_precision(df: DataFrame, score: str = "prob", label: str = "final_label", by=()) -> DataFrame:
-    """The sum of precision over steps of recall, equal scores together; null where one class is missing."""
-    s = _steps(df, score, label, list(by))
+def average_precision(df: DataFrame, score: str = "prob", label: str = "final_label", by=(), times: str | None = None) -> DataFrame:
+    """The sum of precision over steps of recall, equal scores together; null where one class is missing.  A row counts as often as its ``times`` says."""
+    s = _steps(df, score, label, list(by), times)
     step = F.col("p") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))
     found = s.groupBy(*by).agg(F.sum(F.when(F.col("positives") > 0, step)).alias("ap"), F.sum("n").alias("neg"))
     return found.select(*by, F.when(F.col("neg") > 0, F.round("ap", 6)).alias("average_precision"))

@@ -20,10 +20,11 @@ from pyspark.sql.window import Window
 
 from ledgerlark.functions.trade import finite_or_zero
 from ledgerlark.operators import clustering, evaluate, quantiles
+from ledgerlark.sources.shared import written
 
 SEED = 42
-#: Buckets in which values are dealt anew.
-DEALS = 64
+#: Rows of a bucket in which values are dealt anew, about.
+DEALT_ROWS = 10_000
 #: Fits that run beside each other, and training rows of all of them, as MLlib keeps those of each.
 PARALLEL, BESIDE_ROWS = 8, 8_000_000
 # Parameters of the reference grid and of the forest.
@@ -125,26 +126,37 @@ def grid_search(train: DataFrame, val: DataFrame, features, grid=None):
     return best, train.sparkSession.createDataFrame(found, "place int, maxDepth int, stepSize double, maxIter int, subsamplingRate double, average_precision double")
 
 
-def permutation_importance(model, df: DataFrame, features, of=None) -> DataFrame:
+def dealt(df: DataFrame, features, label: str = "final_label") -> DataFrame:
+    """The label, _x, the features of a row, and _other, those of the row beside it in a random order of its bucket, the first beside the last.
+
+    Each row's values go to one other row, so every feature is a permutation
+    of its own.  Buckets follow the rows alone and no window spans the table.
+    """
+    buckets = max(1, math.ceil(df.count() / DEALT_ROWS))
+    rows = df.select(label, "row_id", F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), F.pmod(F.xxhash64("row_id"), F.lit(buckets)).alias("_b"))
+    rows = rows.repartition(buckets, "_b")
+    order = Window.partitionBy("_b").orderBy(F.xxhash64("row_id", F.lit(SEED)), "row_id")
+    last = F.last("_x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select(label, "_x", F.coalesce(F.lag("_x").over(order), last).alias("_other"))
+
+
+def permutation_importance(model, df: DataFrame, features, of=None, label: str = "final_label") -> DataFrame:
     """Loss of average precision when a feature's values are dealt anew among the rows, for each feature or those in ``of``.
 
-    Values move by the rank of a random number inside buckets of rows, so no
-    window spans the table.
+    The rows are exchanged once for all features.  A row is scored as it is
+    (place 0) and with each feature of the row beside it, where both lie; what
+    is exchanged then are counts by feature and distinct score.
     """
-    rows = df.withColumn("_row", F.xxhash64("row_id")).persist()
-    base = evaluate.average_precision(score(model, rows, features)).first()[0]
-
-    def one(k, c):
-        bucket = F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(DEALS))
-        here, there = Window.partitionBy("_b").orderBy("_row"), Window.partitionBy("_b").orderBy(F.xxhash64("_row", F.lit(SEED + k)), "_row")
-        keyed = rows.withColumn("_b", bucket)
-        left, right = keyed.withColumn("_n", F.row_number().over(here)), keyed.withColumn("_n", F.row_number().over(there)).select("_b", "_n", F.col(c).alias("_v"))
-        dealt = left.join(right, ["_b", "_n"]).withColumn(c, F.col("_v")).drop("_v", "_b", "_n")
-        return c, base - evaluate.average_precision(score(model, dealt, features)).first()[0]
-
-    found = at_once(df.sparkSession, [partial(one, k, c) for k, c in enumerate(of or features)])
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(found, "feature string, importance double")
+    features = list(features)
+    places = [features.index(c) + 1 for c in of or features]
+    n, k = len(features), F.col("_k")
+    spread_out = dealt(df, features, label).withColumn("_k", F.explode(F.array(*[F.lit(i) for i in (0, *places)])))
+    mixed = F.when(k == 0, F.col("_x")).otherwise(F.concat(F.slice("_x", F.lit(1), k - 1), F.slice("_other", F.greatest(k, F.lit(1)), F.lit(1)), F.slice("_x", k + 1, F.lit(n))))
+    scored = model.transform(spread_out.select(label, "_k", MF.array_to_vector(mixed).alias("features")))
+    counted = written(scored.groupBy("_k", MF.vector_to_array("probability")[1].alias("prob"), label).agg(F.count("*").alias("_n")), "dealt_scores")
+    found = {r["_k"]: r["average_precision"] for r in evaluate.average_precision(counted, by=("_k",), label=label, times="_n").collect()}  # one row a feature
+    loss = lambda i: None if found.get(0) is None or found.get(i) is None else found[0] - found[i]
+    return df.sparkSession.createDataFrame([(features[i - 1], loss(i)) for i in places], "feature string, importance double")
 
 
 def naive_bayes(train: DataFrame, df: DataFrame, features, label: str = "final_label", smoothing: float = 1e-9) -> DataFrame:
