@@ -10,14 +10,17 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ledgerlark.functions import trade as t
+from ledgerlark.sources.shared import written
 
 STALE_AFTER = 5
 # Words of which an item on enforcement has one, and forms that tell of earnings.
 ENFORCEMENT_WORDS = ("litigation", "charges", "charged", "settlement", "settled", "fraud", "insider trading", "enforcement")
 EARNINGS_FORMS = ("10-Q", "10-K", "10-Q/A", "10-K/A")
 SHORTEST_ALIAS = 3
-#: Tickers of an alias that go together, about.
-TICKERS_A_LIST = 1024
+#: Tickers of an alias that go together, about, and answers of a task.
+TICKERS_A_LIST, MADE_ROWS = 1024, 2_000_000
+#: Mentions in a text up to which each goes with the others, and bits in which known words are marked (1 MB).
+FEW, KNOWN_BITS = 64, 1 << 23
 
 
 def _typed(raw: DataFrame, schema: str) -> DataFrame:
@@ -173,34 +176,74 @@ def alias_table(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
     return given.unionByName(own.select("ticker", F.lower("ticker").alias("alias"))).filter(F.length("alias") >= SHORTEST_ALIAS).distinct()
 
 
+def _may_be(words: DataFrame, word: str) -> Column:
+    """Whether the column ``word`` may be among ``words``: bits of their hashes, of a fixed size, so that few other words are exchanged."""
+    h = F.pmod(F.xxhash64(word), F.lit(KNOWN_BITS))
+    at, place = F.shiftright(h, 6).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    marked = words.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = words.sparkSession.range(KNOWN_BITS // 64).select(F.col("id").cast("int").alias("at")).join(marked, "at", "left")
+    bits = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits")).scalar()
+    return F.getbit(F.get(bits, at), place) == 1
+
+
+def _mentions(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text: str, key: str, most_words: int) -> DataFrame:
+    """(key, had, named): the aliases that stand in a text, in their order, and the tickers that do."""
+    words = F.split(t.normal_text(F.col(text)), " ")
+    n = F.size("w")
+    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most_words + 1)]  # noqa: B023
+    alias = aliases.select("alias").distinct()
+    grams = items.select(F.col(key), words.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias")).filter(_may_be(alias, "alias"))
+    upper = F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_]+", " "), " ")
+    called = items.select(F.col(key), F.explode(F.array_distinct(upper)).alias("ticker")).filter(_may_be(tickers, "ticker"))
+    # Merged, as the words of all texts are not for a broadcast.
+    had, named = (x.hint("merge").join(y, c, "left_semi") for x, y, c in ((grams, alias, "alias"), (called, tickers, "ticker")))
+    both = had.withColumn("ticker", F.lit(None).cast("string")).unionByName(named.withColumn("alias", F.lit(None).cast("string")))
+    return both.groupBy(key).agg(F.array_sort(F.collect_set("alias")).alias("had"), F.collect_set("ticker").alias("named"))
+
+
 def match_tickers(items: DataFrame, aliases: DataFrame, tickers: DataFrame, text: str = "text", key: str = "item_id", most_words: int | None = None) -> DataFrame:
     """(key, ticker, matched_by): tickers that stand in an item as a word, else by an alias as a phrase, the least alias.
 
     Texts become runs of up to ``most_words`` words (those of the longest
     alias), which meet aliases by equality, so the work grows with the texts
-    and not with texts times aliases.  An alias meets a text once, with lists
-    of its tickers; lists are dealt by text and opened there, so what many
-    tickers share is not exchanged for each of them.  Where ``most_words`` is
-    given, longer aliases are an error.
+    and not with texts times aliases.  An alias that stands in a text goes
+    with the lesser ones there, and its tickers with their lesser aliases: a
+    ticker counts where the two have none in common.  So each answer is made
+    once, where an alias meets the lists of its tickers, and is not exchanged.
+    Texts of more than ``FEW`` mentions get the least alias by grouping, as
+    their mentions would be told too often.  Where ``most_words`` is given,
+    longer aliases are an error.
     """
+    aliases = written(aliases.distinct(), "aliases")
+    tickers = written(tickers.select(F.upper(F.trim("ticker")).alias("ticker")).filter("ticker is not null").distinct(), "tickers")
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     most_words = most_words or longest
     if longest > most_words:
         raise ValueError(f"an alias has {longest} words, more than {most_words}")
-    words = F.split(t.normal_text(F.col(text)), " ")
-    n = F.size("w")
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most_words + 1)]  # noqa: B023
-    grams = items.select(F.col(key), words.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias"))
-    sizes = aliases.groupBy("alias").agg(F.ceil(F.count("*") / TICKERS_A_LIST).alias("lists"))
-    dealt = aliases.join(sizes, "alias").withColumn("list", F.pmod(F.xxhash64("ticker"), "lists"))
-    lists = dealt.groupBy("alias", "list").agg(F.collect_set("ticker").alias("tickers")).drop("list")
-    by_alias = grams.join(lists, "alias").select(key, "alias", "tickers")
-    upper = items.select(F.col(key), F.explode(F.array_distinct(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9_]+", " "), " "))).alias("ticker"))
-    by_ticker = upper.join(tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct(), "ticker", "left_semi")
-    named = by_ticker.select(key, F.lit(None).cast("string").alias("alias"), F.array("ticker").alias("tickers"))
-    both = by_alias.unionByName(named).repartition(key).select(key, "alias", F.explode("tickers").alias("ticker"))
-    found = both.groupBy(key, "ticker").agg(F.min("alias").alias("alias"), F.max(F.col("alias").isNull()).alias("named"))
-    return found.select(key, "ticker", F.when(F.col("named"), F.concat(F.lit("ticker:"), "ticker")).otherwise(F.concat(F.lit("alias:"), "alias")).alias("matched_by"))
+    said = written(_mentions(items, aliases, tickers, text, key, most_words), "mentions")
+    few, many = (said.filter(cond) for cond in (F.size("had") + F.size("named") <= FEW, F.size("had") + F.size("named") > FEW))
+    told = lambda alias: F.concat(F.lit("alias:"), alias).alias("matched_by")
+    by_name = lambda df: df.select(key, F.explode("named").alias("ticker")).select(key, "ticker", F.concat(F.lit("ticker:"), "ticker").alias("matched_by"))
+
+    # Hits of an alias are dealt so that no task makes many more rows than others.
+    hits = few.select(key, "named", "had", F.posexplode("had").alias("at", "alias"))
+    of = aliases.groupBy("alias").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TICKERS_A_LIST).alias("lists"))
+    made = written(hits.groupBy("alias").agg(F.count("*").alias("hits")).join(of, "alias").select("alias", (F.col("hits") * F.col("n")).alias("rows"), "lists"), "hits")
+    deals = made.withColumn("deals", F.ceil(F.col("rows") / MADE_ROWS))
+    parts = max(1, *map(int, (made.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] / MADE_ROWS, made.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = hits.join(deals.select("alias", "deals"), "alias").select("alias", F.pmod(F.xxhash64(key), "deals").alias("deal"), key, "named", F.slice("had", F.lit(1), F.col("at")).alias("lesser"))
+    held = aliases.groupBy("ticker").agg(F.array_sort(F.collect_list("alias")).alias("all")).select("ticker", "all", F.posexplode("all").alias("at", "alias"))
+    held = held.join(deals, "alias").select("alias", "deals", F.pmod(F.xxhash64("ticker"), "lists").alias("list"), F.struct("ticker", F.slice("all", F.lit(1), F.col("at")).alias("lesser")).alias("x"))
+    lists = held.groupBy("alias", "list", "deals").agg(F.collect_list("x").alias("xs")).select("alias", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), "xs")
+    met = dealt.repartition(parts, "alias", "deal").join(lists.repartition(parts, "alias", "deal"), ["alias", "deal"])
+    kept = F.filter("xs", lambda x: ~F.arrays_overlap(x["lesser"], F.col("lesser")) & ~F.array_contains("named", x["ticker"]))
+    by_alias = met.select(key, "alias", F.explode(F.transform(kept, lambda x: x["ticker"])).alias("ticker")).select(key, "ticker", told(F.col("alias")))
+
+    bags = aliases.join(of, "alias").withColumn("list", F.pmod(F.xxhash64("ticker"), "lists")).groupBy("alias", "list").agg(F.collect_list("ticker").alias("tickers"))
+    opened = many.select(key, F.explode("had").alias("alias")).join(bags, "alias").select(key, "alias", "tickers").unionByName(many.select(key, F.lit(None).cast("string").alias("alias"), F.col("named").alias("tickers")))
+    opened = opened.repartition(key).select(key, "alias", F.explode("tickers").alias("ticker"))
+    least = opened.groupBy(key, "ticker").agg(F.min("alias").alias("alias"), F.max(F.col("alias").isNull()).alias("named")).filter("not named").select(key, "ticker", told(F.col("alias")))
+    return by_alias.unionByName(by_name(said)).unionByName(least)
 
 
 def union_tables(spark: SparkSession, paths, schema: str) -> DataFrame:
