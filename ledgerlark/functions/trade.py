@@ -127,9 +127,16 @@ def value_bucket_number(bucket: Column) -> Column:
     return out
 
 
+def role_text(insider_role: Column, title: Column) -> Column:
+    return F.lower(F.concat_ws(" ", insider_role, F.coalesce(title, F.lit(""))))
+
+
 def seniority(insider_role: Column, title: Column) -> Column:
     """The first keyword of ``SENIORITY`` in role and title counts, so 'vice president' hits 'president'."""
-    text = F.lower(F.concat_ws(" ", insider_role, F.coalesce(title, F.lit(""))))
+    return _seniority(role_text(insider_role, title))
+
+
+def _seniority(text: Column) -> Column:
     out = F.when(text.contains(SENIORITY[0][0]), SENIORITY[0][1])
     for word, score in SENIORITY[1:]:
         out = out.when(text.contains(word), score)
@@ -138,13 +145,16 @@ def seniority(insider_role: Column, title: Column) -> Column:
 
 def add_role_features(df: DataFrame) -> DataFrame:
     """P11."""
-    r, t = F.lower(F.coalesce("insider_role", F.lit(""))), F.lower(F.coalesce("officer_title", F.lit("")))
+    r, t = F.col("_role"), F.col("_title")
     flag = lambda short, long: (r.contains(short) | t.contains(long)).cast("int")
+    # Texts are columns, so that they are made once and not for each keyword.
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    df = df.withColumns({"_role_text": role_text(F.col("insider_role"), F.col("officer_title")), "_role": low("insider_role"), "_title": low("officer_title")})
     return df.withColumns({
-        "role_seniority": seniority(F.col("insider_role"), F.col("officer_title")),
+        "role_seniority": _seniority(F.col("_role_text")),
         "is_ceo": flag("ceo", "chief executive"), "is_cfo": flag("cfo", "chief financial"), "is_coo": flag("coo", "chief operating"),
         "is_director_only": ((r == "director") & F.coalesce(~F.col("is_officer"), F.lit(False))).cast("int"),
-    })
+    }).drop("_role_text", "_role", "_title")
 
 
 def stripped(text: Column) -> Column:
@@ -153,27 +163,40 @@ def stripped(text: Column) -> Column:
 
 def phrase_hits(text: Column, phrases) -> Column:
     """How many of the phrases occur; 0 in a text below ``LEAST_FOOTNOTE`` characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return _phrase_hits(F.lower(F.coalesce(text, F.lit(""))), phrases)
+
+
+def _phrase_hits(low: Column, phrases) -> Column:
     hits = sum((low.contains(p).cast("int") for p in phrases), F.lit(0))
     return F.when(F.length(low) < LEAST_FOOTNOTE, 0).otherwise(hits)
 
 
-def add_text_features(df: DataFrame) -> DataFrame:
-    """P12-P16."""
+def add_text_counts(df: DataFrame) -> DataFrame:
+    """What the text itself is needed for."""
     note = F.coalesce(F.col("footnote_text"), F.lit(""))
-    routine, informed = F.col("footnote_routine_hits"), F.col("footnote_informed_hits")
-    df = df.withColumns({
+    low = F.col("_low_note")  # made once and not for each phrase
+    return df.withColumn("_low_note", F.lower(note)).withColumns({
         "footnote_length": F.length(stripped(note)),
         "footnote_has_plan": note.rlike(r"(?i)10b5[-\s]?1").cast("int"),
-        "footnote_routine_hits": phrase_hits(note, ROUTINE_PHRASES),
-        "footnote_informed_hits": phrase_hits(note, INFORMED_PHRASES),
-        "footnote_has_option": (phrase_hits(note, OPTION_PHRASES) > 0).cast("int"),
-    })
+        "footnote_routine_hits": _phrase_hits(low, ROUTINE_PHRASES),
+        "footnote_informed_hits": _phrase_hits(low, INFORMED_PHRASES),
+        "footnote_has_option": (_phrase_hits(low, OPTION_PHRASES) > 0).cast("int"),
+    }).drop("_low_note")
+
+
+def add_text_scores(df: DataFrame) -> DataFrame:
+    """P15 and the plan flag, from the counts."""
+    routine, informed = F.col("footnote_routine_hits"), F.col("footnote_informed_hits")
     score = F.when((F.col("footnote_length") < LEAST_FOOTNOTE) | (routine + informed == 0), 0.5).otherwise(routine / (routine + informed))
     plan = F.coalesce(col_or(df, "has_10b5_1_plan", False).cast("boolean"), F.lit(False)) | (F.col("footnote_has_plan") == 1)
     return df.withColumns({"footnote_routine_score": score, "has_plan": plan.cast("int")})
 
 
+def add_text_features(df: DataFrame) -> DataFrame:
+    """P12-P16."""
+    return add_text_scores(add_text_counts(df))
+
+
 def add_trade_features(df: DataFrame) -> DataFrame:
     """P4-P10."""
     df = add_direction(add_log_transforms(df))
@@ -230,4 +253,4 @@ def lenient_double(text: Column) -> Column:
 def finite_or_zero(value: Column) -> Column:
     """P25: what is no finite number is 0."""
     v = value.try_cast("double")
-    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+    return F.when(F.abs(v) < float("inf"), v).otherwise(0.0)  # nan is above all numbers

@@ -45,7 +45,10 @@ def numeric(df: DataFrame, features, *keep: str) -> DataFrame:
     """P25: features as finite doubles; a missing column is an error."""
     if missing := [c for c in features if c not in df.columns]:
         raise ValueError(f"missing features: {missing}")
-    return df.select(*keep, *[finite_or_zero(F.col(c).cast("double") if dict(df.dtypes)[c] == "boolean" else F.col(c)).alias(c) for c in features])
+    kinds = dict(df.dtypes)
+    whole = lambda c: kinds[c] in ("boolean", "tinyint", "smallint", "int", "bigint")
+    # Whole numbers are finite; what is not asked for keeps the code of the plan's last stage below the length that is compiled.
+    return df.select(*keep, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if whole(c) else finite_or_zero(F.col(c))).alias(c) for c in features])
 
 
 def standard_scale(df: DataFrame, train: DataFrame, features) -> DataFrame:

@@ -171,7 +171,7 @@ _SIMPLE = {k: v for k, v in _ALL.items() if k in history.NUMERIC + history.CATEG
     SELECT k.* EXCLUDE (nb, ns), round(CASE WHEN nb + ns > 0 THEN nb / (nb + ns) ELSE 0.5 END, 6) AS insider_buy_sell_ratio, round(trades_90d / 90, 6) AS trade_frequency_90d,
            o AS other_insiders_72h, s AS same_dir_insiders_72h, round(s / greatest(o, 1), 6) AS coordination_score, CAST(s >= 2 AS INT) AS cluster_flag FROM k JOIN j USING (row_id)""")
 def c02_feature_matrix(tables):
-    out = history.feature_matrix(tables.trades, exact=cents)
+    out = history.model_matrix(tables.trades, history.NUMERIC + history.CATEGORICAL, *history.ID_COLUMNS, exact=cents)
     out = history.features_only(history.drop_unused(round_money(out))).withColumns({"signed_value": F.round(F.col("signed_value").cast("double"), 4), "consecutive_direction": F.col("consecutive_direction").cast("long")})
     return rounded(off_half(out), log_shares=6, log_total_value=6, log_shares_owned_after=6, pct_position_traded=6, insider_avg_trade_value=3, insider_buy_sell_ratio=6,
                    trade_frequency_90d=6, coordination_score=6, footnote_routine_score=6)
